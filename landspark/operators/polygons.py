@@ -2,55 +2,91 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import overlay as ov
-from ..functions.geometry import (FLAT_TYPE, as_col, from_flat, st_is_box, to_flat)
-
-
-def _rows(flat: pd.DataFrame):
-    """Flat polygons of a batch, None where there is none."""
-    for xs, ys, rings, parts in zip(flat["xs"], flat["ys"], flat["ring_sizes"], flat["part_sizes"]):
-        yield None if xs is None or len(xs) == 0 else {
-            "xs": xs, "ys": ys, "ring_sizes": rings, "part_sizes": parts}
-
-
-def _frame(made: list) -> pd.DataFrame:
-    empty = {"xs": None, "ys": None, "ring_sizes": None, "part_sizes": None}
-    return pd.DataFrame([m or empty for m in made], columns=list(empty), dtype=object)
-
-
-@F.pandas_udf(FLAT_TYPE)
-def _intersect(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    return _frame([None if p is None or q is None else ov.parts_to_flat(
-        ov.overlay([ov.flat_to_rings(p), ov.flat_to_rings(q)], 2)) for p, q in zip(_rows(a), _rows(b))])
-
-
-@F.pandas_udf(FLAT_TYPE)
-def _repair(a: pd.DataFrame) -> pd.DataFrame:
-    return _frame([None if p is None else ov.parts_to_flat(ov.overlay([ov.flat_to_rings(p)], 1))
-                   for p in _rows(a)])
-
-
-@F.pandas_udf(FLAT_TYPE)
-def _clip(a: pd.DataFrame, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.DataFrame:
-    return _frame([None if p is None else ov.parts_to_flat(ov.clip_box(ov.flat_to_parts(p), *box))
-                   for p, *box in zip(_rows(a), x0, y0, x1, y1)])
-
-
-@F.pandas_udf(T.ArrayType(FLAT_TYPE))
-def _pieces(a: pd.DataFrame, limit: pd.Series) -> pd.Series:
-    return pd.Series([None if p is None else
-                      [ov.parts_to_flat(q) for q in ov.halve(ov.flat_to_parts(p), int(n))]
-                      for p, n in zip(_rows(a), limit)], dtype=object)
-
-
-@F.pandas_udf(T.BooleanType())
-def _near(a: pd.DataFrame, b: pd.DataFrame, eps: pd.Series) -> pd.Series:
-    return pd.Series([False if p is None or q is None else ov.within_distance(
-        ov.flat_to_rings(p), ov.flat_to_rings(q), e)
-        for p, q, e in zip(_rows(a), _rows(b), eps)], dtype=bool)
+from ..functions.geometry import FLAT_TYPE, as_col, from_flat, st_is_box, to_flat
+
+NAMES = ("xs", "ys", "ring_sizes", "part_sizes")
+ITEM = {"xs": pa.float64(), "ys": pa.float64(), "ring_sizes": pa.int32(), "part_sizes": pa.int32()}
+
+
+class _Flat:
+    """Flat polygons of a batch, cut from the Arrow buffers without per-row objects."""
+
+    def __init__(self, batch: pa.StructArray):
+        lists = {n: batch.field(n) for n in NAMES}
+        self.filled = np.asarray(lists["xs"].is_valid()) & np.asarray(batch.is_valid())
+        self.offsets = {n: np.asarray(v.offsets) for n, v in lists.items()}
+        self.values = {n: v.values.to_numpy(zero_copy_only=False) for n, v in lists.items()}
+
+    def __getitem__(self, i: int) -> dict:
+        return {n: self.values[n][self.offsets[n][i]:self.offsets[n][i + 1]] for n in NAMES}
+
+
+def _lists(values: list, rows: list[int], size: int, kind: pa.DataType) -> pa.Array:
+    """List column with ``values[k]`` in row ``rows[k]`` and null elsewhere."""
+    lengths = np.zeros(size, dtype=np.int32)
+    lengths[rows] = [len(v) for v in values]
+    missing = np.ones(size + 1, dtype=bool)
+    missing[rows] = False
+    missing[size] = False
+    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), mask=missing)
+    items = np.concatenate(values) if values else np.empty(0)
+    return pa.ListArray.from_arrays(offsets, pa.array(items, type=kind))
+
+
+def _flat_array(made: dict[int, dict], size: int) -> pa.StructArray:
+    rows = sorted(made)
+    return pa.StructArray.from_arrays(
+        [_lists([made[i][n] for i in rows], rows, size, ITEM[n]) for n in NAMES], names=list(NAMES))
+
+
+@F.arrow_udf(FLAT_TYPE)
+def _intersect(a: pa.Array, b: pa.Array) -> pa.Array:
+    fa, fb = _Flat(a), _Flat(b)
+    both = np.flatnonzero(fa.filled & fb.filled)
+    return _flat_array({i: ov.parts_to_flat(ov.overlay(
+        [ov.flat_to_rings(fa[i]), ov.flat_to_rings(fb[i])], 2)) for i in both.tolist()}, len(a))
+
+
+@F.arrow_udf(FLAT_TYPE)
+def _repair(a: pa.Array) -> pa.Array:
+    f = _Flat(a)
+    return _flat_array({i: ov.parts_to_flat(ov.overlay([ov.flat_to_rings(f[i])], 1))
+                        for i in np.flatnonzero(f.filled).tolist()}, len(a))
+
+
+@F.arrow_udf(FLAT_TYPE)
+def _clip(a: pa.Array, x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array) -> pa.Array:
+    f = _Flat(a)
+    box = np.column_stack([c.to_numpy(zero_copy_only=False) for c in (x0, y0, x1, y1)])
+    return _flat_array({i: ov.parts_to_flat(ov.clip_box(ov.flat_to_parts(f[i]), *box[i]))
+                        for i in np.flatnonzero(f.filled).tolist()}, len(a))
+
+
+@F.arrow_udf(T.ArrayType(FLAT_TYPE))
+def _pieces(a: pa.Array, limit: pa.Array) -> pa.Array:
+    f = _Flat(a)
+    cut = {i: [ov.parts_to_flat(q) for q in ov.halve(ov.flat_to_parts(f[i]), limit[i].as_py())]
+           for i in np.flatnonzero(f.filled).tolist()}
+    rows = sorted(cut)
+    every = [q for i in rows for q in cut[i]]
+    lengths = np.zeros(len(a), dtype=np.int32)
+    lengths[rows] = [len(cut[i]) for i in rows]
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, _flat_array(dict(enumerate(every)), len(every)))
+
+
+@F.arrow_udf(T.BooleanType())
+def _near(a: pa.Array, b: pa.Array, eps: pa.Array) -> pa.Array:
+    fa, fb = _Flat(a), _Flat(b)
+    out = np.zeros(len(a), dtype=bool)
+    for i in np.flatnonzero(fa.filled & fb.filled).tolist():
+        out[i] = ov.within_distance(ov.flat_to_rings(fa[i]), ov.flat_to_rings(fb[i]), eps[i].as_py())
+    return pa.array(out)
 
 
 def _null_unless(cond: Column | None, flat: Column) -> Column:
