@@ -1,27 +1,29 @@
 """Density clustering (DBSCAN) of polygons within a partition key.
 
 Copies of one polygon are folded into a single weighted member first. Members are spread over grid
-cells; cells with few members are paired by an equi-join in the JVM. Crowded cells are cut into
-finer ones, and what is still crowded then is worked through in bounded chunks that return a
-spanning forest, at most one edge per member, instead of all pairs. All ways are exact.
+cells and crowded cells are cut into finer ones. Each cell is then worked through as lists of
+bounded length: a cell with more members than one list holds is dealt out in chunks, and every pair
+of chunks meets in one list. A list gives back a spanning forest of its members, so the edge table
+grows with the members and not with the pairs. Nothing is left out, so the result is exact.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import overlay as ov
-from ..functions.geometry import bbox_distance2, st_is_box, to_flat
+from ..functions.geometry import PARTS_TYPE, st_is_box, to_flat
 from ..session import materialize
 from .components import connected_components
-from .grid import cell_of, cut_hot_cells, spread, sub_cell, suggest_cell
-from .polygons import within_distance
+from .grid import cut_hot_cells, spread, suggest_cell
+from .polygons import _Flat
 
-PAIR_LIMIT = 64      # members of a cell that may be paired directly
-CHUNK_ROWS = 4_000   # members of one share of a crowded cell
+CHUNK_ROWS = 512     # members of one chunk; a list holds at most about two chunks
+TARGET_ROWS = 64     # members a cell should have after cutting
 BOX = ["minx", "miny", "maxx", "maxy"]
+LINKS = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
 
 def _members(df: DataFrame, by: list[str], id_col: str, geom: str, rectangles: bool) -> DataFrame:
@@ -29,220 +31,197 @@ def _members(df: DataFrame, by: list[str], id_col: str, geom: str, rectangles: b
     # two polygons are copies when box and vertices agree; for rectangles the box decides
     shape = (F.lit("") if rectangles else F.when(st_is_box(geom), F.lit(""))
              .otherwise(F.sha2(F.to_json(g["parts"]), 256)))
+    parts = F.lit(None).cast(PARTS_TYPE) if rectangles else F.when(shape != "", g["parts"])
     return df.select(F.col(id_col).alias("rid"), F.to_json(F.struct(*by)).alias("_by"),
-                     *[g[c].alias(c) for c in BOX], shape.alias("_shape"),
-                     (F.lit(None).cast(g_parts_type()) if rectangles else
-                      F.when(shape != "", g["parts"])).alias("parts"))
+                     *[g[c].alias(c) for c in BOX], shape.alias("_shape"), parts.alias("parts"))
+
+
+def _fold_copies(members: DataFrame, rectangles: bool) -> DataFrame:
+    parts = [] if rectangles else [F.any_value("parts").alias("parts")]
+    return members.groupBy("_by", *BOX, "_shape").agg(
+        F.min("rid").alias("rid"), F.count(F.lit(1)).alias("w"), *parts)
+
+
+class _Lists:
+    """Members of a batch of lists as plain arrays."""
+
+    def __init__(self, lists: pa.ListArray):
+        self.offsets = np.asarray(lists.offsets)
+        rows = lists.values
+        get = lambda n: rows.field(n).to_numpy(zero_copy_only=False)
+        self.rid, self.w, self.own, self.label = get("rid"), get("w"), get("own"), get("label")
+        self.box = [get(c) for c in BOX]
+        names = [rows.type.field(i).name for i in range(rows.type.num_fields)]
+        self.flat = _Flat(rows.field("flat")) if "flat" in names else None
+
+    def near(self, lo: int, hi: int, eps: float) -> np.ndarray:
+        """Matrix of the neighbours among the members ``lo:hi``."""
+        x0, y0, x1, y1 = (c[lo:hi] for c in self.box)
+        dx = np.maximum(np.maximum(x0[None] - x1[:, None], x0[:, None] - x1[None]), 0)
+        dy = np.maximum(np.maximum(y0[None] - y1[:, None], y0[:, None] - y1[None]), 0)
+        hit = dx * dx + dy * dy <= eps * eps
+        np.fill_diagonal(hit, False)
+        if self.flat is not None and self.flat.filled[lo:hi].any():
+            for i, j in np.argwhere(np.triu(hit)).tolist():
+                if self.flat.filled[lo + i] or self.flat.filled[lo + j]:
+                    hit[i, j] = hit[j, i] = ov.within_distance(
+                        self._rings(lo + i), self._rings(lo + j), eps)
+        return hit
 
-
-def g_parts_type() -> str:
-    from ..functions.geometry import PARTS_TYPE
-    return PARTS_TYPE
+    def _rings(self, i: int):
+        if self.flat.filled[i]:
+            return ov.flat_to_rings(self.flat[i])
+        x0, y0, x1, y1 = (c[i] for c in self.box)
+        return [np.array([[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]])]
 
 
-def _fold_copies(members: DataFrame) -> DataFrame:
-    return (members.groupBy("_by", *BOX, "_shape")
-            .agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("w"),
-                 F.any_value("parts").alias("parts"))
-            .withColumn("g", F.struct(F.lit("polygon").alias("gtype"), "parts", *BOX)))
+def _links(per_list: list[tuple[np.ndarray, np.ndarray]]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a, _ in per_list])]).astype(np.int32)
+    col = lambda k: pa.array(np.concatenate([p[k] for p in per_list]) if per_list else [], pa.int64())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([col(0), col(1)], ["a", "b"]))
+
+
+def _groups(hit: np.ndarray) -> np.ndarray:
+    """Component number of each member, by flooding."""
+    n = len(hit)
+    group = np.full(n, -1)
+    for start in range(n):
+        if group[start] >= 0:
+            continue
+        front = np.zeros(n, dtype=bool)
+        front[start] = True
+        seen = front.copy()
+        while front.any():
+            front = hit[front].any(axis=0) & ~seen
+            seen |= front
+        group[seen] = start
+    return group
+
+
+@F.arrow_udf(LINKS)
+def _forest(lists: pa.Array, eps: pa.Array) -> pa.Array:
+    """Each member with the least id of its local component, roots left out."""
+    m, e, out = _Lists(lists), eps[0].as_py() if len(eps) else 0.0, []
+    for lo, hi in zip(m.offsets[:-1].tolist(), m.offsets[1:].tolist()):
+        rid, group = m.rid[lo:hi], _groups(m.near(lo, hi, e))
+        low = np.full(hi - lo, np.iinfo(np.int64).max)
+        np.minimum.at(low, group, rid)
+        root = low[group]
+        out.append((rid[rid != root], root[rid != root]))
+    return _links(out)
+
+
+def _counted_here(m: _Lists, lo: int, hi: int, cell: list) -> np.ndarray:
+    """Pairs whose shared grown box starts in this cell; chunks meeting each other leave out pairs
+    within a chunk, those are seen where the chunk meets itself."""
+    size, grow, cx, cy, k, sx, sy, a, b = cell
+    x = np.maximum(m.box[0][lo:hi, None], m.box[0][None, lo:hi]) - grow
+    y = np.maximum(m.box[1][lo:hi, None], m.box[1][None, lo:hi]) - grow
+    sub = lambda v, base: np.clip(np.floor((v - base * size) * k / size), 0, k - 1)
+    here = ((np.floor(x / size) == cx) & (np.floor(y / size) == cy)
+            & (sub(x, cx) == sx) & (sub(y, cy) == sy))
+    own = m.own[lo:hi]
+    return here & ((own[:, None] != own[None]) if a != b else True)
+
+
+@F.arrow_udf(LINKS)
+def _weights(lists: pa.Array, eps: pa.Array, cell: pa.Array) -> pa.Array:
+    """Each member with the weight of the neighbours counted in this list."""
+    m, e, out = _Lists(lists), eps[0].as_py() if len(eps) else 0.0, []
+    where = [list(c.values()) for c in cell.to_pylist()]
+    for i, (lo, hi) in enumerate(zip(m.offsets[:-1].tolist(), m.offsets[1:].tolist())):
+        hit = m.near(lo, hi, e) & _counted_here(m, lo, hi, where[i])
+        total = (hit * m.w[None, lo:hi]).sum(axis=1)
+        out.append((m.rid[lo:hi][total > 0], total[total > 0]))
+    return _links(out)
+
+
+@F.arrow_udf(LINKS)
+def _adopted(lists: pa.Array, eps: pa.Array) -> pa.Array:
+    """Members without a label with the least label of a neighbour that has one."""
+    m, e, out = _Lists(lists), eps[0].as_py() if len(eps) else 0.0, []
+    none = np.iinfo(np.int64).max
+    for lo, hi in zip(m.offsets[:-1].tolist(), m.offsets[1:].tolist()):
+        label = m.label[lo:hi]
+        best = np.where(m.near(lo, hi, e) & (label >= 0)[None], label[None], none).min(axis=1)
+        take = (label < 0) & (best < none)
+        out.append((m.rid[lo:hi][take], best[take]))
+    return _links(out)
 
 
 class _Space:
-    """Members laid out over the grid, split into sparse and crowded cells."""
+    """Members laid out over the grid as bounded lists."""
 
-    def __init__(self, reps: DataFrame, eps: float, cell: float, rectangles: bool):
-        self.eps, self.cell, self.rectangles = eps, cell, rectangles
+    def __init__(self, reps: DataFrame, eps: float, cell: float):
+        self.eps, self.cell = F.lit(float(eps)), float(cell)
         # slightly above half, so that rounding loses no pair at exactly eps
         self.grow = eps * 0.5000001 + 1e-12
-        self.keys = ["_by", "_cx", "_cy"]
-        rows = spread(reps, "g", cell, self.grow)
-        top = rows.groupBy(*self.keys).count().agg(F.max("count")).first()[0] or 0
-        self.sparse, self.dense = rows, None
-        if top <= PAIR_LIMIT:
-            self.split = False
-            return
-        self.split = True
-        sizes = (rows.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n"))
-                 .select(*self.keys, F.ceil(F.col("_n") * 4 / PAIR_LIMIT).cast("int").alias("_split"))
-                 .filter(F.col("_split") > 4))
-        rows = cut_hot_cells(rows, "g", cell, sizes, self.keys, self.grow)
-        self.keys = self.keys + ["_k", "_sx", "_sy"]
-        crowd = rows.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n"))
-        rows = materialize(rows.join(crowd, self.keys), "cells")
-        self.sparse = rows.filter(F.col("_n") <= PAIR_LIMIT)
-        self.dense = rows.filter(F.col("_n") > PAIR_LIMIT)
-
-    def pairs(self) -> DataFrame:
-        """Neighbours in sparse cells, each pair once, smaller id first."""
-        a = self.sparse.select(*self.keys, *[F.col(c).alias("a_" + c) for c in ("rid", "w", "g")])
-        b = self.sparse.select(*self.keys, *[F.col(c).alias("b_" + c) for c in ("rid", "w", "g")])
-        x = F.greatest(F.col("a_g")["minx"], F.col("b_g")["minx"]) - self.grow
-        y = F.greatest(F.col("a_g")["miny"], F.col("b_g")["miny"]) - self.grow
-        here = ((cell_of(x, self.cell) == F.col("_cx")) & (cell_of(y, self.cell) == F.col("_cy")))
-        if self.split:
-            here &= ((sub_cell(x, F.col("_cx"), self.cell, F.col("_k")) == F.col("_sx"))
-                     & (sub_cell(y, F.col("_cy"), self.cell, F.col("_k")) == F.col("_sy")))
-        near = bbox_distance2("a_g", "b_g") <= F.lit(float(self.eps) ** 2)
-        out = (a.join(b, self.keys).filter((F.col("a_rid") < F.col("b_rid")) & near & here)
-               .drop(*self.keys))
-        if not self.rectangles:
-            plain = F.col("a_g")["parts"].isNull() & F.col("b_g")["parts"].isNull()
-            whole = lambda c: F.coalesce(F.col(c)["parts"], F.array(F.array(box_shell(c))))
-            out = (out.withColumn("_p", F.struct(whole("a_g").alias("parts")))
-                   .withColumn("_q", F.struct(whole("b_g").alias("parts")))
-                   .withColumn("_near", within_distance("_p", "_q", self.eps, ~plain))
-                   .filter(plain | F.col("_near")).drop("_p", "_q", "_near"))
-        return out
-
-    def chunks(self) -> DataFrame:
-        """Members of crowded cells, once for every pair of chunks they take part in."""
-        n = F.ceil(F.col("_n") / F.lit(CHUNK_ROWS)).cast("int")
-        rows = (self.dense.withColumn("_chunks", n)
-                .withColumn("_own", F.pmod(F.xxhash64("rid"), F.col("_chunks")).cast("int"))
+        keys = ["_by", "_cx", "_cy"]
+        rows = spread(reps.withColumn("g", F.struct(*BOX)), "g", cell, self.grow)
+        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        self.chunked = (counts.agg(F.max("_n")).first()[0] or 0) > CHUNK_ROWS
+        if self.chunked:
+            split = (counts.filter(F.col("_n") > CHUNK_ROWS)
+                     .select(*keys, F.ceil(F.col("_n") / TARGET_ROWS).cast("int").alias("_split")))
+            rows = cut_hot_cells(rows, "g", cell, split, keys, self.grow)
+            keys = keys + ["_k", "_sx", "_sy"]
+            counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+            chunks = F.ceil(F.col("_n") / F.lit(CHUNK_ROWS)).cast("int")
+            rows = materialize(
+                rows.join(counts, keys).withColumn("_chunks", chunks)
+                .withColumn("own", F.pmod(F.xxhash64("rid"), F.col("_chunks")).cast("int"))
                 .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-                .withColumn("_lo", F.least("_own", "_other"))
-                .withColumn("_hi", F.greatest("_own", "_other")))
-        if not self.rectangles:
-            rows = rows.withColumn("_flat", F.when(F.col("parts").isNotNull(), to_flat("g")))
-        return rows.drop("g", "parts", "_shape", "_other", "_chunks", "_n")
-
-    def in_chunks(self, rows: DataFrame, work, schema: str) -> DataFrame:
-        return rows.groupBy(*self.keys, "_lo", "_hi").applyInPandas(work, schema)
-
-
-def box_shell(c: str):
-    from ..functions.geometry import box_ring
-    g = F.col(c)
-    return box_ring(g["minx"], g["miny"], g["maxx"], g["maxy"])
-
-
-class _Local:
-    """Neighbour search among the members of one chunk pair."""
-
-    def __init__(self, pdf: pd.DataFrame, eps: float):
-        pdf = pdf.sort_values("minx", kind="stable").reset_index(drop=True)
-        self.pdf, self.eps = pdf, eps
-        self.x0, self.y0, self.x1, self.y1 = (pdf[c].to_numpy() for c in BOX)
-        self.flat = pdf["_flat"].tolist() if "_flat" in pdf else None
+                .withColumn("_lo", F.least("own", "_other"))
+                .withColumn("_hi", F.greatest("own", "_other")), "cells")
+            keys = keys + ["_lo", "_hi"]
+        else:
+            rows = rows.withColumn("own", F.lit(0))
+        self.rows, self.keys = rows, keys
+
+    def run(self, work, labels: DataFrame | None = None, located: bool = False) -> DataFrame:
+        """Pairs ``a``, ``b`` that ``work`` gives for the lists."""
+        rows = self.rows
+        rows = (rows.withColumn("label", F.lit(-1).cast("bigint")) if labels is None else
+                rows.join(labels, "rid", "left").withColumn("label", F.coalesce("label", F.lit(-1))))
+        fields = ["rid", *BOX, "w", "own", "label"]
+        if "parts" in rows.columns:
+            flat = F.struct(*[F.when(F.col("parts").isNotNull(), to_flat(F.struct("parts"))[n]).alias(n)
+                              for n in ("xs", "ys", "ring_sizes", "part_sizes")])
+            rows = rows.withColumn("flat", flat)
+            fields.append("flat")
+        lists = (rows.groupBy(*self.keys).agg(F.collect_list(F.struct(*fields)).alias("_list"))
+                 .filter(F.size("_list") > 1))
+        args = [F.col("_list"), self.eps] + ([self._place()] if located else [])
+        return (lists.select(work(*args).alias("_out")).select(F.explode("_out").alias("_out"))
+                .select("_out.a", "_out.b"))
+
+    def _place(self) -> Column:
+        extra = ["_k", "_sx", "_sy", "_lo", "_hi"]
+        if not self.chunked:
+            named = [F.lit(v).alias(n) for n, v in zip(extra, (1, 0, 0, 0, 0))]
+        else:
+            named = [F.col(n) for n in extra]
+        return F.struct(F.lit(self.cell).alias("size"), F.lit(self.grow).alias("grow"),
+                        "_cx", "_cy", *named)
+
+
+def _label(reps: DataFrame, space: _Space) -> DataFrame:
+    found = connected_components(space.run(_forest), "a", "b").withColumnRenamed("id", "rid")
+    return reps.select("rid").join(found, "rid", "left").select(
+        "rid", F.coalesce("label", "rid").alias("label"))
 
-    def _rings(self, i: int):
-        f = self.flat[i]
-        if f is not None:
-            return ov.flat_to_rings(f)
-        x0, y0, x1, y1 = self.x0[i], self.y0[i], self.x1[i], self.y1[i]
-        return [np.array([[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]])]
 
-    def near(self, i: int, among: np.ndarray) -> np.ndarray:
-        dx = np.maximum(np.maximum(self.x0[among] - self.x1[i], self.x0[i] - self.x1[among]), 0)
-        dy = np.maximum(np.maximum(self.y0[among] - self.y1[i], self.y0[i] - self.y1[among]), 0)
-        hit = among[dx * dx + dy * dy <= self.eps ** 2]
-        if self.flat is None or not len(hit):
-            return hit
-        mine = self._rings(i)
-        return np.array([j for j in hit.tolist() if (self.flat[i] is None and self.flat[j] is None)
-                         or ov.within_distance(mine, self._rings(j), self.eps)], dtype=int)
-
-
-def _forest(eps: float):
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        loc = _Local(pdf, eps)
-        rid = loc.pdf["rid"].to_numpy()
-        left = np.arange(len(rid))
-        src, dst = [], []
-        while len(left):
-            group, queue, left = [int(left[0])], [int(left[0])], left[1:]
-            while queue and len(left):
-                found = loc.near(queue.pop(), left)
-                if len(found):
-                    group.extend(found.tolist())
-                    queue.extend(found.tolist())
-                    left = np.setdiff1d(left, found, assume_unique=True)
-            ids = rid[group]
-            root = ids.min()
-            others = ids[ids != root]
-            src.extend(others.tolist())
-            dst.extend([root] * len(others))
-        return pd.DataFrame({"src": np.array(src, dtype="int64"), "dst": np.array(dst, dtype="int64")})
-    return work
-
-
-def _per_member(eps: float, cell: float, grow: float, adopt: bool):
-    """Weight of the neighbours of each member, or the least label among its core neighbours."""
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        loc = _Local(pdf, eps)
-        p = loc.pdf
-        n, own = len(p), p["_own"].to_numpy()
-        cross = p["_lo"].iat[0] != p["_hi"].iat[0]
-        cx, cy, k, sx, sy = (p[c].iat[0] for c in ("_cx", "_cy", "_k", "_sx", "_sy"))
-        w = p["w"].to_numpy()
-        label = p["label"].to_numpy(dtype="float64", na_value=np.nan) if adopt else None
-
-        def sub(v, base):
-            return np.clip(np.floor((v - base * cell) * k / cell), 0, k - 1)
-
-        out = []
-        everyone = np.arange(n)
-        for i in range(n):
-            if adopt and not np.isnan(label[i]):
-                continue
-            js = loc.near(i, everyone[everyone != i])
-            js = js[own[js] != own[i]] if cross else js[own[js] == own[i]]
-            if adopt:
-                cores = js[~np.isnan(label[js])]
-                if len(cores):
-                    out.append((p["rid"].iat[i], p["label"].iloc[cores].min()))
-                continue
-            x = np.maximum(loc.x0[i], loc.x0[js]) - grow
-            y = np.maximum(loc.y0[i], loc.y0[js]) - grow
-            here = ((np.floor(x / cell) == cx) & (np.floor(y / cell) == cy)
-                    & (sub(x, cx) == sx) & (sub(y, cy) == sy))
-            if here.any():
-                out.append((p["rid"].iat[i], int(w[js[here]].sum())))
-        return pd.DataFrame(out, columns=["rid", "v"]).astype("int64")
-    return work
-
-
-def _edges(space: _Space) -> DataFrame:
-    edges = space.pairs().select(F.col("a_rid").alias("src"), F.col("b_rid").alias("dst"))
-    if space.dense is not None:
-        edges = edges.unionAll(space.in_chunks(space.chunks(), _forest(space.eps),
-                                               "src long, dst long"))
-    return edges
-
-
-def _cores(space: _Space, reps: DataFrame, min_points: int) -> DataFrame:
-    """Members with at least ``min_points`` members, themselves included, within reach."""
-    p = space.pairs()
-    got = (p.select(F.col("a_rid").alias("rid"), F.col("b_w").alias("v"))
-           .unionAll(p.select(F.col("b_rid").alias("rid"), F.col("a_w").alias("v"))))
-    if space.dense is not None:
-        got = got.unionAll(space.in_chunks(
-            space.chunks(), _per_member(space.eps, space.cell, space.grow, False),
-            "rid long, v long"))
-    degree = got.groupBy("rid").agg(F.sum("v").alias("v"))
-    return (reps.join(degree, "rid", "left")
+def _with_noise(reps: DataFrame, eps: float, cell: float, min_points: int) -> DataFrame:
+    space = _Space(reps, eps, cell)
+    degree = (space.run(_weights, located=True).groupBy(F.col("a").alias("rid"))
+              .agg(F.sum("b").alias("v")))
+    core = (reps.join(degree, "rid", "left")
             .filter(F.col("w") + F.coalesce("v", F.lit(0)) >= min_points).drop("v"))
-
-
-def _adopt_border(space: _Space, labels: DataFrame) -> DataFrame:
-    """Least label among the core neighbours of members that are not core themselves."""
-    p = space.pairs().select("a_rid", "b_rid")
-    both = p.unionAll(p.select(F.col("b_rid").alias("a_rid"), F.col("a_rid").alias("b_rid")))
-    core = labels.select(F.col("rid").alias("b_rid"), F.col("label").alias("v"))
-    own = labels.select(F.col("rid").alias("a_rid"))
-    got = (both.join(core, "b_rid").join(own, "a_rid", "left_anti")
-           .select(F.col("a_rid").alias("rid"), "v"))
-    if space.dense is not None:
-        rows = space.chunks().join(labels, "rid", "left")
-        got = got.unionAll(space.in_chunks(
-            rows, _per_member(space.eps, space.cell, space.grow, True), "rid long, v long"))
-    return got.groupBy("rid").agg(F.min("v").alias("label"))
-
-
-def _label(reps: DataFrame, edges: DataFrame) -> DataFrame:
-    found = connected_components(edges).withColumnRenamed("id", "rid")
-    return reps.select("rid").join(found, "rid", "left").select(
-        "rid", F.coalesce("label", "rid").alias("label"))
+    core = materialize(core, "cores")
+    labels = materialize(_label(core, _Space(core, eps, cell)), "labels")
+    border = (space.run(_adopted, labels).groupBy(F.col("a").alias("rid"))
+              .agg(F.min("b").alias("label")))
+    return labels.unionByName(border)
 
 
 def dbscan(df: DataFrame, by: list[str], eps: float, min_points: int = 1, id_col: str = "id",
@@ -250,22 +229,17 @@ def dbscan(df: DataFrame, by: list[str], eps: float, min_points: int = 1, id_col
     """Add ``cluster`` to polygons: the least id of the cluster, null for noise.
 
     Clusters never cross the values of ``by``. Two polygons are neighbours when they are at most
-    ``eps`` apart. ``id_col`` must be a unique bigint. A border member near several clusters goes to
-    the one with the least label.
+    ``eps`` apart. ``id_col`` must be a unique, non-negative bigint. A border member near several
+    clusters goes to the one with the least label.
     """
     members = _members(df, by, id_col, geom, rectangles)
-    reps = materialize(_fold_copies(members), "members")
-    cell = cell or max(suggest_cell(reps, "g"), 2 * eps) or 1.0
-    space = _Space(reps, eps, cell, rectangles)
-    if min_points <= 1:
-        labels = _label(reps, _edges(space))
-    else:
-        cores = materialize(_cores(space, reps, min_points), "cores")
-        core_space = _Space(cores, eps, cell, rectangles)
-        core_labels = materialize(_label(cores, _edges(core_space)), "labels")
-        labels = core_labels.unionByName(_adopt_border(space, core_labels))
-    keyed = reps.select("_by", *BOX, "_shape", "rid").join(labels, "rid", "left")
+    reps = materialize(_fold_copies(members, rectangles), "members")
+    # wide cells put most members into one list only
+    cell = cell or 4 * (suggest_cell(reps.withColumn("g", F.struct(*BOX)), "g") + eps)
+    labels = (_label(reps, _Space(reps, eps, cell)) if min_points <= 1 else
+              _with_noise(reps, eps, cell, min_points))
+    keyed = reps.select("_by", *BOX, "_shape", "rid").join(labels, "rid", "left").drop("rid")
     of_member = (members.drop("parts").withColumnRenamed("rid", id_col)
-                 .join(keyed.drop("rid"), ["_by", *BOX, "_shape"])
+                 .join(keyed, ["_by", *BOX, "_shape"])
                  .select(id_col, F.col("label").alias("cluster")))
     return df.join(of_member, id_col)

@@ -12,15 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import overlay as ov
-from ..functions.geometry import FLAT_TYPE, from_flat, st_area, st_box, st_from_parts, to_flat
+from ..functions.geometry import st_area, st_box, st_from_parts, to_flat
 from .grid import spread, suggest_cell
-from .polygons import _Flat, _flat_array, with_clip, with_valid
+from .polygons import PARTS, _Flat, _parts_array, with_clip, with_valid
 
 CHUNK_ROWS = 256
 SEAM_PARTS = 2_000  # above this many pieces the cell borders stay visible in the geometry
 
 
-@F.arrow_udf(FLAT_TYPE)
+@F.arrow_udf(PARTS)
 def _union_lists(groups: pa.Array) -> pa.Array:
     """Union of the polygons in each list; lists are null where nothing has to be merged."""
     valid = np.asarray(groups.is_valid())
@@ -29,15 +29,16 @@ def _union_lists(groups: pa.Array) -> pa.Array:
     made = {}
     for i in np.flatnonzero(valid).tolist():
         rings = [ov.flat_to_rings(flat[j]) for j in range(offsets[i], offsets[i + 1])]
-        made[i] = ov.parts_to_flat(ov.overlay(rings, 1))
-    return _flat_array(made, len(groups))
+        made[i] = ov.overlay(rings, 1)
+    return _parts_array(made, len(groups))
 
 
 def _merge(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    lists = pieces.groupBy(*keys).agg(F.collect_list("f").alias("fs"))  # at most one chunk
-    several = F.size("fs") > 1
-    return (lists.withColumn("u", _union_lists(F.when(several, F.col("fs"))))
-            .select(*keys, F.when(several, F.col("u")).otherwise(F.col("fs")[0]).alias("f")))
+    lists = pieces.groupBy(*keys).agg(F.collect_list("parts").alias("ps"))  # at most one chunk
+    several = F.size("ps") > 1
+    flat = F.transform("ps", lambda p: to_flat(F.struct(p.alias("parts"))))
+    return (lists.withColumn("u", _union_lists(F.when(several, flat)))
+            .select(*keys, F.when(several, F.col("u")).otherwise(F.col("ps")[0]).alias("parts")))
 
 
 def _chunked(pieces: DataFrame, keys: list[str]) -> tuple[DataFrame, bool]:
@@ -48,7 +49,7 @@ def _chunked(pieces: DataFrame, keys: list[str]) -> tuple[DataFrame, bool]:
     n = F.ceil(F.col("_n") / F.lit(CHUNK_ROWS))
     return (pieces.join(counts.filter(F.col("_n") > CHUNK_ROWS), keys, "left")
             .withColumn("_chunk", F.when(F.col("_n").isNull(), 0)
-                        .otherwise(F.pmod(F.xxhash64("f"), n)).cast("int")).drop("_n")), True
+                        .otherwise(F.pmod(F.xxhash64("parts"), n)).cast("int")).drop("_n")), True
 
 
 def dissolve_pieces(df: DataFrame, by: list[str], cell: float | None = None, geom: str = "geom",
@@ -65,19 +66,19 @@ def dissolve_pieces(df: DataFrame, by: list[str], cell: float | None = None, geo
         cut = (rows.select(*keys, low_x.alias("a"), low_y.alias("b"), high_x.alias("c"),
                            high_y.alias("d"))
                .filter((F.col("c") > F.col("a")) & (F.col("d") > F.col("b"))).distinct()
-               .select(*keys, to_flat(st_box("a", "b", "c", "d")).alias("f")))
+               .select(*keys, st_box("a", "b", "c", "d")["parts"].alias("parts")))
     else:
         inside = ((g["minx"] >= x0) & (g["maxx"] <= x0 + size)
                   & (g["miny"] >= y0) & (g["maxy"] <= y0 + size))
         cut = (with_clip(rows, "_cut", "geom", x0, y0, x0 + size, y0 + size, ~inside)
                .withColumn("geom", F.when(inside, F.col("geom")).otherwise(F.col("_cut")))
                .filter(F.col("geom").isNotNull())
-               .select(*keys, to_flat("geom").alias("f")).distinct())
+               .select(*keys, F.col("geom")["parts"].alias("parts")).distinct())
     chunked, again = _chunked(cut, keys)
     merged = _merge(chunked, keys + ["_chunk"])
     if again:
         merged = _merge(merged.drop("_chunk"), keys)
-    out = merged.select(*keys, from_flat("f").alias("geom")).filter(F.col("geom").isNotNull())
+    out = merged.select(*keys, st_from_parts(F.lit("multipolygon"), F.col("parts")).alias("geom")).filter(F.col("geom").isNotNull())
     return out.withColumn("area", st_area("geom"))
 
 

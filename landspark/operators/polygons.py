@@ -7,10 +7,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import overlay as ov
-from ..functions.geometry import FLAT_TYPE, as_col, from_flat, st_is_box, to_flat
+from ..functions.geometry import as_col, st_from_parts, st_is_box, to_flat
 
+_VERTEX = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+PARTS = T.ArrayType(T.ArrayType(T.ArrayType(_VERTEX)))
 NAMES = ("xs", "ys", "ring_sizes", "part_sizes")
-ITEM = {"xs": pa.float64(), "ys": pa.float64(), "ring_sizes": pa.int32(), "part_sizes": pa.int32()}
 
 
 class _Flat:
@@ -26,58 +27,62 @@ class _Flat:
         return {n: self.values[n][self.offsets[n][i]:self.offsets[n][i + 1]] for n in NAMES}
 
 
-def _lists(values: list, rows: list[int], size: int, kind: pa.DataType) -> pa.Array:
-    """List column with ``values[k]`` in row ``rows[k]`` and null elsewhere."""
-    lengths = np.zeros(size, dtype=np.int32)
-    lengths[rows] = [len(v) for v in values]
-    missing = np.ones(size + 1, dtype=bool)
-    missing[rows] = False
-    missing[size] = False
-    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), mask=missing)
-    items = np.concatenate(values) if values else np.empty(0)
-    return pa.ListArray.from_arrays(offsets, pa.array(items, type=kind))
+def _offsets(lengths) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
 
 
-def _flat_array(made: dict[int, dict], size: int) -> pa.StructArray:
+def _parts_array(made: dict[int, list], size: int) -> pa.ListArray:
+    """Column of nested parts with ``made[i]`` in row ``i`` and null elsewhere."""
     rows = sorted(made)
-    return pa.StructArray.from_arrays(
-        [_lists([made[i][n] for i in rows], rows, size, ITEM[n]) for n in NAMES], names=list(NAMES))
+    parts = [p for i in rows for p in made[i]]
+    rings = [r for p in parts for r in p]
+    pts = np.vstack(rings) if rings else np.empty((0, 2))
+    vertices = pa.StructArray.from_arrays([pa.array(pts[:, 0], pa.float64()),
+                                           pa.array(pts[:, 1], pa.float64())], ["x", "y"])
+    nested = pa.ListArray.from_arrays(_offsets([len(r) for r in rings]), vertices)
+    nested = pa.ListArray.from_arrays(_offsets([len(p) for p in parts]), nested)
+    lengths = np.zeros(size, dtype=np.int64)
+    lengths[rows] = [len(made[i]) for i in rows]
+    missing = np.ones(size + 1, dtype=bool)
+    missing[rows] = False
+    missing[size] = False
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, mask=missing), nested)
 
 
-@F.arrow_udf(FLAT_TYPE)
+@F.arrow_udf(PARTS)
 def _intersect(a: pa.Array, b: pa.Array) -> pa.Array:
     fa, fb = _Flat(a), _Flat(b)
     both = np.flatnonzero(fa.filled & fb.filled)
-    return _flat_array({i: ov.parts_to_flat(ov.overlay(
-        [ov.flat_to_rings(fa[i]), ov.flat_to_rings(fb[i])], 2)) for i in both.tolist()}, len(a))
+    return _parts_array({i: ov.overlay([ov.flat_to_rings(fa[i]), ov.flat_to_rings(fb[i])], 2)
+                         for i in both.tolist()}, len(a))
 
 
-@F.arrow_udf(FLAT_TYPE)
+@F.arrow_udf(PARTS)
 def _repair(a: pa.Array) -> pa.Array:
     f = _Flat(a)
-    return _flat_array({i: ov.parts_to_flat(ov.overlay([ov.flat_to_rings(f[i])], 1))
-                        for i in np.flatnonzero(f.filled).tolist()}, len(a))
+    return _parts_array({i: ov.overlay([ov.flat_to_rings(f[i])], 1)
+                         for i in np.flatnonzero(f.filled).tolist()}, len(a))
 
 
-@F.arrow_udf(FLAT_TYPE)
+@F.arrow_udf(PARTS)
 def _clip(a: pa.Array, x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array) -> pa.Array:
     f = _Flat(a)
     box = np.column_stack([c.to_numpy(zero_copy_only=False) for c in (x0, y0, x1, y1)])
-    return _flat_array({i: ov.parts_to_flat(ov.clip_box(ov.flat_to_parts(f[i]), *box[i]))
-                        for i in np.flatnonzero(f.filled).tolist()}, len(a))
+    return _parts_array({i: ov.clip_box(ov.flat_to_parts(f[i]), *box[i])
+                         for i in np.flatnonzero(f.filled).tolist()}, len(a))
 
 
-@F.arrow_udf(T.ArrayType(FLAT_TYPE))
+@F.arrow_udf(T.ArrayType(PARTS))
 def _pieces(a: pa.Array, limit: pa.Array) -> pa.Array:
     f = _Flat(a)
-    cut = {i: [ov.parts_to_flat(q) for q in ov.halve(ov.flat_to_parts(f[i]), limit[i].as_py())]
+    cut = {i: list(ov.halve(ov.flat_to_parts(f[i]), limit[i].as_py()))
            for i in np.flatnonzero(f.filled).tolist()}
     rows = sorted(cut)
     every = [q for i in rows for q in cut[i]]
     lengths = np.zeros(len(a), dtype=np.int32)
     lengths[rows] = [len(cut[i]) for i in rows]
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    return pa.ListArray.from_arrays(offsets, _flat_array(dict(enumerate(every)), len(every)))
+    return pa.ListArray.from_arrays(_offsets(lengths), _parts_array(dict(enumerate(every)), len(every)))
 
 
 @F.arrow_udf(T.BooleanType())
@@ -97,9 +102,10 @@ def _null_unless(cond: Column | None, flat: Column) -> Column:
                       ("xs", "ys", "ring_sizes", "part_sizes")])
 
 
-def _through(df: DataFrame, out: str, flat: Column) -> DataFrame:
-    # the kernel result is a column of its own before it is nested again
-    return df.withColumn("_flat", flat).withColumn(out, from_flat("_flat")).drop("_flat")
+def _through(df: DataFrame, out: str, parts: Column) -> DataFrame:
+    # the kernel result is a column of its own before its box is worked out
+    return (df.withColumn("_made", parts)
+            .withColumn(out, st_from_parts(F.lit("multipolygon"), F.col("_made"))).drop("_made"))
 
 
 def with_intersection(df: DataFrame, out: str, a: str, b: str, needed: Column | None = None):
@@ -135,7 +141,7 @@ def subdivide(df: DataFrame, geom: str = "geom", max_vertices: int = 256) -> Dat
     big = vertex_count(geom) > max_vertices
     pieces = _pieces(_null_unless(big, to_flat(geom)), F.lit(max_vertices))
     return (df.withColumn("_pieces", pieces)
-            .withColumn("_piece", F.explode(F.when(big, F.transform("_pieces", from_flat))
+            .withColumn("_piece", F.explode(F.when(big, F.transform("_pieces", lambda p: st_from_parts(F.lit("multipolygon"), p)))
                                             .otherwise(F.array(F.col(geom)))))
             .withColumn(geom, F.col("_piece")).drop("_pieces", "_piece"))
 

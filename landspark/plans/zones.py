@@ -91,7 +91,7 @@ def conflict_zones(properties: DataFrame, territories: DataFrame, cell: float,
         .alias("properties"),
         F.count(F.lit(1)).alias("overlaps"))
     merged = dissolve(marked, keys, zone_cell or cell, rectangles=rectangles)
-    zones = lists.join(merged, keys).withColumn("geom", st_multi("geom"))
+    zones = materialize(lists.join(merged, keys).withColumn("geom", st_multi("geom")), "zones")
     order = ["traditional_name", "traditional_source", "property_code", "property_name",
              F.col("geom")["minx"], F.col("geom")["miny"]]
     return with_row_id(zones, order).select(
