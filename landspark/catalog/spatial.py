@@ -72,12 +72,27 @@ def overlap_polygons_with_holes(spark, d):
                         F.round("area").cast("bigint").alias("area"))
 
 
+def comb(df, teeth=6):
+    """Boxes with slits cut in from above: 4 vertices more per slit, each slit 2 wide and 60 deep."""
+    top, foot = [], []
+    for i in range(teeth, 0, -1):
+        x = F.col("x0") + 20 * i
+        top += [g.vertex(x + 2, "y1"), g.vertex(x + 2, F.col("y1") - 60), g.vertex(x, F.col("y1") - 60), g.vertex(x, "y1")]
+    foot = [g.vertex("x0", "y0"), g.vertex("x1", "y0"), g.vertex("x1", "y1")]
+    ring = F.array(*foot, *top, g.vertex("x0", "y1"), g.vertex("x0", "y0"))
+    return df.withColumn("geom", g.st_rings(ring))
+
+
+_TEETH = " - ".join([shared(_P_BOX, _T_BOX)] + [
+    shared(_P_BOX, f"t.x0+{20*i},t.y1-60,t.x0+{20*i}+2,t.y1") for i in range(1, 7)])
+
+
 @query("overlap_subdivided", ctes("parcels", "territories") + f"""
-    SELECT p.code, t.tid, cast({_FRAMES} AS bigint) AS area FROM parcels p JOIN territories t ON {MEET}
-    WHERE {_FRAMES} > 0""")
+    SELECT p.code, t.tid, cast({_TEETH} AS bigint) AS area FROM parcels p JOIN territories t ON {MEET}
+    WHERE {_TEETH} > 0""")
 def overlap_subdivided(spark, d):
-    pairs = overlap.overlap_join(frame(fx.parcels(spark, d), 2), frame(fx.territories(spark, d), 40), CELL,
-                                 "code", "tid", max_vertices=8)
+    pairs = overlap.overlap_join(fx.parcels(spark, d), comb(fx.territories(spark, d)), CELL, "code", "tid",
+                                 max_vertices=16)
     return pairs.select(F.col("l_code").alias("code"), F.col("r_tid").alias("tid"),
                         F.round(g.st_area("geom")).cast("bigint").alias("area"))
 
@@ -181,7 +196,7 @@ def surface_points_of_frames(spark, d):
 def repaired_bow_ties(spark, d):
     ring = F.array(g.vertex("x0", "y0"), g.vertex("x1", "y1"), g.vertex("x1", "y0"), g.vertex("x0", "y1"),
                    g.vertex("x0", "y0"))
-    ties = fx.parcels(spark, d).withColumn("geom", g.st_rings(ring))
+    ties = fx.parcels(spark, d).repartition(32).withColumn("geom", g.st_rings(ring))
     return make_valid(ties).select("code", F.round(g.st_area("geom"), 4).alias("area"),
                                    F.size("geom.parts").alias("parts"))
 
@@ -207,7 +222,7 @@ _GEO = _GEO.replace("-41 +", "cast(-41 AS double) +").replace("-9 +", "cast(-9 A
 
 
 @query("geodesic_hectares", ctes(b=_GEO) + f"""
-    SELECT code, round(6371007.1809*6371007.1809*radians(lon1-lon0)*abs({_Q.format('lat1')}-{_Q.format('lat0')})
+    SELECT code, round(cast(6371007.1809 AS double)*6371007.1809*radians(lon1-lon0)*abs({_Q.format('lat1')}-{_Q.format('lat0')})
       /({_Q.format('90')})/10000.0, 1) AS hectares FROM b""")
 def geodesic_hectares(spark, d):
     boxes = spark.sql(_GEO.replace("FROM orders", "FROM {orders}"), orders=fx.table(spark, d, "orders"))
@@ -248,8 +263,8 @@ LAYERS = """SELECT 'area_imovel_1' AS layer, 25 AS prio, code AS key, name, x0,
 
 @query("probe_points", ctes("points", "parcels", "territories", f=LAYERS, h="""
     SELECT p.pid, f.* FROM points p JOIN f ON p.x BETWEEN f.x0 AND f.x1 AND p.y BETWEEN f.y0 AND f.y1""") + """
-    SELECT pid, arg_min(layer, prio*1000000000 + key) AS layer, arg_min(key, prio*1000000000 + key) AS feature, count(*) AS hits,
-      coalesce(CASE WHEN arg_min(layer, prio*1000000000 + key) = 'area_imovel_1'
+    SELECT pid, arg_min(layer, cast(prio AS bigint)*1000000000 + key) AS layer, arg_min(key, cast(prio AS bigint)*1000000000 + key) AS feature, count(*) AS hits,
+      coalesce(CASE WHEN arg_min(layer, cast(prio AS bigint)*1000000000 + key) = 'area_imovel_1'
            THEN min(CASE WHEN layer = 'sigef_privado_pe' THEN key END) END, -1) AS parcel
     FROM h GROUP BY pid""")
 def probe_points(spark, d):

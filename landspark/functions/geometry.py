@@ -22,6 +22,12 @@ def as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value worked out once. Inside a lambda an outer expression is evaluated again for
+    every element; a lambda variable is not."""
+    return F.transform(F.array(value), f)[0]
+
+
 def vertex(x, y) -> Column:
     return F.struct(as_col(x).cast("double").alias("x"), as_col(y).cast("double").alias("y"))
 
@@ -54,13 +60,15 @@ def box_ring(x0, y0, x1, y1) -> Column:
 
 def st_from_parts(gtype, parts) -> Column:
     """Add the bounding box to a vertex nesting; null where there is no vertex."""
-    parts = as_col(parts)
-    flat = F.flatten(F.flatten(parts))
-    xs = F.transform(flat, lambda p: p["x"])
-    ys = F.transform(flat, lambda p: p["y"])
-    made = _geom(as_col(gtype), parts, F.array_min(xs), F.array_min(ys),
-                 F.array_max(xs), F.array_max(ys))
-    return F.when(F.size(flat) > 0, made)
+    kind = as_col(gtype)
+
+    def made(p):
+        return let(F.flatten(F.flatten(p)), lambda flat: let(
+            F.struct(F.transform(flat, lambda v: v["x"]).alias("x"), F.transform(flat, lambda v: v["y"]).alias("y")),
+            lambda c: F.when(F.size(flat) > 0, _geom(
+                kind, p, F.array_min(c["x"]), F.array_min(c["y"]), F.array_max(c["x"]), F.array_max(c["y"])))))
+
+    return let(as_col(parts), made)
 
 
 def st_is_empty(g) -> Column:
@@ -91,16 +99,19 @@ def _total(values: Column) -> Column:
 
 def ring_area(ring) -> Column:
     """Signed area, counter-clockwise positive; measured from the first vertex for precision."""
-    ring = as_col(ring)
-    ox, oy = ring[0]["x"], ring[0]["y"]
-    cross = _steps(ring, lambda a, b: (a["x"] - ox) * (b["y"] - oy) - (b["x"] - ox) * (a["y"] - oy))
-    return F.when(F.size(ring) >= 4, _total(cross) / 2.0).otherwise(F.lit(0.0))
+
+    def area(r):
+        ox, oy = r[0]["x"], r[0]["y"]
+        cross = _steps(r, lambda a, b: (a["x"] - ox) * (b["y"] - oy) - (b["x"] - ox) * (a["y"] - oy))
+        return F.when(F.size(r) >= 4, _total(cross) / 2.0).otherwise(F.lit(0.0))
+
+    return let(as_col(ring), area)
 
 
 def _part_total(part: Column, ring_value) -> Column:
     """Value of the shell minus the values of the holes."""
-    values = F.transform(part, ring_value)
-    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc - v) + 2.0 * values[0]
+    return let(F.transform(part, ring_value), lambda values: F.aggregate(
+        values, F.lit(0.0), lambda acc, v: acc - v) + 2.0 * values[0])
 
 
 def part_area(part) -> Column:
@@ -218,6 +229,10 @@ def _crossings_odd(segs: Column, x, y) -> Column:
     return F.size(hit) % 2 == 1
 
 
+def _covered(segs, x, y) -> Column:
+    return _crossings_odd(segs, x, y) | F.exists(segs, lambda s: _on_segment(s, x, y))
+
+
 def _in_bbox(g, x, y) -> Column:
     return (x >= g["minx"]) & (x <= g["maxx"]) & (y >= g["miny"]) & (y <= g["maxy"])
 
@@ -225,17 +240,16 @@ def _in_bbox(g, x, y) -> Column:
 def st_contains(g, x, y) -> Column:
     """Point strictly inside the polygon; points on the boundary do not count."""
     g, x, y = as_col(g), as_col(x).cast("double"), as_col(y).cast("double")
-    segs = segments(g)
-    inside = _crossings_odd(segs, x, y) & ~F.exists(segs, lambda s: _on_segment(s, x, y))
+    inside = let(segments(g), lambda segs: _crossings_odd(segs, x, y)
+                 & ~F.exists(segs, lambda s: _on_segment(s, x, y)))
     return F.when(_in_bbox(g, x, y), inside).otherwise(F.lit(False))
 
 
 def st_covers(g, x, y) -> Column:
     """Point inside the polygon or on its boundary."""
     g, x, y = as_col(g), as_col(x).cast("double"), as_col(y).cast("double")
-    segs = segments(g)
-    inside = _crossings_odd(segs, x, y) | F.exists(segs, lambda s: _on_segment(s, x, y))
-    return F.when(_in_bbox(g, x, y), inside).otherwise(F.lit(False))
+    return F.when(_in_bbox(g, x, y), let(segments(g), lambda segs: _covered(segs, x, y))
+                  ).otherwise(F.lit(False))
 
 
 def _segments_meet(s, t) -> Column:
@@ -261,14 +275,16 @@ def st_intersects(a, b) -> Column:
     the other, which a single vertex per part decides.
     """
     a, b = as_col(a), as_col(b)
-    sa, sb = segments(a), segments(b)
-    edges_meet = F.exists(sa, lambda s: F.exists(sb, lambda t: _segments_meet(s, t)))
-    a_in_b = F.exists(_first_vertices(a), lambda p: st_covers(b, p["x"], p["y"]))
-    b_in_a = F.exists(_first_vertices(b), lambda p: st_covers(a, p["x"], p["y"]))
+
+    def meet(e):
+        edges = F.exists(e["a"], lambda s: F.exists(e["b"], lambda t: _segments_meet(s, t)))
+        return (F.exists(_first_vertices(a), lambda p: _covered(e["b"], p["x"], p["y"]))
+                | F.exists(_first_vertices(b), lambda p: _covered(e["a"], p["x"], p["y"])) | edges)
+
     same_point = ((a["gtype"] == "point") & (b["gtype"] == "point") & (a["minx"] == b["minx"])
                   & (a["miny"] == b["miny"]))
-    return F.when(bbox_intersects(a, b),
-                  same_point | a_in_b | b_in_a | edges_meet).otherwise(F.lit(False))
+    both = F.struct(segments(a).alias("a"), segments(b).alias("b"))
+    return F.when(bbox_intersects(a, b), same_point | let(both, meet)).otherwise(F.lit(False))
 
 
 def st_dimension(g) -> Column:
@@ -310,28 +326,31 @@ def st_point_on_surface(g) -> Column:
     largest part. When mid height falls on a vertex the line is moved to half-way between the
     two vertex heights around it."""
     g = as_col(g)
-    largest = F.reduce(
-        g["parts"], F.struct(F.lit(-1.0).alias("a"), g["parts"][0].alias("p")),
-        lambda acc, p: F.when(part_area(p) > acc["a"],
-                              F.struct(part_area(p).alias("a"), p.alias("p"))).otherwise(acc))["p"]
+    sized = F.transform(g["parts"], lambda p, i: F.struct(part_area(p).alias("a"), (-i).alias("i"), p.alias("p")))
 
     def on_part(p):
         ys = F.array_sort(F.array_distinct(F.transform(F.flatten(p), lambda v: v["y"])))
-        mid = (F.array_min(ys) + F.array_max(ys)) / 2.0
-        above = F.array_min(F.filter(ys, lambda v: v > mid))
-        clash = F.array_contains(ys, mid)
-        y = F.when(clash, (mid + above) / 2.0).otherwise(mid)
-        segs = F.flatten(F.transform(p, lambda r: _steps(r, lambda a, b: F.struct(
-            a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))))
-        xs = _scanline(segs, y)
-        spans = F.transform(F.sequence(F.lit(1), F.greatest(F.size(xs) / 2, F.lit(1)).cast("int")),
-                            lambda i: F.struct((F.get(xs, 2 * i - 1) - F.get(xs, 2 * i - 2)).alias("w"),
-                                               F.get(xs, 2 * i - 2).alias("x")))
-        best = F.array_max(spans)
-        return F.struct((best["x"] + best["w"] / 2.0).alias("x"), y.alias("y"))
-
-    # transform over a one-element array evaluates the chosen part once
-    return F.transform(F.array(largest), on_part)[0]
+        return let(ys, lambda heights: let(
+            (F.array_min(heights) + F.array_max(heights)) / 2.0, lambda mid: let(
+                F.when(F.array_contains(heights, mid),
+                       (mid + F.array_min(F.filter(heights, lambda v: v > mid))) / 2.0).otherwise(mid),
+                lambda y: _on_line(p, y))))
+
+    return let(F.array_max(sized)["p"], on_part)
+
+
+def _on_line(p, y) -> Column:
+    segs = F.flatten(F.transform(p, lambda r: _steps(r, lambda a, b: F.struct(
+        a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))))
+
+    def widest(xs):
+        pairs = F.transform(F.sequence(F.lit(0), F.greatest((F.size(xs) / 2 - 1).cast("int"), F.lit(0))),
+                            lambda i: F.struct((F.get(xs, 2 * i + 1) - F.get(xs, 2 * i)).alias("w"),
+                                               F.get(xs, 2 * i).alias("x")))
+        return let(F.array_max(pairs), lambda best: F.struct(
+            (best["x"] + best["w"] / 2.0).alias("x"), y.alias("y")))
+
+    return let(_scanline(segs, y), widest)
 
 
 def _wkt_ring(r) -> Column:

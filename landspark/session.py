@@ -24,6 +24,7 @@ def get_spark(app: str = "landspark", cores: str | int = "*", partitions: int =
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
