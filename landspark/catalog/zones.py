@@ -111,13 +111,13 @@ _ZONES = ctes(
     areas="SELECT zone, sum((nx-x)*(ny-y)) AS area FROM fields GROUP BY zone",
     z="""SELECT zone, min(tname) AS traditional_name, min(tsource) AS traditional_source,
       string_agg(DISTINCT pname, '; ' ORDER BY pname) AS property_name, string_agg(DISTINCT pcode, '; ' ORDER BY pcode) AS property_code,
-      string_agg(DISTINCT psource, '; ' ORDER BY psource) AS property_source, count(*) AS overlaps, min(x0) AS mx, min(y0) AS my
+      string_agg(DISTINCT psource, '; ' ORDER BY psource) AS property_source, count(*) AS "overlaps", min(x0) AS mx, min(y0) AS my
       FROM m GROUP BY zone""")
 
 
 @query("conflict_zones", _ZONES + """
     SELECT row_number() OVER (ORDER BY traditional_name, traditional_source, property_code, property_name, mx, my) AS id,
-      property_name, property_code, property_source, traditional_name, traditional_source, overlaps, cast(area AS bigint) AS area
+      property_name, property_code, property_source, traditional_name, traditional_source, "overlaps", cast(area AS bigint) AS area
     FROM z JOIN areas USING (zone)""")
 def conflict_zones(spark, d):
     props, terr = layers(spark, d)

@@ -33,6 +33,9 @@ def _union_lists(groups: pa.Array) -> pa.Array:
     return _parts_array(made, len(groups))
 
 
+_union_lists = _union_lists.asNondeterministic()
+
+
 def _merge(pieces: DataFrame, keys: list[str]) -> DataFrame:
     lists = pieces.groupBy(*keys).agg(F.collect_list("parts").alias("ps"))  # at most one chunk
     several = F.size("ps") > 1

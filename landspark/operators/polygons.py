@@ -94,6 +94,12 @@ def _near(a: pa.Array, b: pa.Array, eps: pa.Array) -> pa.Array:
     return pa.array(out)
 
 
+# a kernel runs once per row and stays where it is: the optimizer neither repeats it nor moves a
+# filter on its result below it
+_intersect, _repair, _clip, _pieces, _near = (
+    f.asNondeterministic() for f in (_intersect, _repair, _clip, _pieces, _near))
+
+
 def _null_unless(cond: Column | None, flat: Column) -> Column:
     if cond is None:
         return flat
@@ -149,8 +155,8 @@ def subdivide(df: DataFrame, geom: str = "geom", max_vertices: int = 256) -> Dat
 def make_valid(df: DataFrame, geom: str = "geom") -> DataFrame:
     """Repair polygons. Rectangles and points are valid as they are and skip the kernel; rows left
     without area are dropped."""
-    is_area = F.col(geom)["gtype"].contains("polygon")
-    work = is_area & ~st_is_box(geom)
-    return (with_valid(df, "_fixed", geom, work)
-            .withColumn(geom, F.when(work, F.col("_fixed")).otherwise(F.col(geom)))
-            .drop("_fixed").filter(F.col(geom).isNotNull()))
+    work = F.col(geom)["gtype"].contains("polygon") & ~st_is_box(geom)
+    marked = df.withColumn("_work", work)
+    return (with_valid(marked, "_fixed", geom, F.col("_work"))
+            .withColumn(geom, F.when(F.col("_work"), F.col("_fixed")).otherwise(F.col(geom)))
+            .drop("_fixed", "_work").filter(F.col(geom).isNotNull()))
