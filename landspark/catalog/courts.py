@@ -1 +1,163 @@
-"""To be filled."""
+"""Court jurisdictions and the link from cases to seats."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import constants as K
+from .. import fixtures as fx
+from ..operators import lookups, summaries
+from ..plans import cases as plan
+from ..plans import jurisdictions as jur
+from . import ctes, query
+from .cases import _COUNTS, NORMAL, normal
+
+# seats cover the municipalities of their region; the second half of a region comes in a second row of the same seat
+_MEMBERS = """SELECT cast(n_regionkey AS bigint) AS rk, cast(n_nationkey AS bigint) AS nk, cast(n_nationkey AS bigint) % 2 AS odd,
+    concat('São Nação-', cast(n_nationkey AS varchar(3))) AS nm, cast(2600000 + n_nationkey*100 AS int) AS code,
+    cast(2600000 + n_regionkey*100 AS int) AS seat_code, concat('São Nação-', cast(n_regionkey AS varchar(3))) AS seat_nm FROM nation"""
+STATE = dict(
+    mem=_MEMBERS,
+    tot="SELECT rk, count(*) AS total, string_agg(nm, '; ' ORDER BY odd, nk) AS covered FROM mem GROUP BY rk",
+    state="""SELECT m.seat_nm AS comarca_nome, m.seat_code AS comarca_ibge, m.nm AS municipio_nome, m.code AS municipio_ibge,
+      m.code = m.seat_code AS eh_sede, CASE WHEN m.code = m.seat_code THEN 'Sede da Comarca' ELSE 'Termo Judiciário (Município Abrangido)' END AS tipo_vinculo,
+      t.total AS total_municipios_comarca, t.covered AS municipios_abrangidos FROM mem m JOIN tot t USING (rk)""")
+# a subsection per region pair, so that some municipalities lie in two
+FEDERAL = dict(
+    fsec="""SELECT DISTINCT cast(n_regionkey AS bigint) AS sec, concat('São Nação-', cast(n_regionkey AS varchar(3)), CASE WHEN n_regionkey = 0 THEN ' (Sede)' ELSE '' END) AS sname,
+      concat('São Nação-', cast(n_regionkey AS varchar(3))) AS seat_nm, cast(2600000 + n_regionkey*100 AS int) AS seat_code,
+      concat(cast(n_regionkey + 1 AS varchar(3)), 'ª Vara') AS varas FROM nation""",
+    fmem="SELECT s.*, m.nk, m.nm, m.code FROM fsec s JOIN mem m ON m.rk = s.sec OR (m.rk = s.sec + 1 AND m.nk % 3 = 0)",
+    ftot="SELECT sec, count(*) AS total, string_agg(nm, '; ' ORDER BY nk) AS covered FROM fmem GROUP BY sec",
+    federal="""SELECT f.sname AS subsecao_nome, f.seat_nm AS subsecao_sede_nome, f.seat_code AS subsecao_ibge, f.varas, f.nm AS municipio_nome,
+      f.code AS municipio_ibge, f.code = f.seat_code AS eh_sede, t.total AS total_municipios_subsecao, t.covered AS municipios_abrangidos, f.sec
+      FROM fmem f JOIN ftot t USING (sec)""")
+
+
+def _nation(spark, d):
+    n = fx.table(spark, d, "nation")
+    return n.select(F.col("n_regionkey").cast("bigint").alias("rk"), F.col("n_nationkey").cast("bigint").alias("nk"))
+
+
+def state_rows(spark, d):
+    """Court cells as found in documents: seat, members one per line, two rows per seat."""
+    n = _nation(spark, d)
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list("nk")), lambda k: F.concat(
+        F.lit(" SAO  NAÇÃO "), k.cast("string"))), "\n")
+    rows = n.groupBy("rk", (F.col("nk") % 2).alias("odd")).agg(lines.alias("members"))
+    return rows.select((F.col("rk") + F.col("odd") * 100).alias("seq"), F.concat(F.lit("são nação "), F.col("rk").cast("string")).alias("seat"),
+                       F.concat(F.lit("Municípios Abrangidos\n"), "members", F.lit("\nSem Registro")).alias("members"))
+
+
+def federal_rows(spark, d):
+    n = _nation(spark, d)
+    both = n.select(F.col("rk").alias("sec"), "nk").unionAll(
+        n.filter("nk % 3 = 0 AND rk > 0").select((F.col("rk") - 1).alias("sec"), "nk"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("nk")), lambda k: F.concat(F.lit("São Nação-"), k.cast("string"))), ", ")
+    rows = both.groupBy("sec").agg(text.alias("members"))
+    # the last comma is an "e", as people write
+    return rows.select(F.col("sec").alias("seq"), F.concat(F.lit("São Nação-"), F.col("sec").cast("string"), F.when(
+        F.col("sec") == 0, " (Sede)").otherwise("")).alias("seat"), F.concat((F.col("sec") + 1).cast("string"), F.lit("ª Vara")).alias("varas"),
+        F.concat(F.regexp_replace("members", r", ([^,]*)$", " e $1"), F.lit(".")).alias("members"))
+
+
+def state(spark, d):
+    return jur.state_jurisdiction(state_rows(spark, d), fx.gazetteer(spark, d))
+
+
+def federal(spark, d):
+    return jur.federal_jurisdiction(federal_rows(spark, d), fx.gazetteer(spark, d))
+
+
+def master(spark, d):
+    return jur.unify_jurisdictions(fx.gazetteer(spark, d), state(spark, d), federal(spark, d))
+
+
+@query("state_jurisdiction", ctes(**STATE) + "SELECT * FROM state")
+def state_jurisdiction(spark, d):
+    return state(spark, d).drop("tribunal", "lon", "lat", "seq")
+
+
+@query("unmatched_members", "SELECT DISTINCT concat('são nação ', n_regionkey) AS seat, 'Sem Registro' AS member, CASE WHEN n_nationkey % 2 = 1 THEN 100 ELSE 0 END + n_regionkey AS seq FROM nation")
+def unmatched_members(spark, d):
+    rows = state_rows(spark, d)
+    out = jur.unmatched_members(rows, fx.gazetteer(spark, d), True)
+    return out.join(rows.select("seat", F.col("seq").cast("bigint").alias("seq")), "seat").distinct()
+
+
+@query("federal_jurisdiction", ctes(**STATE, **FEDERAL) + "SELECT * EXCLUDE (sec) FROM federal")
+def federal_jurisdiction(spark, d):
+    return federal(spark, d).drop("tribunal", "lon", "lat", "seq")
+
+
+@query("distinct_coverage", ctes(**STATE, **FEDERAL) + """
+    SELECT DISTINCT subsecao_nome, subsecao_sede_nome, subsecao_ibge, total_municipios_subsecao, municipios_abrangidos FROM federal""")
+def distinct_coverage(spark, d):
+    return lookups.distinct_coverage(federal(spark, d))
+
+
+MASTER = dict(
+    fagg="""SELECT municipio_ibge, string_agg(subsecao_nome, '; ' ORDER BY sec) AS subs, string_agg(concat(subsecao_nome, ': ', varas), ' | ' ORDER BY sec) AS vs,
+      bool_or(eh_sede) AS fs FROM federal GROUP BY municipio_ibge""",
+    master="""SELECT g.code AS municipio_ibge, g.name AS municipio_nome, s.comarca_nome AS tjpe_comarca_nome, s.comarca_ibge AS tjpe_comarca_ibge,
+      s.eh_sede AS tjpe_eh_sede, s.tipo_vinculo AS tjpe_tipo_vinculo, s.total_municipios_comarca AS tjpe_total_municipios_comarca,
+      s.municipios_abrangidos AS tjpe_comarca_abrangencia, coalesce(f.subs, '') AS jfpe_subsecoes, coalesce(f.vs, '') AS jfpe_varas,
+      coalesce(f.fs, false) AS jfpe_eh_sede FROM gazetteer g LEFT JOIN state s ON s.municipio_ibge = g.code LEFT JOIN fagg f ON f.municipio_ibge = g.code""")
+
+
+@query("unified_jurisdictions", ctes("gazetteer", **STATE, **FEDERAL, **MASTER) + "SELECT * FROM master ORDER BY municipio_nome")
+def unified_jurisdictions(spark, d):
+    return master(spark, d).drop("lon", "lat")
+
+
+# rooms point to the subsections of the fixture
+ROOMS = {i: f"São Nação-{i % 4}" + (" (Sede)" if i % 4 == 0 else "") for i in range(1, 30)}
+_ROOMS_SQL = ", ".join(f"({k}, '{v}')" for k, v in ROOMS.items())
+ENRICHED = dict(
+    sw="SELECT DISTINCT subsecao_nome, lower(split_part(subsecao_nome, ' ', 1)) AS word FROM federal",
+    fed=f"""SELECT d.*, coalesce(r.target, (SELECT min(subsecao_nome) FROM sw WHERE contains(lower(d.municipio_nome), word)), 'São Nação-0 (Sede)') AS target
+      FROM done d LEFT JOIN (VALUES {_ROOMS_SQL}) r(room, target) ON r.room = try_cast(nullif(regexp_extract(d.orgao_julgador_nome, '(\\d+)ª\\s*Vara', 1), '') AS int)
+      WHERE d.tribunal = 'TRF5'""",
+    cov="SELECT DISTINCT subsecao_nome, subsecao_sede_nome, subsecao_ibge, total_municipios_subsecao, municipios_abrangidos FROM federal",
+    enriched="""SELECT d.id, d.tribunal, d.categoria_conflito, s.comarca_nome AS comarca_sede_nome, s.comarca_ibge AS comarca_sede_ibge, s.municipios_abrangidos,
+        s.total_municipios_comarca AS total_municipios_abrangidos, coalesce(s.total_municipios_comarca > 1, false) AS tem_municipios_filhos,
+        CASE WHEN s.comarca_nome IS NOT NULL THEN 'Comarca Estadual (TJPE)' END AS tipo_jurisdicao
+      FROM done d LEFT JOIN state s ON s.municipio_ibge = d.municipio_ibge WHERE d.tribunal = 'TJPE'
+      UNION ALL SELECT f.id, f.tribunal, f.categoria_conflito, c.subsecao_sede_nome, c.subsecao_ibge, c.municipios_abrangidos, c.total_municipios_subsecao,
+        c.subsecao_nome IS NOT NULL, CASE WHEN c.subsecao_nome IS NOT NULL THEN 'Subseção Federal (JFPE)' END FROM fed f LEFT JOIN cov c ON c.subsecao_nome = f.target""")
+_ALL = ctes("cases", "gazetteer", **NORMAL, **STATE, **FEDERAL, **MASTER, **ENRICHED)
+
+
+def _with_rooms(spark, d):
+    """Enriched cases with the rooms of the fixture in place of the fixed room list."""
+    n = normal(spark, d)
+    return plan.enrich_cases(n, state(spark, d), federal(spark, d), rooms=ROOMS, default="São Nação-0 (Sede)")
+
+
+_NONE = "coalesce({0}, 'none') AS {0}"
+
+
+@query("enriched_cases", _ALL + f"""SELECT id, tribunal, {_NONE.format('comarca_sede_nome')}, coalesce(comarca_sede_ibge, -1) AS comarca_sede_ibge,
+    {_NONE.format('municipios_abrangidos')}, coalesce(total_municipios_abrangidos, -1) AS total_municipios_abrangidos, tem_municipios_filhos,
+    {_NONE.format('tipo_jurisdicao')} FROM enriched""")
+def enriched_cases(spark, d):
+    none = lambda c: F.coalesce(c, F.lit("none")).alias(c)
+    return _with_rooms(spark, d).select(
+        "id", "tribunal", none("comarca_sede_nome"), F.coalesce("comarca_sede_ibge", F.lit(-1)).alias("comarca_sede_ibge"),
+        none("municipios_abrangidos"), F.coalesce("total_municipios_abrangidos", F.lit(-1)).alias("total_municipios_abrangidos"),
+        "tem_municipios_filhos", none("tipo_jurisdicao"))
+
+
+_CC = ", ".join(f"coalesce(p.{k}, 0) AS {k}" for k in K.CATEGORY_COLUMNS)
+
+
+@query("municipality_summary", _ALL + f""", p AS (SELECT comarca_sede_ibge, count(*) AS total, {_COUNTS} FROM enriched WHERE comarca_sede_ibge IS NOT NULL GROUP BY 1)
+    SELECT m.*, coalesce(p.total, 0) AS total_processos_comarca, {_CC} FROM master m LEFT JOIN p ON p.comarca_sede_ibge = m.tjpe_comarca_ibge""")
+def municipality_summary(spark, d):
+    return plan.municipality_summary(master(spark, d), _with_rooms(spark, d)).drop("lon", "lat")
+
+
+@query("enrichment_counts", _ALL + """SELECT count(*) AS total, count(comarca_sede_nome) AS resolved, count(*) FILTER (tem_municipios_filhos) AS with_daughters FROM enriched""")
+def enrichment_counts(spark, d):
+    return summaries.verification_counts(_with_rooms(spark, d), {
+        "resolved": F.col("comarca_sede_nome").isNotNull(), "with_daughters": F.col("tem_municipios_filhos")})

@@ -75,11 +75,12 @@ def normalize_cases(raw: DataFrame, gazetteer: DataFrame, seq: str = "seq", fall
 
 
 def enrich_cases(cases: DataFrame, state: DataFrame, federal: DataFrame, state_court: str = K.STATE_COURT,
-                 federal_court: str = K.FEDERAL_COURT) -> DataFrame:
+                 federal_court: str = K.FEDERAL_COURT, rooms: dict[int, str] = K.ROOM_SUBSECTIONS,
+                 default: str = K.DEFAULT_SUBSECTION) -> DataFrame:
     """Add seat, covered municipalities and kind of jurisdiction to each case."""
     is_state, is_federal = F.col("tribunal") == state_court, F.col("tribunal") == federal_court
     s = assign_state_seat(cases.filter(is_state), state).withColumn("_kind", F.lit(K.STATE_JURISDICTION))
-    f = assign_federal_seat(cases.filter(is_federal), federal).withColumn("_kind", F.lit(K.FEDERAL_JURISDICTION))
+    f = assign_federal_seat(cases.filter(is_federal), federal, rooms, default).withColumn("_kind", F.lit(K.FEDERAL_JURISDICTION))
     o = cases.filter(~(is_state | is_federal)).withColumn("seat", F.lit(None).cast(
         s.schema["seat"].dataType)).withColumn("_kind", F.lit(None).cast("string"))
     both = s.unionByName(f).unionByName(o)
