@@ -17,9 +17,12 @@ _NAMES = ["Usucapião Rural", "Direito Agrário", "Comunidade Quilombola", "Imis
 _CLASSES = {1707: "Reintegração / Manutenção de Posse", 49: "Usucapião", 91: "Desapropriação Imóvel Rural", 34: "Demarcação", 65: "Ação Civil Pública"}
 _CODES = [11412, 10124, 12031, 10094, 10100, 10444, 10500, 7640, 5995, 9985, 99999, 0, 88888]
 
-SUBJECTS = f"""SELECT l_orderkey AS k, l_linenumber AS pos, CASE WHEN l_partkey % 3 = 0 THEN {sql_case('l_suppkey % 13', _CODES)} ELSE 77777 END AS codigo,
-    {sql_case('l_partkey % 8', _NAMES)} AS nome, concat(cast(year(l_shipdate) AS varchar(4)), lpad(cast(month(l_shipdate) AS varchar(2)), 2, '0'),
-      lpad(cast(day(l_shipdate) AS varchar(2)), 2, '0')) AS day FROM lineitem"""
+_DAY = ("concat(cast(year(l_shipdate) AS varchar(4)), lpad(cast(month(l_shipdate) AS varchar(2)), 2, '0'), "
+        "lpad(cast(day(l_shipdate) AS varchar(2)), 2, '0'))")
+# line numbers repeat within an order, so the position goes on with part, supplier and day
+SUBJECTS = f"""SELECT l_orderkey AS k, concat(lpad(cast(l_linenumber AS varchar(4)), 4, '0'), lpad(cast(l_partkey AS varchar(12)), 12, '0'),
+    lpad(cast(l_suppkey AS varchar(12)), 12, '0'), {_DAY}) AS pos, CASE WHEN l_partkey % 3 = 0 THEN {sql_case('l_suppkey % 13', _CODES)} ELSE 77777 END AS codigo,
+    {sql_case('l_partkey % 8', _NAMES)} AS nome, {_DAY} AS day FROM lineitem"""
 
 
 def documents(spark, d):
