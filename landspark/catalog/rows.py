@@ -29,7 +29,8 @@ def occurrences(spark, d):
     SELECT code, ord, area, coalesce(area - lag(area) OVER w, 0) AS delta_previous, area - first_value(area) OVER w AS delta_first
     FROM versions WINDOW w AS (PARTITION BY code ORDER BY ord)""")
 def version_changes(spark, d):
-    return rows.history_delta(fx.versions(spark, d), ["code"], "ord", "area").drop("version")
+    # short stretches here as well
+    return rows.history_delta(fx.versions(spark, d), ["code"], "ord", "area", bucket=4).drop("version")
 
 
 @query("one_parcel_history", ctes("versions", x="SELECT min(code) AS c FROM versions", h="""

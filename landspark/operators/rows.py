@@ -47,12 +47,22 @@ def occurrence_index(df: DataFrame, keys: dict[str, Column], seq: str, name: str
             .drop("_i", "_b", "_start", *ks))
 
 
-def history_delta(df: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
-    """Change of a value against the version before and against the first version."""
-    w = Window.partitionBy(*key).orderBy(order)
-    before, first = F.lag(value).over(w), F.first(value).over(w)
-    return df.withColumns({"delta_previous": F.coalesce(F.col(value) - before, F.lit(0)),
-                           "delta_first": F.col(value) - first})
+def history_delta(df: DataFrame, key: list[str], order: str, value: str, bucket: int = BUCKET) -> DataFrame:
+    """Change of a value against the version before and against the first version.
+
+    ``order`` is an integer, unique within the key. As for occurrence numbers, versions are compared
+    within stretches, and a stretch continues from the last value of the one before.
+    """
+    marked = df.withColumn("_b", F.floor(F.col(order) / F.lit(bucket)))
+    ends = marked.groupBy(*key, "_b").agg(F.min_by(value, order).alias("_low"), F.max_by(value, order).alias("_high"))
+    w = Window.partitionBy(*key).orderBy("_b")
+    ends = ends.select(*key, "_b", F.lag("_high").over(w).alias("_carried"), F.first("_low").over(w).alias("_first"))
+    near = F.lag(value).over(Window.partitionBy(*key, "_b").orderBy(order))
+    before = F.coalesce("_near", "_carried")
+    return (marked.withColumn("_near", near).join(ends, [*key, "_b"])
+            .withColumns({"delta_previous": F.coalesce(F.col(value) - before, F.lit(0)),
+                          "delta_first": F.col(value) - F.col("_first")})
+            .drop("_b", "_near", "_carried", "_first"))
 
 
 def last_movement(movements) -> Column:

@@ -20,12 +20,13 @@ def stream_cases(spark: SparkSession, in_dir: str, table: str, checkpoint: str,
     """
     raw = (spark.readStream.schema(CASE_SCHEMA).option("maxFilesPerTrigger", max_files).json(in_dir)
            .withColumn("tribunal_source", F.lit(court))
-           .withColumn("seq", F.struct(F.col("_metadata.file_modification_time").alias("at"),
-                                       F.col("_metadata.file_path").alias("file"),
-                                       F.monotonically_increasing_id().alias("line"))))
+           .withColumn("_at", F.col("_metadata.file_modification_time"))
+           .withColumn("_file", F.col("_metadata.file_path")))
 
     def put(batch: DataFrame, epoch: int) -> None:
-        fresh = normalize_cases(batch, gazetteer)
+        line = F.monotonically_increasing_id().alias("line")
+        ordered = batch.withColumn("seq", F.struct("_at", "_file", line)).drop("_at", "_file")
+        fresh = normalize_cases(ordered, gazetteer)
         session = batch.sparkSession
         if session.catalog.tableExists(table):
             upsert(session.table(table), fresh, "id").write.mode("overwrite").saveAsTable(f"{table}_next")
