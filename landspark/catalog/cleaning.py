@@ -33,7 +33,7 @@ def cleaned_layer(spark, d):
     return out.select(F.col("codigo").alias("code"), r("minx"), r("miny"), r("maxx"), r("maxy"))
 
 
-_STATE_BOX = "SELECT r_regionkey AS rk, -41.0 + r_regionkey AS x0, -9.0 + r_regionkey*0.25 AS y0, -39.5 + r_regionkey AS x1, -8.2 + r_regionkey*0.25 AS y1 FROM region"
+_STATE_BOX = "SELECT r_regionkey AS rk, -41.0 + r_regionkey AS x0, -9.0 + r_regionkey*0.25 AS y0, -39.5 + r_regionkey AS x1, -8.2 + r_regionkey*0.25 AS y1 FROM (SELECT DISTINCT s_nationkey % 5 AS r_regionkey FROM supplier)"
 _FEATURES = """SELECT o_orderkey AS key, CASE o_orderkey % 4 WHEN 0 THEN ' pe' WHEN 1 THEN 'PB' WHEN 2 THEN 'PE ' ELSE NULL END AS uf,
     CASE o_custkey % 3 WHEN 0 THEN 'Pernambuco' WHEN 1 THEN 'BAHIA' ELSE NULL END AS state,
     CASE o_custkey % 5 WHEN 0 THEN concat('PE-', cast(o_custkey AS varchar(9))) ELSE concat('BA-', cast(o_custkey AS varchar(9))) END AS cod,
@@ -45,7 +45,7 @@ _FROM = ctes(f=_FEATURES, b=_STATE_BOX)
 
 def _features(spark, d):
     f = derive(spark, d, _FEATURES, "orders").withColumn("geom", g.st_box("x0", "y0", F.col("x0") + 0.01, F.col("y0") + 0.01))
-    boxes = derive(spark, d, _STATE_BOX, "region").withColumn("geom", g.st_box("x0", "y0", "x1", "y1"))
+    boxes = derive(spark, d, _STATE_BOX, "supplier").withColumn("geom", g.st_box("x0", "y0", "x1", "y1"))
     return f, load_boundary(boxes, 1.0)
 
 

@@ -14,8 +14,8 @@ from .cases import _COUNTS, NORMAL, normal
 
 # seats cover the municipalities of their region; the second half of a region comes in a second row of the same seat
 _MEMBERS = """SELECT cast(n_regionkey AS bigint) AS rk, cast(n_nationkey AS bigint) AS nk, cast(n_nationkey AS bigint) % 2 AS odd,
-    concat('São Nação-', cast(n_nationkey AS varchar(3))) AS nm, cast(2600000 + n_nationkey*100 AS int) AS code,
-    cast(2600000 + n_regionkey*100 AS int) AS seat_code, concat('São Nação-', cast(n_regionkey AS varchar(3))) AS seat_nm FROM nation"""
+    concat('São Nação-', cast(n_nationkey AS varchar(9))) AS nm, cast(2600000 + n_nationkey*100 AS int) AS code,
+    cast(2600000 + n_regionkey*100 AS int) AS seat_code, concat('São Nação-', cast(n_regionkey AS varchar(3))) AS seat_nm FROM (SELECT s_suppkey AS n_nationkey, s_suppkey % 5 AS n_regionkey FROM supplier)"""
 STATE = dict(
     mem=_MEMBERS,
     tot="SELECT rk, count(*) AS total, string_agg(nm, '; ' ORDER BY odd, nk) AS covered FROM mem GROUP BY rk",
@@ -26,7 +26,7 @@ STATE = dict(
 FEDERAL = dict(
     fsec="""SELECT DISTINCT cast(n_regionkey AS bigint) AS sec, concat('São Nação-', cast(n_regionkey AS varchar(3)), CASE WHEN n_regionkey = 0 THEN ' (Sede)' ELSE '' END) AS sname,
       concat('São Nação-', cast(n_regionkey AS varchar(3))) AS seat_nm, cast(2600000 + n_regionkey*100 AS int) AS seat_code,
-      concat(cast(n_regionkey + 1 AS varchar(3)), 'ª Vara') AS varas FROM nation""",
+      concat(cast(n_regionkey + 1 AS varchar(3)), 'ª Vara') AS varas FROM (SELECT s_suppkey AS n_nationkey, s_suppkey % 5 AS n_regionkey FROM supplier)""",
     fmem="SELECT s.*, m.nk, m.nm, m.code FROM fsec s JOIN mem m ON m.rk = s.sec OR (m.rk = s.sec + 1 AND m.nk % 3 = 0)",
     ftot="SELECT sec, count(*) AS total, string_agg(nm, '; ' ORDER BY nk) AS covered FROM fmem GROUP BY sec",
     federal="""SELECT f.sname AS subsecao_nome, f.seat_nm AS subsecao_sede_nome, f.seat_code AS subsecao_ibge, f.varas, f.nm AS municipio_nome,
@@ -34,14 +34,14 @@ FEDERAL = dict(
       FROM fmem f JOIN ftot t USING (sec)""")
 
 
-def _nation(spark, d):
-    n = fx.table(spark, d, "nation")
-    return n.select(F.col("n_regionkey").cast("bigint").alias("rk"), F.col("n_nationkey").cast("bigint").alias("nk"))
+def _places(spark, d):
+    k = F.col("s_suppkey")
+    return fx.table(spark, d, "supplier").select((k % 5).alias("rk"), k.alias("nk"))
 
 
 def state_rows(spark, d):
     """Court cells as found in documents: seat, members one per line, two rows per seat."""
-    n = _nation(spark, d)
+    n = _places(spark, d)
     lines = F.array_join(F.transform(F.array_sort(F.collect_list("nk")), lambda k: F.concat(
         F.lit(" SAO  NAÇÃO "), k.cast("string"))), "\n")
     rows = n.groupBy("rk", (F.col("nk") % 2).alias("odd")).agg(lines.alias("members"))
@@ -50,7 +50,7 @@ def state_rows(spark, d):
 
 
 def federal_rows(spark, d):
-    n = _nation(spark, d)
+    n = _places(spark, d)
     both = n.select(F.col("rk").alias("sec"), "nk").unionAll(
         n.filter("nk % 3 = 0 AND rk > 0").select((F.col("rk") - 1).alias("sec"), "nk"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list("nk")), lambda k: F.concat(F.lit("São Nação-"), k.cast("string"))), ", ")
@@ -78,7 +78,7 @@ def state_jurisdiction(spark, d):
     return state(spark, d).drop("tribunal", "lon", "lat", "seq")
 
 
-@query("unmatched_members", "SELECT DISTINCT concat('são nação ', n_regionkey) AS seat, 'Sem Registro' AS member, CASE WHEN n_nationkey % 2 = 1 THEN 100 ELSE 0 END + n_regionkey AS seq FROM nation")
+@query("unmatched_members", "SELECT DISTINCT concat('são nação ', n_regionkey) AS seat, 'Sem Registro' AS member, CASE WHEN n_nationkey % 2 = 1 THEN 100 ELSE 0 END + n_regionkey AS seq FROM (SELECT s_suppkey AS n_nationkey, s_suppkey % 5 AS n_regionkey FROM supplier)")
 def unmatched_members(spark, d):
     rows = state_rows(spark, d)
     out = jur.unmatched_members(rows, fx.gazetteer(spark, d), True)

@@ -166,8 +166,8 @@ def landed_reports(spark, d):
 
 
 def area(spark, d):
-    # a fixed box, spread over the given regions and dissolved again
-    return derive(spark, d, "SELECT DISTINCT -38.0 AS x0, -9.0 AS y0, -36.0 AS x1, -8.0 AS y1 FROM region", "region").select(
+    # the area of interest
+    return derive(spark, d, "SELECT DISTINCT -38.0 AS x0, -9.0 AS y0, -36.0 AS x1, -8.0 AS y1 FROM supplier", "supplier").select(
         g.st_box("x0", "y0", "x1", "y1").alias("geom"))
 
 

@@ -85,13 +85,12 @@ def one_place(spark, d):
 
 @query("upserted_parcels", ctes("parcels") + """
     SELECT coalesce(u.code, p.code) AS code, coalesce(u.name, p.name) AS name, coalesce(p.note, 'none') AS note
-    FROM (SELECT code, name, concat('kept ', code) AS note FROM parcels WHERE code % 3 <> 0) p
-    FULL JOIN (SELECT code, concat('New ', code) AS name FROM parcels WHERE code % 2 = 0) u ON u.code = p.code""")
+    FROM (SELECT code, name, concat('kept ', code) AS note FROM parcels) p
+    FULL JOIN (SELECT c_custkey*13 AS code, c_name AS name FROM customer) u ON u.code = p.code""")
 def upserted_parcels(spark, d):
-    p = fx.parcels(spark, d)
-    target = p.filter("code % 3 <> 0").select("code", "name", F.concat(F.lit("kept "), F.col("code").cast("string")).alias("note"))
-    updates = p.filter("code % 2 = 0").select("code", F.concat(F.lit("New "), F.col("code").cast("string")).alias("name"),
-                                              F.lit("lost").alias("note"))
+    target = fx.parcels(spark, d).select("code", "name", F.concat(F.lit("kept "), F.col("code").cast("string")).alias("note"))
+    updates = fx.table(spark, d, "customer").select((F.col("c_custkey") * 13).alias("code"), F.col("c_name").alias("name"),
+                                                    F.lit("lost").alias("note"))
     return upsert(target, updates, "code", kept=["note"]).select("code", "name", F.coalesce("note", F.lit("none")).alias("note"))
 
 
@@ -122,10 +121,10 @@ def joined_lists(spark, d):
     return fx.parcels(spark, d).groupBy("source").agg(distinct_join("town").alias("towns"), F.count(F.lit(1)).alias("parcels"))
 
 
-@query("ordered_lists", "SELECT n_regionkey AS r, string_agg(n_name, ' | ' ORDER BY n_nationkey DESC) AS names FROM nation GROUP BY n_regionkey")
+@query("ordered_lists", "SELECT c_nationkey AS n, string_agg(c_name, ' | ' ORDER BY c_custkey DESC) AS names FROM customer GROUP BY c_nationkey")
 def ordered_lists(spark, d):
-    n = fx.table(spark, d, "nation")
-    return n.groupBy(F.col("n_regionkey").alias("r")).agg(ordered_join("n_name", -F.col("n_nationkey"), " | ").alias("names"))
+    c = fx.table(spark, d, "customer")
+    return c.groupBy(F.col("c_nationkey").alias("n")).agg(ordered_join("c_name", -F.col("c_custkey"), " | ").alias("names"))
 
 
 @query("last_movements", """

@@ -117,12 +117,13 @@ def points_in_frames(spark, d):
 
 # boundary: the union of one box per region, overlapping their neighbours
 BOUNDARY = """SELECT r_regionkey AS rk, 1500 + r_regionkey*900 AS x0, 2000 + (r_regionkey*1700)%4000 AS y0,
-    3000 + r_regionkey*900 AS x1, 5500 + (r_regionkey*1700)%4000 AS y1 FROM region"""
+    3000 + r_regionkey*900 AS x1, 5500 + (r_regionkey*1700)%4000 AS y1
+    FROM (SELECT DISTINCT s_nationkey % 7 AS r_regionkey FROM supplier)"""
 TOUCHES = "p.x0 <= b.x1 AND b.x0 <= p.x1 AND p.y0 <= b.y1 AND b.y0 <= p.y1"
 
 
 def boundary(spark, d):
-    boxes = spark.sql(BOUNDARY.replace("FROM region", "FROM {region}"), region=fx.table(spark, d, "region"))
+    boxes = spark.sql(BOUNDARY.replace("FROM supplier", "FROM {supplier}"), supplier=fx.table(spark, d, "supplier"))
     return load_boundary(boxes.withColumn("geom", g.st_box("x0", "y0", "x1", "y1")), 1024.0)
 
 
@@ -231,11 +232,10 @@ def geodesic_hectares(spark, d):
 
 
 @query("layer_bounds", ctes("parcels") + """
-    SELECT source, cast(min(x0) AS double) AS minx, cast(min(y0) AS double) AS miny, cast(max(x1) AS double) AS maxx,
-      cast(max(y1) AS double) AS maxy FROM parcels WHERE source = 'legacy' GROUP BY source""")
+    SELECT cast(min(x0) AS double) AS minx, cast(min(y0) AS double) AS miny, cast(max(x1) AS double) AS maxx,
+      cast(max(y1) AS double) AS maxy FROM parcels""")
 def layer_bounds(spark, d):
-    return cleaning.layer_bounds(fx.parcels(spark, d).filter("source = 'legacy'")).select(
-        F.lit("legacy").alias("source"), "minx", "miny", "maxx", "maxy")
+    return cleaning.layer_bounds(fx.parcels(spark, d))
 
 
 @query("dissolved_territories", union_area(

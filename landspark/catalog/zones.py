@@ -48,13 +48,12 @@ def overlap_clusters_min_points(spark, d):
     return out.select("id", F.coalesce("cluster", F.lit(-1).cast("bigint")).alias("cluster"))
 
 
-@query("supplier_part_components", ctes(
-    e="SELECT l_suppkey AS a, l_suppkey + 1 + l_orderkey % 3 AS b FROM lineitem WHERE l_orderkey % 41 = 0",
+@query("linked_orders", ctes(
+    e="SELECT DISTINCT l_orderkey AS a, l_orderkey - l_orderkey % 8 + l_linenumber % 8 AS b FROM lineitem",
     near="SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e",
     reach=REACH) + "SELECT a AS id, min(b) AS label FROM reach GROUP BY a HAVING min(b) < a")
-def supplier_part_components(spark, d):
-    e = fx.table(spark, d, "lineitem").filter("l_orderkey % 41 = 0").selectExpr(
-        "l_suppkey AS src", "l_suppkey + 1 + l_orderkey % 3 AS dst")
+def linked_orders(spark, d):
+    e = fx.table(spark, d, "lineitem").selectExpr("l_orderkey AS src", "l_orderkey - l_orderkey % 8 + l_linenumber % 8 AS dst")
     return connected_components(e)
 
 

@@ -50,11 +50,10 @@ SQL = {
                  CASE WHEN o_custkey % 3 = 0 THEN 'ª Vara' ELSE ' Office' END) AS chamber
         FROM orders""",
     "gazetteer": """
-        SELECT cast(2600000 + n_nationkey*100 AS int) AS code,
-          concat('São Nação-', cast(n_nationkey AS varchar(3))) AS name,
-          cast(2600000 + n_regionkey*100 AS int) AS seat_code,
-          cast(-41 + n_nationkey*0.25 AS double) AS lon, cast(-9 + n_nationkey*0.05 AS double) AS lat
-        FROM nation""",
+        SELECT cast(2600000 + n*100 AS int) AS code, concat('São Nação-', cast(n AS varchar(9))) AS name,
+          cast(2600000 + n%5*100 AS int) AS seat_code, cast(-41 + n%40*0.25 AS double) AS lon,
+          cast(-9 + n%40*0.05 AS double) AS lat
+        FROM (SELECT s_suppkey AS n FROM supplier)""",
     "versions": """
         SELECT o_custkey AS code, o_orderkey AS version,
           row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS ord,
@@ -90,7 +89,7 @@ def cases(spark, sf_dir) -> DataFrame:
 
 
 def gazetteer(spark, sf_dir) -> DataFrame:
-    return _derive(spark, sf_dir, "gazetteer", "nation")
+    return _derive(spark, sf_dir, "gazetteer", "supplier")
 
 
 def versions(spark, sf_dir) -> DataFrame:
