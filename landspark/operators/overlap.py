@@ -49,6 +49,9 @@ def overlap_join(left: DataFrame, right: DataFrame, cell: float, left_key: str,
                  .withColumn("area", bbox_overlap_area("l_geom", "r_geom")))
     else:
         boxes = F.col("_lbox") & F.col("_rbox")
+        # the kernel costs far more than moving a pair, so pairs are dealt out evenly first
+        shares = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pairs = pairs.repartition(shares, "l_" + left_key, "r_" + right_key)
         found = (with_intersection(pairs, "_cut", "l_geom", "r_geom", ~boxes)
                  .withColumn("geom", F.when(boxes, box_intersection("l_geom", "r_geom"))
                              .otherwise(F.col("_cut")))
