@@ -18,6 +18,7 @@ from ..functions.geometry import as_col
 HOT_ROWS = 200_000
 MAX_HOT = 2_000
 MAX_SPLIT = 64
+BROADCAST_CELLS = 500_000
 
 
 def cell_of(v: Column, cell: float) -> Column:
@@ -38,16 +39,19 @@ def hot_groups(rows: DataFrame, keys: list[str], floor: int = HOT_ROWS) -> DataF
     """Groups above ``floor`` rows and above ``1 / MAX_HOT`` of all rows, with ``_split``, the
     number of shares they need. None when there is none, which is the usual case."""
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    top, total = counts.agg(F.max("_n"), F.sum("_n")).first()
+    return _hot_of(counts, floor, *counts.agg(F.max("_n"), F.sum("_n")).first())
+
+
+def _hot_of(counts: DataFrame, floor: int, top: int | None, total: int | None) -> DataFrame | None:
     if top is None:
         return None
     limit = max(floor, total // MAX_HOT)
     if top <= limit:
         return None
     found = (counts.filter(F.col("_n") > limit)
-             .withColumn("_split", F.ceil(F.col("_n") / F.lit(limit)).cast("int")).drop("_n"))
+             .withColumn("_split", F.ceil(F.col("_n") / F.lit(limit)).cast("int")).drop("_n", "_right"))
     listed = found.collect()  # at most MAX_HOT rows
-    return F.broadcast(rows.sparkSession.createDataFrame(listed, found.schema))
+    return F.broadcast(counts.sparkSession.createDataFrame(listed, found.schema))
 
 
 def sub_cell(v: Column, base: Column, cell: float, split: Column) -> Column:
@@ -103,7 +107,13 @@ def grid_join(left: DataFrame, right: DataFrame, cell: float, left_geom: str, ri
     y = F.greatest(lg["miny"], rg["miny"] - grow)
     here = (cell_of(x, cell) == F.col("_cx")) & (cell_of(y, cell) == F.col("_cy"))
 
-    hot = hot_groups(l.select(*keys).unionAll(r.select(*keys)), keys, hot_rows)
+    # one count of the cells of both sides tells which are hot and how large the sides are
+    sides = l.select(*keys, F.lit(0).alias("_r")).unionAll(r.select(*keys, F.lit(1).alias("_r")))
+    counts = sides.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("_r").alias("_right"))
+    top, total, of_right = counts.agg(F.max("_n"), F.sum("_n"), F.sum("_right")).first()
+    hot = _hot_of(counts, hot_rows, top, total)
+    # the planner does not see how far the cells multiply rows; beyond this size both sides shuffle
+    large = min(of_right or 0, (total or 0) - (of_right or 0)) > BROADCAST_CELLS
     if hot is not None:
         l = cut_hot_cells(l, lg, cell, hot, keys)
         r = cut_hot_cells(r, rg, cell, hot, keys, grow)
@@ -119,7 +129,7 @@ def grid_join(left: DataFrame, right: DataFrame, cell: float, left_geom: str, ri
 
     meet = ((lg["minx"] <= rg["maxx"] + grow) & (rg["minx"] - grow <= lg["maxx"])
             & (lg["miny"] <= rg["maxy"] + grow) & (rg["miny"] - grow <= lg["maxy"]))
-    return l.join(r, keys).filter(meet & here).drop(*keys)
+    return l.join(r.hint("merge") if large else r, keys).filter(meet & here).drop(*keys)
 
 
 def suggest_cell(df: DataFrame, geom: str, share: float = 0.9) -> float:
