@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,6 +31,19 @@ def get_spark(app: str = "landspark", cores: str | int = "*", partitions: int =
     )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        here = os.path.dirname(os.path.abspath(__file__))
+        base = os.path.join(tempfile.mkdtemp(prefix="spark-"), "landspark")  # the driver serves it from here
+        spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(here), "landspark"))
+        _SHIPPED.add(app)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
