@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import mixing, sharding
+from . import mixing, quality, sharding
 from .common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -28,3 +28,8 @@ def op1_sharding(spark, sf_dir):
 @_query("op8_mixing", mixing.ORACLE)
 def op8_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+@_query("op6_quality_rules")
+def op6_quality_rules(spark, sf_dir):
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
