@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import mixing, quality, sharding
+from . import decontamination, mixing, quality, sharding, simhash
 from .common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -33,3 +33,13 @@ def op8_mixing(spark, sf_dir):
 @_query("op6_quality_rules")
 def op6_quality_rules(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op4_decontamination")
+def op4_decontamination(spark, sf_dir):
+    return decontamination.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query("op9_simhash")
+def op9_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
