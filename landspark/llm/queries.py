@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontamination, mixing, quality, sharding, simhash
+from . import decontamination, mixing, pii, quality, sharding, simhash, site_lines, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -43,3 +43,18 @@ def op4_decontamination(spark, sf_dir):
 @_query("op9_simhash")
 def op9_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query("op5_site_lines", site_lines.ORACLE)
+def op5_site_lines(spark, sf_dir):
+    return site_lines.site_lines(table(spark, sf_dir, "pages"))
+
+
+@_query("op3_token_counts")
+def op3_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+@_query("op7_pii")
+def op7_pii(spark, sf_dir):
+    return pii.pii_report(table(spark, sf_dir, "documents"))
