@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontamination, mixing, pii, quality, sharding, simhash, site_lines, token_counts
+from . import decontamination, lattice, mixing, pii, quality, sharding, simhash, site_lines, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -58,3 +58,8 @@ def op3_token_counts(spark, sf_dir):
 @_query("op7_pii")
 def op7_pii(spark, sf_dir):
     return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
+@_query("op10_lattice_scores")
+def op10_lattice_scores(spark, sf_dir):
+    return lattice.lattice_scores(table(spark, sf_dir, "documents"))
