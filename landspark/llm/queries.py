@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontamination, lattice, mixing, pii, quality, sharding, simhash, site_lines, token_counts
+from . import decontamination, lattice, mixing, pii, quality, sharding, simhash, site_lines, substrings, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -63,3 +63,8 @@ def op7_pii(spark, sf_dir):
 @_query("op10_lattice_scores")
 def op10_lattice_scores(spark, sf_dir):
     return lattice.lattice_scores(table(spark, sf_dir, "documents"))
+
+
+@_query("op2_substring_dedup")
+def op2_substring_dedup(spark, sf_dir):
+    return substrings.substring_report(table(spark, sf_dir, "documents"))
