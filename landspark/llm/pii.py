@@ -293,8 +293,8 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Field:
     spark = docs.sparkSession
     ship_package(spark)
     n = docs.count()
-    share = min(1.0, rows / max(1, n))
-    low = docs.select("text").filter(F.col("text").isNotNull() & (F.xxhash64("text") <= F.lit(int(-2**63 + share * (2**64 - 1)))))
+    bound = -2**63 + min(rows, n) * (2**64 - 1) // max(1, n)
+    low = docs.select("text").filter(F.col("text").isNotNull() & (F.xxhash64("text") <= F.lit(bound)))
 
     def pick(batches):
         for batch in batches:

@@ -22,7 +22,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from xxhash import xxh3_64_intdigest, xxh128_intdigest
+from xxhash import xxh3_64_intdigest
 
 from ..session import materialize, ship_package
 from .common import text_key
@@ -97,8 +97,14 @@ def _hashed(words: list[bytes], known: dict) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def _digest(words: list[bytes], first: int, windows: int) -> int:
-    return xxh3_64_intdigest(b" ".join(words[first:first + windows + WINDOW - 1]))
+def _digest(words: list[bytes], first: int, windows: int, seed: int = 0) -> int:
+    return xxh3_64_intdigest(b" ".join(words[first:first + windows + WINDOW - 1]), seed)
+
+
+def _stands(words: list[bytes], span: dict) -> bool:
+    """Whether the text has the words of the span at its coordinates."""
+    end = span["at"] + span["n"] + WINDOW - 1
+    return end <= len(words) and _digest(words, span["at"], span["n"]) == span["digest"] % 2**64
 
 
 _READ = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("minimizer", pa.int64()), ("digest", pa.int64()), ("at", pa.int32()), ("n", pa.int32()),
@@ -140,17 +146,14 @@ def _read(batches):
 
 
 def _edges(batches):
-    """The single windows of the listed stretches, with a 128-bit digest of their words."""
+    """The single windows of the listed stretches, with two digests of their words."""
     for batch in batches:
         out = []
         for doc, raw, spans in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist()):
             words = raw.as_py().split()
             for span in spans:
-                if _digest(words, span["at"], span["n"]) - (1 << 64) * (span["digest"] < 0) != span["digest"]:
-                    continue  # another text with this id
-                for k in range(span["at"], span["at"] + span["n"]):
-                    d = xxh128_intdigest(b" ".join(words[k:k + WINDOW]))
-                    out.append((doc, k, d >> 64, d & (2**64 - 1)))
+                if _stands(words, span):  # else it is of another text with this id
+                    out += [(doc, k, _digest(words, k, 1, 1), _digest(words, k, 1)) for k in range(span["at"], span["at"] + span["n"])]
         doc, at, high, low = zip(*out) if out else ((),) * 4
         yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(_signed(high)), pa.array(_signed(low))], names=["doc", "at", "high", "low"])
 
@@ -163,10 +166,7 @@ def _removed(batches):
         for doc, raw, spans, key in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             words = raw.as_py().split()
             starts = [repeats(_hashed(words, known))]
-            for span in spans:  # the digest is that of the source
-                if span["digest"] is None or _digest(words, span["at"], span["n"]) - (1 << 64) * (span["digest"] < 0) == span["digest"]:
-                    if span["at"] + span["n"] + WINDOW - 1 <= len(words):
-                        starts.append(np.arange(span["at"], span["at"] + span["n"]))
+            starts += [np.arange(span["at"], span["at"] + span["n"]) for span in spans if _stands(words, span)]  # the digest is the source's
             out.append((doc, key, *_kept(words, np.unique(np.concatenate(starts)))))
         doc, key, n, kept = zip(*out) if out else ((),) * 4
         yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(kept, pa.string())], names=["doc", "key", "n", "kept"])
@@ -201,7 +201,7 @@ def substring_report(docs: DataFrame) -> DataFrame:
     apart = materialize(met.filter("branches").groupBy("doc").agg(F.collect_list(span).alias("spans")), "branching")
     edges = materialize(_with_lists(texts.select("doc", "text"), apart).mapInArrow(_edges, "doc long, at int, high long, low long"), "edges")
     source = edges.groupBy("high", "low").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("high", "low", "first")
-    single = edges.join(source, ["high", "low"]).select("doc", "at", F.lit(1).alias("n"), F.lit(None).cast("long").alias("digest"), "first")
+    single = edges.join(source, ["high", "low"]).select("doc", "at", F.lit(1).alias("n"), F.col("low").alias("digest"), "first")
 
     spans = met.filter("NOT branches").select("doc", "at", "n", "digest", "first").unionAll(single).filter("first < doc")
     lists = materialize(spans.groupBy("doc").agg(F.collect_list(span).alias("spans")), "spans")
