@@ -19,27 +19,59 @@ def blank_to_null(c) -> Column:
 
 # --- accents and names -----------------------------------------------------------------------
 
-@lru_cache(maxsize=1)
-def _accent_table() -> tuple[str, str]:
-    """Characters whose compatibility decomposition is one plain character, and that character;
-    combining marks come last, so that ``translate`` deletes them. Made from the Unicode rule."""
+@lru_cache(maxsize=2)
+def _accent_table(form: str = "NFKD") -> tuple[str, str]:
+    """Characters whose decomposition is one plain character, and that character; combining marks come
+    last, so that ``translate`` deletes them. Made from the Unicode rule, over all planes."""
     pairs, marks = [], []
-    for cp in range(0x80, 0x10000):
+    for cp in range(0x80, 0x110000):
         ch = chr(cp)
         if 0xD800 <= cp < 0xE000:
             continue
-        if unicodedata.combining(ch):
+        base = "".join(c for c in unicodedata.normalize(form, ch) if not unicodedata.combining(c))
+        if not base:
             marks.append(ch)
-            continue
-        base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
-        if len(base) == 1 and base != ch:
+        elif len(base) == 1 and base != ch:
             pairs.append((ch, base))
     return "".join(p for p, _ in pairs) + "".join(marks), "".join(b for _, b in pairs)
 
 
+@lru_cache(maxsize=1)
+def _long_table() -> tuple[str, ...]:
+    """Characters that decompose to several: as entries for ``str_to_map``, as a pattern, and as a wider
+    pattern of few ranges, which is quicker to rule out. Then the Hangul syllables, and the first, second
+    and third letter of each; those without a third come last."""
+    known = {}
+    for cp in range(0x80, 0x110000):
+        if not (0xD800 <= cp < 0xE000 or 0xAC00 <= cp < 0xD7A4):
+            base = "".join(c for c in unicodedata.normalize("NFKD", chr(cp)) if not unicodedata.combining(c))
+            if len(base) > 1:
+                known[chr(cp)] = base
+    entries = "\x01".join(f"{k}\x02{v}" for k, v in known.items())
+    syllables = sorted(range(0xAC00, 0xD7A4), key=lambda cp: ((cp - 0xAC00) % 28 == 0, cp))
+    letters = [unicodedata.normalize("NFD", chr(cp)) for cp in syllables]
+    latin = 0x250
+    wide = "[" + "".join(k for k in known if ord(k) < latin) + f"{min(k for k in known if ord(k) >= latin)}-\U0010ffff]"
+    return (entries, "[" + "".join(known) + "\uac00-\ud7a3]", wide, "".join(map(chr, syllables)),
+            "".join(x[0] for x in letters), "".join(x[1] for x in letters), "".join(x[2:] for x in letters))
+
+
 def strip_accents(c) -> Column:
-    """Decompose accented characters and drop the marks."""
-    return F.translate(as_col(c), *_accent_table())
+    """Decompose accented and compatibility characters (NFKD) and drop the marks.
+
+    One table serves characters that become one. Texts with others (ligatures, fractions, syllables) are
+    taken apart by character as well; few texts have them.
+    """
+    entries, several, wide, syllables, first, second, third = _long_table()
+    known = F.str_to_map(F.lit(entries), F.lit("\x01"), F.lit("\x02"))
+
+    def spelled(ch):
+        syllable = F.concat(F.translate(ch, syllables, first), F.translate(ch, syllables, second), F.translate(ch, syllables, third))
+        return F.when(ch.between("\uac00", "\ud7a3"), syllable).otherwise(F.coalesce(F.try_element_at(known, ch), ch))
+
+    c = as_col(c)
+    whole = F.when(c.rlike(wide) & c.rlike(several), F.array_join(F.transform(F.split(c, ""), spelled), "")).otherwise(c)
+    return F.translate(whole, *_accent_table())
 
 
 def normalize_text(c) -> Column:
@@ -63,7 +95,8 @@ def sanitize_name(c) -> Column:
 
 
 def safe_filename(c) -> Column:
-    s = F.regexp_replace(strip_accents(c), r"[^a-zA-Z0-9_\-.]", "_")
+    # canonical decomposition only: compatibility characters become "_"
+    s = F.regexp_replace(F.translate(as_col(c), *_accent_table("NFD")), r"[^a-zA-Z0-9_\-.]", "_")
     return F.lower(F.regexp_replace(s, r"_+", "_"))
 
 
@@ -205,7 +238,7 @@ def slug_title(c, default: str = K.STATE_NAME) -> Column:
     def word(w, i):
         small = F.lower(w)
         return F.when((i > 0) & small.isin(K.TITLE_PARTICLES), small).otherwise(
-            F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, 2, 1_000_000))))
+            F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.right(w, F.length(w) - 1))))
 
     return F.when(c.isNull() | (c == ""), default).otherwise(F.array_join(F.transform(words, word), " "))
 
@@ -222,10 +255,12 @@ def taxonomy_list(arr, default: str) -> Column:
     return F.when(F.size(as_col(arr)) > 0, text).otherwise(default)
 
 
-def join_or_default(c, default: str = K.NOT_INFORMED) -> Column:
-    """Text of a JSON value that is either a list or a scalar: lists are joined with '; '."""
+def join_or_default(c, default: str = K.NOT_INFORMED, present: Column | None = None) -> Column:
+    """Text of a JSON value that is either a list or a scalar: lists are joined with '; '. Where the key is
+    not ``present`` the text is ''; a null or empty value gives the default."""
     c = as_col(c)
-    return (F.when(c.isNull() | (c == ""), default)
+    start = F if present is None else F.when(~present, "")
+    return (start.when(c.isNull() | (c == ""), default)
             .when(F.ltrim(c).startswith("["), F.array_join(F.from_json(c, "array<string>"), "; "))
             .otherwise(c))
 
