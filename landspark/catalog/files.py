@@ -12,8 +12,7 @@ from ..plans.evictions import evictions as clean, filter_state_cases
 from ..session import scratch_path
 from ..sinks import tables as sinks
 from ..sources import files as src
-from ..streaming.intake import stream_cases
-from ..plans.cases import normalize_cases
+from ..streaming.intake import stream_cases, streamed_cases as cases_of_store
 from ..operators.summaries import family_totals
 from . import ctes, query
 from .cases import documents
@@ -150,7 +149,7 @@ def reports(spark, d):
     meta = F.struct(
         F.when(F.col("swapped"), lon).otherwise(lat).alias("localizacao_lat"), F.when(F.col("swapped"), lat).otherwise(lon).alias("localizacao_lng"),
         F.col("threatened").alias("numero_de_familias_ameacadas"), F.col("evicted").alias("numero_de_familias_despejadas"),
-        F.array(F.lit("Defensoria"), F.lit("Popular")).alias("acompanhamento_juridico_do_caso"), F.lit("Privado").alias("agentes_promotores_publicos_ou_privados"))
+        F.when(F.col("seq") % 5 > 0, F.array(F.lit("Defensoria"), F.lit("Popular"))).alias("acompanhamento_juridico_do_caso"), F.lit("Privado").alias("agentes_promotores_publicos_ou_privados"))
     return t.select("seq", F.struct(
         F.col("seq").alias("ID"), F.concat(F.lit(" Title "), F.col("user_id").cast("string")).alias("post_title"), meta.alias("meta"),
         F.struct(one("uf").alias("uf"), one("town").alias("municipio"), one("status").alias("status_conflito"),
@@ -158,11 +157,13 @@ def reports(spark, d):
 
 
 def landed_reports(spark, d):
-    """One document per stretch of reports, read back in the order of the reports."""
+    """One document per stretch of reports, read back in the order of the reports: files are taken by name."""
     path = scratch_path(spark, "reports")
-    docs = reports(spark, d).groupBy(F.floor(F.col("seq") / 500).alias("doc")).agg(F.collect_list("item").alias("conflito"))
+    name = F.lpad(F.floor(F.col("seq") / 500).cast("string"), 9, "0")
+    docs = reports(spark, d).groupBy(name.alias("doc")).agg(F.array_sort(F.collect_list(F.struct("seq", "item"))).alias("c"))
+    docs = docs.select(F.concat(F.lit("d"), "doc").alias("doc"), F.col("c.item").alias("conflito"))
     docs.repartition("doc").write.partitionBy("doc").json(path)
-    return src.read_evictions(spark, f"{path}/*/*").withColumn("seq", F.col("ID").cast("bigint"))
+    return src.read_evictions(spark, f"{path}/*/*")
 
 
 def area(spark, d):
@@ -178,7 +179,7 @@ _ANG, _DST = _LIMBS.format("md5(jk)", 360), _LIMBS.format("lpad(substr(md5(jk),
     SELECT seq AS conflito_id, concat('Title ', user_id) AS nome_comunidade, CASE town WHEN 'recife-pe' THEN 'Recife' WHEN 'olinda-pe' THEN 'Olinda' ELSE 'Sao Jose' END AS municipio,
       user_id % 400 AS familias_ameacadas, event AS familias_despejadas, user_id % 400 + event AS total_familias,
       CASE status WHEN 'ameaca' THEN 'Ameaça de Despejo' WHEN 'remocao-total' THEN 'Despejo/Remoção Total Executada' ELSE 'Não informado' END AS status_conflito,
-      'Conflito Fundiário / Posse' AS causa_conflito, 'Defensoria; Popular' AS acompanhamento_juridico, 'Privado' AS agente_promotor, occurrence,
+      'Conflito Fundiário / Posse' AS causa_conflito, CASE WHEN seq % 5 = 0 THEN '' ELSE 'Defensoria; Popular' END AS acompanhamento_juridico, 'Privado' AS agente_promotor, occurrence,
       round(CASE WHEN occurrence = 0 THEN lon ELSE lon + ({_DST})/1000.0*0.45*cos(({_ANG})*pi()/180.0)/(111.0*cos(radians(lat))) END, 8) AS lon,
       round(CASE WHEN occurrence = 0 THEN lat ELSE lat + ({_DST})/1000.0*0.45*sin(({_ANG})*pi()/180.0)/111.0 END, 8) AS lat
     FROM (SELECT *, seq % 30 AS event FROM j)""")
@@ -198,7 +199,7 @@ def eviction_totals(spark, d):
 @query("reports_by_tags", ctes(t=_REPORTS) + """SELECT seq FROM t WHERE coalesce(trim(lower(uf)), 'pe') = 'pe' AND town <> 'natal-rn'
     AND (trim(lower(uf)) = 'pe' OR town LIKE '%-pe')""")
 def reports_by_tags(spark, d):
-    return filter_state_cases(landed_reports(spark, d)).select("seq")
+    return filter_state_cases(landed_reports(spark, d)).select(F.col("ID").cast("bigint").alias("seq"))
 
 
 # --- regularization files --------------------------------------------------------------------
@@ -273,15 +274,15 @@ def state_parcels(spark, d):
 
 # --- streaming -------------------------------------------------------------------------------
 
-@query("streamed_cases", ctes("cases") + "SELECT cast(id AS varchar) AS id, count(*) > 0 AS same FROM cases WHERE court = 'TJPE' GROUP BY id")
+@query("streamed_cases", ctes("cases") + """
+    SELECT cast(id AS varchar) AS id, court AS tribunal, CASE WHEN seq % 7 = 0 THEN 'Vara Nova' ELSE chamber END AS chamber FROM cases""")
 def streamed_cases(spark, d):
-    """The stream over landed files ends with the rows of the batch."""
-    path = scratch_path(spark, "landed")
-    docs = documents(spark, d).filter("tribunal_source = 'TJPE'").drop("tribunal_source")
-    docs.orderBy("seq").drop("seq").coalesce(1).write.json(path)
-    name = "streamed_" + path.rsplit("-", 1)[1]
-    stream_cases(spark, path, name, scratch_path(spark, "offsets"), fx.gazetteer(spark, d), "TJPE").awaitTermination()
-    batch = normalize_cases(docs.withColumn("tribunal_source", F.lit("TJPE")), fx.gazetteer(spark, d))
-    got = spark.table(name)
-    same = got.join(batch.select("id", F.struct(*batch.columns).alias("b")), "id", "full")
-    return same.select("id", F.coalesce(F.struct(*[F.col(c) for c in batch.columns]) == F.col("b"), F.lit(False)).alias("same"))
+    """Several files and batches of two courts; then some cases land once more with another chamber."""
+    docs, gaz, root = documents(spark, d), fx.gazetteer(spark, d), scratch_path(spark, "landed")
+    again = docs.filter("seq % 7 = 0").withColumn("orgaoJulgador", F.col("orgaoJulgador").withField("nome", F.lit("Vara Nova")))
+    for landing in (docs, again):
+        for court in ("TJPE", "TRF5"):
+            one = landing.filter(F.col("tribunal_source") == court).drop("tribunal_source")
+            one.repartition(6, F.floor(F.col("seq") / 50)).sortWithinPartitions("seq").drop("seq").write.mode("append").json(f"{root}/{court}")
+            stream_cases(spark, f"{root}/{court}", f"{root}/store", f"{root}/offsets/{court}", gaz, court, max_files=3).awaitTermination()
+    return cases_of_store(spark, f"{root}/store").select("id", "tribunal", F.col("orgao_julgador_nome").alias("chamber"))

@@ -9,12 +9,14 @@ from ..functions.geometry import st_point
 from ..functions.text import int_or_zero, jitter, join_or_default, slug_title, taxonomy_list
 from ..operators.cleaning import fix_point_axes, state_case_flag, within_bounds
 from ..operators.overlap import point_in_polygon_join
+from ..operators.polygons import subdivide
 from ..operators.rows import occurrence_index
 
 
 def filter_state_cases(df: DataFrame, boundary: DataFrame | None = None, uf: str = "pe", cell: float = 0.25,
-                       key: str = "seq") -> DataFrame:
-    """Reports of the state: by their tags, and by position where the tags do not tell."""
+                       key: str = "seq", max_vertices: int = 64) -> DataFrame:
+    """Reports of the state: by their tags, and by position where the tags do not tell. ``key`` is unique.
+    The boundary is cut into pieces of few vertices before points are tested against it."""
     marked = df.withColumn("_own", state_case_flag(F.col("tax.uf"), F.col("tax.municipio"), uf))
     sure = marked.filter("_own").drop("_own")
     if boundary is None:
@@ -22,11 +24,16 @@ def filter_state_cases(df: DataFrame, boundary: DataFrame | None = None, uf: str
     open_ = marked.filter(F.col("_own").isNull()).drop("_own")
     spots = open_.select(key, st_point(F.col("meta.localizacao_lng").try_cast("double"),
                                        F.col("meta.localizacao_lat").try_cast("double")).alias("geom"))
-    found = point_in_polygon_join(spots.filter(F.col("geom").isNotNull()), boundary.select(
-        F.lit(1).alias("one"), "geom"), cell, key, "one").select(F.col("l_" + key).alias(key)).distinct()
+    pieces = subdivide(boundary.select("geom"), "geom", max_vertices).withColumn("piece", F.xxhash64("geom"))
+    found = point_in_polygon_join(spots.filter(F.col("geom").isNotNull()), pieces, cell, key, "piece")
+    found = found.select(F.col("l_" + key).alias(key)).distinct()
     return sure.unionByName(open_.join(found, key, "left_semi"))
 
 
+def _listed(key: str):
+    return join_or_default(F.col("meta")[key], present=F.map_contains_key("meta", key))
+
+
 def clean_evictions(df: DataFrame) -> DataFrame:
     """Readable rows with repaired coordinates; coincident places are moved apart by a jitter."""
     at = df.withColumns({"lat": F.col("meta.localizacao_lat").try_cast("double"),
@@ -48,8 +55,8 @@ def clean_evictions(df: DataFrame) -> DataFrame:
         F.lit("PE").alias("uf"), *[c.alias(n) for n, c in families.items()], total.alias("total_familias"),
         taxonomy_list("tax.status_conflito", K.NOT_INFORMED).alias("status_conflito"),
         taxonomy_list("tax.causa_do_conflito", K.DEFAULT_CAUSE).alias("causa_conflito"),
-        join_or_default("meta.acompanhamento_juridico_do_caso").alias("acompanhamento_juridico"),
-        join_or_default("meta.agentes_promotores_publicos_ou_privados").alias("agente_promotor"),
+        _listed("acompanhamento_juridico_do_caso").alias("acompanhamento_juridico"),
+        _listed("agentes_promotores_publicos_ou_privados").alias("agente_promotor"),
         F.coalesce("meta.descricao", F.lit("")).alias("descricao"), F.col("post_date").alias("data_registro"),
         F.col("post_modified").alias("data_atualizacao"), F.col("lat").alias("lat_original"),
         F.col("lon").alias("lon_original"), "occurrence", st_point("_at.lon", "_at.lat").alias("geom"))

@@ -8,6 +8,7 @@ from .. import constants as K
 from ..functions.geometry import as_col
 from ..functions.kml import geojson_feature, kml_color, placemark, xml_escape
 from ..functions.text import safe_filename
+from ..operators.rows import last_per_key
 
 
 def replace_table(df: DataFrame, name: str) -> None:
@@ -29,9 +30,13 @@ def load_if_empty(df: DataFrame, name: str, force: bool = False) -> bool:
     return True
 
 
-def upsert(target: DataFrame, updates: DataFrame, key: str, kept: list[str] = ()) -> DataFrame:
+def upsert(target: DataFrame, updates: DataFrame, key: str, kept: list[str] = (), order: list = ()) -> DataFrame:
     """Target with the rows of ``updates`` put in by key. Columns in ``kept``, and any that updates
-    lack, stay as they are in rows that existed before."""
+    lack, stay as they are in rows that existed before. Of several updates of a key the last in
+    ``order`` counts; without an order any one of them. Updates may not have columns of their own."""
+    if extra := [c for c in updates.columns if c not in target.columns and c not in order]:
+        raise ValueError(f"the target lacks {', '.join(extra)}")
+    updates = last_per_key(updates, [key], list(order) or [F.lit(0)]).select([c for c in updates.columns if c in target.columns])
     kept = [c for c in target.columns if c in kept or c not in updates.columns]
     held = target.select(key, *[F.col(c).alias("_old_" + c) for c in kept])
     fresh = updates.drop(*kept).join(held, key, "left")
@@ -106,7 +111,8 @@ def write_clustered(df: DataFrame, path: str, cell: float, partitions: int | Non
     g = F.col(geom)
     cx, cy = (F.floor(g[c] / cell).cast("int") for c in ("minx", "miny"))
     # interleaved bits keep neighbouring cells together
-    spread = lambda v: F.conv(F.regexp_replace(F.lpad(F.bin(F.shiftleft(v, 0) + F.lit(2 ** 20)), 21, "0"),
+    # of 31 bits each: cells up to a billion from the origin
+    spread = lambda v: F.conv(F.regexp_replace(F.lpad(F.bin(v.cast("bigint") + F.lit(2 ** 30)), 31, "0"),
                                                "([01])", "0$1"), 2, 10).cast("bigint")
     z = spread(cx) + F.lit(2) * spread(cy)
     ranged = df.withColumn("_z", z)

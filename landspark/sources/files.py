@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from .. import constants as K
 from ..functions.geometry import st_from_parts, st_is_empty, vertex
 from ..functions.text import parse_coordinates, sanitize_name, valid_ring
 
@@ -12,16 +13,15 @@ CASE_SCHEMA = """id string, numeroProcesso string, grau string, dataAjuizamento
     orgaoJulgador struct<codigo:int,nome:string,codigoMunicipioIBGE:string>,
     movimentos array<struct<nome:string,dataHora:string>>"""
 EVICTION_ITEM = """struct<ID:string,post_title:string,post_name:string,post_date:string,post_modified:string,
-    meta:struct<localizacao_lat:string,localizacao_lng:string,numero_de_familias_ameacadas:string,
-      numero_de_familias_despejadas:string,numero_de_familias_suspensao_definitiva:string,
-      acompanhamento_juridico_do_caso:string,agentes_promotores_publicos_ou_privados:string,descricao:string>,
+    meta:map<string,string>,
     tax:struct<uf:array<string>,municipio:array<string>,status_conflito:array<string>,
       causa_do_conflito:array<string>>>"""
 _RING = "struct<LinearRing:struct<coordinates:string>>"
 _POLYGON = f"struct<outerBoundaryIs:{_RING},innerBoundaryIs:array<{_RING}>>"
 _DATA = "array<struct<_name:string,value:string>>"
 PLACEMARK_SCHEMA = f"""name string, Point struct<coordinates:string>, LineString struct<coordinates:string>,
-    Polygon {_POLYGON}, MultiGeometry struct<Polygon:array<{_POLYGON}>>,
+    Polygon {_POLYGON}, MultiGeometry struct<Polygon:array<{_POLYGON}>,Point:array<struct<coordinates:string>>,
+      LineString:array<struct<coordinates:string>>>,
     ExtendedData struct<Data:{_DATA},
       SchemaData:struct<SimpleData:array<struct<_name:string,_VALUE:string>>>>"""
 
@@ -45,27 +45,40 @@ def _geojson_geometry(kind: Column, text: Column) -> Column:
     point = depth(1)
     parts = (F.when(kind == "Point", F.array(F.array(F.array(vertex(point[0], point[1])))))
              .when(kind == "LineString", F.array(F.array(ring(depth(2)))))
+             .when(kind == "MultiPoint", F.transform(depth(2), lambda p: F.array(F.array(vertex(p[0], p[1])))))
              .when(kind == "MultiLineString", F.transform(depth(3), lambda r: F.array(ring(r))))
              .when(kind == "Polygon", F.array(part(depth(3))))
              .when(kind == "MultiPolygon", F.transform(depth(4), part)))
     return st_from_parts(F.lower(kind), parts)
 
 
+def _collected_polygons(members: Column) -> Column:
+    """The polygons of a geometry collection as one multipolygon; null when it has none."""
+    areas = F.filter(members, lambda m: m["type"].isin("Polygon", "MultiPolygon"))
+    part = lambda p: F.transform(p, lambda r: F.transform(r, lambda q: vertex(q[0], q[1])))
+    one = lambda m: F.from_json(m["coordinates"], "array<array<array<double>>>")
+    many = lambda m: F.from_json(m["coordinates"], "array<array<array<array<double>>>>")
+    parts = F.flatten(F.transform(areas, lambda m: F.when(m["type"] == "Polygon", F.array(part(one(m)))).otherwise(F.transform(many(m), part))))
+    return F.when(F.size(areas) > 0, st_from_parts(F.lit("multipolygon"), parts))
+
+
 def read_geojson(spark: SparkSession, path: str, properties: str, lines: bool = False) -> DataFrame:
     """Features of GeoJSON files as attribute columns and ``geom``.
 
     ``properties`` is the schema of the attributes. ``lines`` reads one feature per line, which
-    splits over many tasks; a classic collection is read file by file. Heights are dropped.
+    splits over many tasks; a classic collection is read file by file. Heights are dropped. Of a
+    ``GeometryCollection`` the polygons are kept.
     """
-    feature = (f"type string, geometry struct<type:string,coordinates:string>, "
+    feature = (f"type string, geometry struct<type:string,coordinates:string,geometries:array<struct<type:string,coordinates:string>>>, "
                f"properties struct<{_as_fields(properties)}>")
     if lines:
         rows = spark.read.schema(feature).json(path)
     else:
         rows = (spark.read.schema(f"features array<struct<{_as_fields(feature)}>>")
                 .option("multiLine", True).json(path).select(F.explode("features").alias("f")).select("f.*"))
-    return rows.select("properties.*", _geojson_geometry(
-        F.col("geometry.type"), F.col("geometry.coordinates")).alias("geom"))
+    own = _geojson_geometry(F.col("geometry.type"), F.col("geometry.coordinates"))
+    return rows.select("properties.*", F.when(F.col("geometry.type") == "GeometryCollection", _collected_polygons(
+        F.col("geometry.geometries"))).otherwise(own).alias("geom"))
 
 
 def _as_fields(ddl: str) -> str:
@@ -93,7 +106,8 @@ def _kml_part(p: Column) -> Column:
 def read_kml(spark: SparkSession, path: str) -> DataFrame:
     """Placemarks: ``name``, ``data`` (map of the extended attributes), ``geom``, ``file``.
 
-    Rings with fewer than three readable vertices are skipped; heights are dropped.
+    Rings with fewer than three readable vertices are skipped; heights are dropped. A ``MultiGeometry``
+    gives its polygons; without any its lines, and without those its points.
     """
     rows = (spark.read.format("xml").option("rowTag", "Placemark").option("ignoreNamespace", True)
             .schema(PLACEMARK_SCHEMA).load(path))
@@ -108,10 +122,17 @@ def read_kml(spark: SparkSession, path: str) -> DataFrame:
     many = F.filter(F.transform(F.col("MultiGeometry.Polygon"), _kml_part), lambda p: p.isNotNull())
     xy = parse_coordinates(F.col("Point.coordinates"))
     line = parse_coordinates(F.col("LineString.coordinates"))
-    gtype = (F.when(F.col("Polygon").isNotNull(), "polygon").when(F.col("MultiGeometry").isNotNull(), "multipolygon")
+    lines = F.filter(F.transform("MultiGeometry.LineString", lambda m: parse_coordinates(m["coordinates"])), lambda r: F.size(r) > 0)
+    spots = F.filter(F.transform("MultiGeometry.Point", lambda m: parse_coordinates(m["coordinates"])), lambda r: F.size(r) > 0)
+    some = lambda a: F.coalesce(F.size(a), F.lit(0)) > 0
+    gtype = (F.when(F.col("Polygon").isNotNull(), "polygon")
+             .when(F.col("MultiGeometry").isNotNull() & (some("MultiGeometry.Polygon") | ~some(lines) & ~some(spots)), "multipolygon")
+             .when(some(lines), "multilinestring").when(some(spots), "multipoint")
              .when(F.col("Point").isNotNull(), "point").when(F.col("LineString").isNotNull(), "linestring"))
     one = _kml_part(F.col("Polygon"))
     parts = (F.when((gtype == "polygon") & one.isNotNull(), F.array(one)).when(gtype == "multipolygon", many)
+             .when(gtype == "multilinestring", F.transform(lines, lambda r: F.array(r)))
+             .when(gtype == "multipoint", F.transform(spots, lambda r: F.array(r)))
              .when((gtype == "point") & (F.size(xy) > 0), F.array(F.array(xy)))
              .when(gtype == "linestring", F.array(F.array(line))))
     return rows.select(F.trim("name").alias("name"), F.map_from_arrays(names, firsts).alias("data"),
@@ -149,10 +170,21 @@ def search_cases(df: DataFrame, subjects: list[int], classes: list[int], like: s
     return df.filter(hit if like is None else hit & F.col("numeroProcesso").like(like))
 
 
+def preset_cases(df: DataFrame) -> DataFrame:
+    """The standing search for land cases: the target subjects or classes; of the federal court only
+    numbers of the state's section."""
+    federal = F.coalesce(F.col("tribunal_source") == K.FEDERAL_COURT, F.lit(False))
+    found = search_cases(df, K.TARGET_SUBJECTS, K.TARGET_CLASSES)
+    return found.filter(~federal | F.col("numeroProcesso").like(K.FEDERAL_CASE_PATTERN))
+
+
 def read_evictions(spark: SparkSession, path: str) -> DataFrame:
-    """Eviction reports, one row per entry of ``conflito`` in document order (``seq``)."""
+    """Eviction reports, one row per entry of ``conflito``; ``seq`` numbers them 0, 1, ... by file name and
+    place in the file, over all files. ``meta`` is a map, so that a missing key differs from a null."""
+    from ..operators.rowid import with_row_id
     rows = spark.read.schema(f"conflito array<{EVICTION_ITEM}>").option("multiLine", True).json(path)
-    return (rows.select(F.posexplode("conflito").alias("seq", "c")).select(F.col("seq").cast("bigint"), "c.*"))
+    placed = rows.select(F.input_file_name().alias("_file"), F.posexplode("conflito").alias("_at", "c"))
+    return with_row_id(placed, ["_file", "_at"], "seq").select((F.col("seq") - 1).alias("seq"), "c.*")
 
 
 def load_boundary(df: DataFrame, cell: float | None = None) -> DataFrame:
