@@ -232,7 +232,7 @@ def dbscan(df: DataFrame, by: list[str], eps: float, min_points: int = 1, id_col
     ``eps`` apart. ``id_col`` must be a unique, non-negative bigint. A border member near several
     clusters goes to the one with the least label.
     """
-    members = _members(df, by, id_col, geom, rectangles)
+    members = _members(df.filter(F.col(geom).isNotNull()), by, id_col, geom, rectangles)
     reps = materialize(_fold_copies(members, rectangles), "members")
     # wide cells put most members into one list only
     cell = cell or 4 * (suggest_cell(reps.withColumn("g", F.struct(*BOX)), "g") + eps)
@@ -242,4 +242,4 @@ def dbscan(df: DataFrame, by: list[str], eps: float, min_points: int = 1, id_col
     of_member = (members.drop("parts").withColumnRenamed("rid", id_col)
                  .join(keyed, ["_by", *BOX, "_shape"])
                  .select(id_col, F.col("label").alias("cluster")))
-    return df.join(of_member, id_col)
+    return df.join(of_member, id_col, "left")  # a null geometry is in no cluster

@@ -64,6 +64,19 @@ def count_points_in(probe: DataFrame, points: DataFrame, cell: float, key: str =
             .agg(F.count(F.lit(1)).alias("points")))
 
 
+def socio_legal(probe: DataFrame, layers: dict[str, DataFrame], cases: DataFrame, cell: float, key: str = "key",
+                seat: str = "seat", point_key: str = "pid") -> DataFrame:
+    """Per probe shape the points of each layer on it (notices, communities at risk), and the court cases
+    of its seat. One join serves all layers."""
+    stacked = union_layers({n: df.select(point_key, "geom") for n, df in layers.items()}, "layer")
+    hits = grid_join(prefixed(stacked, "l_"), prefixed(probe.select(key, "geom"), "r_"), cell, "l_geom", "r_geom",
+                     ["l_layer", "l_" + point_key], ["r_" + key])
+    hits = hits.filter(st_intersects("l_geom", "r_geom"))
+    counts = hits.groupBy(F.col("r_" + key).alias(key)).agg(*[F.count_if(F.col("l_layer") == n).alias(n) for n in layers])
+    at_seat = cases.groupBy(seat).agg(F.count(F.lit(1)).alias("cases"))
+    return probe.select(key, seat).join(counts, key, "left").join(at_seat, seat, "left").na.fill(0, [*layers, "cases"])
+
+
 def overlap_share(a: DataFrame, b: DataFrame, cell: float, key: str = "key", rectangles: bool = False) -> DataFrame:
     """Area of each ``a`` covered by the union of ``b``, and its share in per cent."""
     shared = overlap_join(a.select(key, "geom"), b.select(key, "geom"), cell, key, key, rectangles=rectangles)

@@ -2,7 +2,8 @@
 
 Members are cut at the cell borders and merged cell by cell, so a group spread over a wide area is
 merged by many tasks. Copies inside a cell fold together before the shuffle. A cell with very many
-distinct members is merged in chunks and the chunk results are merged again.
+distinct members is merged in chunks, and chunk results in chunks again, until one is left. Seams at the
+cell borders go where pieces are put together: four neighbouring cells at a time while a group has many.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import overlay as ov
 from ..functions.geometry import st_area, st_box, st_from_parts, to_flat
+from ..session import materialize
 from .grid import spread, suggest_cell
-from .polygons import PARTS, _Flat, _parts_array, with_clip, with_valid
+from .polygons import PARTS, _Flat, _parts_array, with_clip
 
 CHUNK_ROWS = 256
-SEAM_PARTS = 2_000  # above this many pieces the cell borders stay visible in the geometry
+SEAM_ROWS = 256      # pieces of a group that are put together at once
 
 
 @F.arrow_udf(PARTS)
@@ -77,24 +79,28 @@ def dissolve_pieces(df: DataFrame, by: list[str], cell: float | None = None, geo
                .withColumn("geom", F.when(inside, F.col("geom")).otherwise(F.col("_cut")))
                .filter(F.col("geom").isNotNull())
                .select(*keys, F.col("geom")["parts"].alias("parts")).distinct())
-    chunked, again = _chunked(cut, keys)
-    merged = _merge(chunked, keys + ["_chunk"])
-    if again:
-        merged = _merge(merged.drop("_chunk"), keys)
+    merged, again = cut, True
+    while again:
+        chunked, again = _chunked(merged, keys)
+        merged = _merge(chunked, keys + ["_chunk"]).drop("_chunk")
+        if again:
+            merged = materialize(merged, "chunks")
     out = merged.select(*keys, st_from_parts(F.lit("multipolygon"), F.col("parts")).alias("geom")).filter(F.col("geom").isNotNull())
     return out.withColumn("area", st_area("geom"))
 
 
 def assemble(pieces: DataFrame, by: list[str]) -> DataFrame:
-    """One multipolygon and its area per group, from disjoint pieces."""
-    whole = pieces.groupBy(*by).agg(
-        F.flatten(F.collect_list(F.col("geom")["parts"])).alias("_parts"),
-        F.sum("area").alias("area"), F.count(F.lit(1)).alias("_n"))
-    whole = whole.withColumn("_stack", st_from_parts(F.lit("multipolygon"), F.col("_parts")))
-    seams = (F.col("_n") > 1) & (F.size("_parts") <= SEAM_PARTS)
-    return (with_valid(whole, "_merged", "_stack", seams)
-            .select(*by, F.when(seams, F.col("_merged")).otherwise(F.col("_stack")).alias("geom"),
-                    "area"))
+    """One multipolygon and its area per group, from disjoint pieces of grid cells.
+
+    While a group has more than ``SEAM_ROWS`` pieces, those of four neighbouring cells become one; the
+    size of a group changes the number of steps, not the result.
+    """
+    parts = pieces.select(*by, "_cx", "_cy", F.col("geom")["parts"].alias("parts"))
+    while (parts.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) > SEAM_ROWS:
+        wider = parts.withColumns({"_cx": F.shiftright("_cx", 1), "_cy": F.shiftright("_cy", 1)})
+        parts = materialize(_merge(wider, [*by, "_cx", "_cy"]), "seams")
+    whole = _merge(parts, by).select(*by, st_from_parts(F.lit("multipolygon"), F.col("parts")).alias("geom"))
+    return whole.withColumn("area", st_area("geom"))
 
 
 def dissolve(df: DataFrame, by: list[str], cell: float | None = None, geom: str = "geom",

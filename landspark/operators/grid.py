@@ -3,10 +3,11 @@
 Both sides are spread over the grid cells their boxes touch and joined on the cell. A pair is kept
 only in the cell holding the lower-left corner of the shared box, so no ``distinct`` is needed.
 
-Cells holding very many rows are found by a count first. They are cut into finer cells, and where
-that does not help (copies on one spot) both sides are salted, so no task receives a whole hot
-cell. The list of hot cells is at most ``MAX_HOT`` long by construction: a cell counts as hot only
-above ``1 / MAX_HOT`` of all rows. That bound is what allows to broadcast it.
+Cells are counted first. A cell is hot if its rows of the two sides make more than ``HOT_PAIRS``
+comparisons, a fixed number at every size of the data. Hot cells are cut into finer cells, and where
+that does not help (copies on one spot) both sides are salted, so no task receives a whole hot cell.
+The list of hot cells grows with the data. It is written and joined like any table: Spark broadcasts it
+below its size limit, and shuffles it and splits skewed keys beyond.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import as_col
+from ..session import materialize
 
-HOT_ROWS = 200_000
-MAX_HOT = 2_000
+HOT_PAIRS = 400_000_000  # comparisons in one cell
+HOT_ROWS = 20_000        # rows of one side in one share of a cell that cutting did not thin out
 MAX_SPLIT = 64
-BROADCAST_CELLS = 500_000
 
 
 def cell_of(v: Column, cell: float) -> Column:
@@ -35,23 +36,16 @@ def spread(df: DataFrame, geom, cell: float, grow: float = 0.0) -> DataFrame:
                                                     cell_of(g["maxy"] + grow, cell)))))
 
 
-def hot_groups(rows: DataFrame, keys: list[str], floor: int = HOT_ROWS) -> DataFrame | None:
-    """Groups above ``floor`` rows and above ``1 / MAX_HOT`` of all rows, with ``_split``, the
-    number of shares they need. None when there is none, which is the usual case."""
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return _hot_of(counts, floor, *counts.agg(F.max("_n"), F.sum("_n")).first())
+def _materialized(found: DataFrame) -> DataFrame | None:
+    found = materialize(found, "hot")
+    return None if found.isEmpty() else found
 
 
-def _hot_of(counts: DataFrame, floor: int, top: int | None, total: int | None) -> DataFrame | None:
-    if top is None:
-        return None
-    limit = max(floor, total // MAX_HOT)
-    if top <= limit:
-        return None
-    found = (counts.filter(F.col("_n") > limit)
-             .withColumn("_split", F.ceil(F.col("_n") / F.lit(limit)).cast("int")).drop("_n", "_right"))
-    listed = found.collect()  # at most MAX_HOT rows
-    return F.broadcast(counts.sparkSession.createDataFrame(listed, found.schema))
+def hot_groups(rows: DataFrame, keys: list[str], floor: int = HOT_ROWS) -> DataFrame | None:
+    """Groups above ``floor`` rows with ``_split``, the number of shares they need. None when there is
+    none, which is the usual case."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return _materialized(counts.filter(F.col("_n") > floor).select(*keys, F.ceil(F.col("_n") / F.lit(floor)).cast("int").alias("_split")))
 
 
 def sub_cell(v: Column, base: Column, cell: float, split: Column) -> Column:
@@ -94,7 +88,7 @@ def _with_shares(df: DataFrame, tables: list, keys: list[str]) -> DataFrame:
 
 def grid_join(left: DataFrame, right: DataFrame, cell: float, left_geom: str, right_geom: str,
               left_key: list[str], right_key: list[str], grow: float = 0.0,
-              hot_rows: int = HOT_ROWS) -> DataFrame:
+              hot_rows: int = HOT_ROWS, hot_pairs: int | None = None) -> DataFrame:
     """All pairs whose boxes meet (the right one grown by ``grow``), each exactly once.
 
     Column names of the two sides must differ. The keys only have to tell rows apart; they choose
@@ -107,13 +101,11 @@ def grid_join(left: DataFrame, right: DataFrame, cell: float, left_geom: str, ri
     y = F.greatest(lg["miny"], rg["miny"] - grow)
     here = (cell_of(x, cell) == F.col("_cx")) & (cell_of(y, cell) == F.col("_cy"))
 
-    # one count of the cells of both sides tells which are hot and how large the sides are
+    # one count of the cells of both sides tells which are hot
     sides = l.select(*keys, F.lit(0).alias("_r")).unionAll(r.select(*keys, F.lit(1).alias("_r")))
     counts = sides.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("_r").alias("_right"))
-    top, total, of_right = counts.agg(F.max("_n"), F.sum("_n"), F.sum("_right")).first()
-    hot = _hot_of(counts, hot_rows, top, total)
-    # the planner does not see how far the cells multiply rows; beyond this size both sides shuffle
-    large = min(of_right or 0, (total or 0) - (of_right or 0)) > BROADCAST_CELLS
+    pairs, limit = (F.col("_n") - F.col("_right")) * F.col("_right"), hot_pairs or min(HOT_PAIRS, hot_rows * hot_rows)
+    hot = _materialized(counts.filter(pairs > limit).select(*keys, F.least(F.ceil(pairs / F.lit(limit)), F.lit(MAX_SPLIT**2)).cast("int").alias("_split")))
     if hot is not None:
         l = cut_hot_cells(l, lg, cell, hot, keys)
         r = cut_hot_cells(r, rg, cell, hot, keys, grow)
@@ -129,7 +121,8 @@ def grid_join(left: DataFrame, right: DataFrame, cell: float, left_geom: str, ri
 
     meet = ((lg["minx"] <= rg["maxx"] + grow) & (rg["minx"] - grow <= lg["maxx"])
             & (lg["miny"] <= rg["maxy"] + grow) & (rg["miny"] - grow <= lg["maxy"]))
-    return l.join(r.hint("merge") if large else r, keys).filter(meet & here).drop(*keys)
+    # the planner does not see how far the cells multiply rows, so neither side may be broadcast
+    return l.join(r.hint("merge"), keys).filter(meet & here).drop(*keys)
 
 
 def suggest_cell(df: DataFrame, geom: str, share: float = 0.9) -> float:

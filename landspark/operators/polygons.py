@@ -152,10 +152,33 @@ def subdivide(df: DataFrame, geom: str = "geom", max_vertices: int = 256) -> Dat
             .withColumn(geom, F.col("_piece")).drop("_pieces", "_piece"))
 
 
+def _signs(values: Column) -> Column:
+    """Signs of the values that are not 0."""
+    return F.transform(F.filter(values, lambda v: v != 0), lambda v: F.signum(v))
+
+
+def st_is_convex(g) -> Column:
+    """True for one ring that turns to one side only and goes around once; such a polygon is valid."""
+    g = as_col(g)
+    ring = g["parts"][0][0]
+    n = F.size(ring) - 1
+    at = lambda c, i: F.get(ring, F.pmod(i, n))[c]
+    side = lambda c: F.transform(F.sequence(F.lit(0), n - 1), lambda i: at(c, i + 1) - at(c, i))
+    turn = lambda i: ((at("x", i + 1) - at("x", i)) * (at("y", i + 2) - at("y", i + 1))
+                      - (at("y", i + 1) - at("y", i)) * (at("x", i + 2) - at("x", i + 1)))
+    turns = F.transform(F.sequence(F.lit(0), n - 1), turn)
+    one_way = F.size(F.array_distinct(_signs(turns))) == 1
+    # going around once, x grows in one stretch and falls in another
+    changes = lambda s: F.size(F.filter(F.zip_with(s, F.concat(F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, 1, 1)),
+                                                   lambda a, b: a != b), lambda d: d))
+    single = (F.size(g["parts"]) == 1) & (F.size(g["parts"][0]) == 1) & (n >= 3)
+    return F.coalesce(single & one_way & (changes(_signs(side("x"))) <= 2), F.lit(False))
+
+
 def make_valid(df: DataFrame, geom: str = "geom") -> DataFrame:
-    """Repair polygons. Rectangles and points are valid as they are and skip the kernel; rows left
-    without area are dropped."""
-    work = F.col(geom)["gtype"].contains("polygon") & ~st_is_box(geom)
+    """Repair polygons. Points, rectangles and convex polygons are valid as they are and skip the kernel;
+    rows left without area are dropped."""
+    work = F.col(geom)["gtype"].contains("polygon") & ~st_is_box(geom) & ~st_is_convex(geom)
     marked = df.withColumn("_work", work)
     return (with_valid(marked, "_fixed", geom, F.col("_work"))
             .withColumn(geom, F.when(F.col("_work"), F.col("_fixed")).otherwise(F.col(geom)))
