@@ -30,4 +30,4 @@ def ctes(*names: str, **more: str) -> str:
 
 
 def load_all() -> None:
-    from . import cases, cleaning, courts, files, rows, spatial, text, zones  # noqa: F401
+    from . import cases, cleaning, courts, files, more, rows, spatial, text, zones  # noqa: F401

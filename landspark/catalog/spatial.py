@@ -286,8 +286,9 @@ def points_top_layer_first(spark, d):
             .select("pid", "feature", F.coalesce("parcel", F.lit(-1).cast("bigint")).alias("parcel")))
 
 
-_PROBES = """SELECT p_partkey AS key, (p_partkey*4099)%9000 AS x0, (p_partkey*2711)%9000 AS y0,
-    (p_partkey*4099)%9000+60+p_size AS x1, (p_partkey*2711)%9000+50+p_size AS y1 FROM part"""
+_PART = fx.sized("part", 2000)
+_PROBES = f"""SELECT p_partkey AS key, (p_partkey*4099)%(m-1000) AS x0, (p_partkey*2711)%(m-1000) AS y0,
+    (p_partkey*4099)%(m-1000)+60+p_size AS x1, (p_partkey*2711)%(m-1000)+50+p_size AS y1 FROM {_PART}"""
 
 
 def probes(spark, d):
@@ -325,9 +326,9 @@ def covered_share(spark, d):
     return out.select("key", F.col("area").cast("bigint"), F.col("covered").cast("bigint"), F.round("share", 4).alias("share"))
 
 
-_ALERTS = """SELECT p_partkey AS key, (p_partkey*3613)%9900 AS x0, (p_partkey*5281)%9900 AS y0,
-    (p_partkey*3613)%9900+10+p_size AS x1, (p_partkey*5281)%9900+12+p_size AS y1, p_size*7 AS alert_area,
-    concat('Town ', cast(p_partkey % 25 AS varchar(5))) AS town, p_type AS kind FROM part"""
+_ALERTS = f"""SELECT p_partkey AS key, (p_partkey*3613)%(m-100) AS x0, (p_partkey*5281)%(m-100) AS y0,
+    (p_partkey*3613)%(m-100)+10+p_size AS x1, (p_partkey*5281)%(m-100)+12+p_size AS y1, p_size*7 AS alert_area,
+    concat('Town ', cast(p_partkey % 25 AS varchar(5))) AS town, p_type AS kind FROM {_PART}"""
 
 
 def alerts(spark, d):

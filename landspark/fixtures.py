@@ -1,6 +1,6 @@
 """Domain tables derived from the given benchmark tables by integer arithmetic.
 
-Only ``%``, ``+`` and ``*`` are used, so that another engine computes the same rows from
+Little more than ``%``, ``+`` and ``*`` is used, so that another engine computes the same rows from
 :data:`SQL`. Geometry is added on the Spark side.
 """
 
@@ -13,28 +13,38 @@ from .functions.geometry import st_box, st_point
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
+
+
+def sized(table: str, usual: int) -> str:
+    """The table with ``m``, the side of the map: 10,000 at the usual row count, growing with the square
+    root of the rows, so that features are as dense at every size."""
+    return f"(SELECT *, (SELECT cast(floor(10000*sqrt(count(*)/{usual}.0)) AS bigint) FROM {table}) AS m FROM {table})"
+
+
+_ORDERS, _SUPPLIER, _EVENTS = sized("orders", 15000), sized("supplier", 100), sized("events", 10000)
+
 SQL = {
-    "parcels": """
+    "parcels": f"""
         SELECT o_orderkey AS code, concat('Farm ', cast(o_custkey AS varchar(20))) AS name,
           CASE o_orderkey % 3 WHEN 0 THEN 'certified' WHEN 1 THEN 'legacy' ELSE 'registry' END AS source,
           CASE WHEN o_custkey % 11 = 0 THEN NULL
                ELSE concat('Town ', cast(o_custkey % 25 AS varchar(5))) END AS town,
-          (o_orderkey*7919)%10000 AS x0, (o_orderkey*104729)%10000 AS y0,
-          (o_orderkey*7919)%10000+5+o_custkey%40 AS x1,
-          (o_orderkey*104729)%10000+5+o_orderkey%37 AS y1
-        FROM orders""",
-    "territories": """
+          (o_orderkey*7919)%m AS x0, (o_orderkey*104729)%(m-9) AS y0,
+          (o_orderkey*7919)%m+5+o_custkey%40 AS x1,
+          (o_orderkey*104729)%(m-9)+5+o_orderkey%37 AS y1
+        FROM {_ORDERS}""",
+    "territories": f"""
         SELECT s_suppkey AS tid, concat('Land ', cast(s_nationkey AS varchar(5))) AS name,
           CASE s_suppkey % 4 WHEN 0 THEN 'indigenous' WHEN 1 THEN 'quilombola'
                              WHEN 2 THEN 'federal_unit' ELSE 'embargo' END AS source,
-          (s_suppkey*6151)%9000 AS x0, (s_suppkey*3571)%9000 AS y0,
-          (s_suppkey*6151)%9000+200+s_nationkey*10 AS x1,
-          (s_suppkey*3571)%9000+150+s_nationkey*7 AS y1
-        FROM supplier""",
-    "points": """
+          (s_suppkey*6151)%(m-1000) AS x0, (s_suppkey*3571)%(m-1000) AS y0,
+          (s_suppkey*6151)%(m-1000)+200+s_nationkey*10 AS x1,
+          (s_suppkey*3571)%(m-1000)+150+s_nationkey*7 AS y1
+        FROM {_SUPPLIER}""",
+    "points": f"""
         SELECT event_id AS pid, user_id, event_type,
-          (event_id*7907)%10000 AS x, (event_id*10007+user_id*13)%10000 AS y
-        FROM events""",
+          (event_id*7907)%m AS x, (event_id*10007+user_id*13)%m AS y
+        FROM {_EVENTS}""",
     "cases": """
         SELECT o_orderkey AS seq,
           CASE WHEN o_orderkey % 10 = 9 THEN o_orderkey - 1 ELSE o_orderkey END AS id,
