@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import materialize, ship_package
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BATCH_ROWS, BATCH_WORDS = 8_192, 1_000_000  # a batch of documents ends at either
+BATCH_ROWS, BATCH_WORDS = 32_768, 4_000_000  # a batch of documents ends at either
 PRIOR = 10_000.0  # tokens that the starting weights count for
 _CHUNK = 200_000  # words scored at once
 _VECTOR = 48  # words of more bytes, or of a rare length, are scored one by one
