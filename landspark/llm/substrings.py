@@ -1,7 +1,7 @@
 """Substring dedup by compaction of a De Bruijn graph.
 
 Windows of 20 words are the edges of the graph. In each text, consecutive edges that share a minimizer
-(the least hash among their 4-word parts) form a stretch. All occurrences of an edge lie in stretches of
+(the least hash among their 8-word parts) form a stretch. All occurrences of an edge lie in stretches of
 its minimizer. So if the stretches of a minimizer have the same words everywhere, they are one
 nonbranching path, whose edges occur together, and one row stands for all of them. Where they differ the
 path branches, and its stretches are taken apart into single edges. Joins on the minimizer, later on the
@@ -27,8 +27,8 @@ from xxhash import xxh3_64_intdigest
 from ..session import materialize, ship_package
 from .common import text_key
 
-WINDOW, PART = 20, 4
-FILTER_ROWS = 4_000_000  # ids of a list that may be broadcast to thin out texts before a shuffle (32 MB)
+WINDOW, PART = 20, 8
+FILTER_ROWS = 2_000_000  # ids of a list that may be broadcast to thin out texts before a shuffle (16 MB)
 _LAST = 2**63 - 1  # stands for a null id: after all others
 _B = 0x9E3779B97F4A7C15
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -97,14 +97,20 @@ def _hashed(words: list[bytes], known: dict) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def _digest(words: list[bytes], first: int, windows: int, seed: int = 0) -> int:
-    return xxh3_64_intdigest(b" ".join(words[first:first + windows + WINDOW - 1]), seed)
+class _Spans:
+    """Digests of stretches of words, taken from the words joined by one space."""
 
+    def __init__(self, words: list[bytes]):
+        self.n, self.joined = len(words), b" ".join(words)
+        self.ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1).tolist()
 
-def _stands(words: list[bytes], span: dict) -> bool:
-    """Whether the text has the words of the span at its coordinates."""
-    end = span["at"] + span["n"] + WINDOW - 1
-    return end <= len(words) and _digest(words, span["at"], span["n"]) == span["digest"] % 2**64
+    def of(self, first: int, windows: int) -> bytes:
+        return self.joined[self.ends[first - 1] if first else 0:self.ends[first + windows + WINDOW - 2] - 1]
+
+    def stands(self, span: dict) -> bool:
+        """Whether the text has the words of the span at its coordinates."""
+        end = span["at"] + span["n"] + WINDOW - 1
+        return end <= self.n and xxh3_64_intdigest(self.of(span["at"], span["n"])) == span["digest"] % 2**64
 
 
 _READ = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("minimizer", pa.int64()), ("digest", pa.int64()), ("at", pa.int32()), ("n", pa.int32()),
@@ -131,7 +137,8 @@ def _read(batches):
                 seen.clear()
             seen[key] = doc
             minimizer, first, n = stretches(h)
-            digest = [_digest(words, a, k) for a, k in zip(first.tolist(), n.tolist())]
+            spans = _Spans(words)
+            digest = [xxh3_64_intdigest(spans.of(a, k)) for a, k in zip(first.tolist(), n.tolist())]
             parts.append((np.full(len(n), doc), minimizer.view(np.int64), _signed(digest), first, n))
         doc, key, n_words, n_removed, kept = zip(*docs) if docs else ((),) * 5
         m = len(docs)
@@ -150,10 +157,12 @@ def _edges(batches):
     for batch in batches:
         out = []
         for doc, raw, spans in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist()):
-            words = raw.as_py().split()
+            text = _Spans(raw.as_py().split())
             for span in spans:
-                if _stands(words, span):  # else it is of another text with this id
-                    out += [(doc, k, _digest(words, k, 1, 1), _digest(words, k, 1)) for k in range(span["at"], span["at"] + span["n"])]
+                if text.stands(span):  # else it is of another text with this id
+                    for k in range(span["at"], span["at"] + span["n"]):
+                        words = text.of(k, 1)
+                        out.append((doc, k, xxh3_64_intdigest(words, 1), xxh3_64_intdigest(words)))
         doc, at, high, low = zip(*out) if out else ((),) * 4
         yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(_signed(high)), pa.array(_signed(low))], names=["doc", "at", "high", "low"])
 
@@ -166,7 +175,8 @@ def _removed(batches):
         for doc, raw, spans, key in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             words = raw.as_py().split()
             starts = [repeats(_hashed(words, known))]
-            starts += [np.arange(span["at"], span["at"] + span["n"]) for span in spans if _stands(words, span)]  # the digest is the source's
+            text = _Spans(words)
+            starts += [np.arange(span["at"], span["at"] + span["n"]) for span in spans if text.stands(span)]  # the digest is the source's
             out.append((doc, key, *_kept(words, np.unique(np.concatenate(starts)))))
         doc, key, n, kept = zip(*out) if out else ((),) * 4
         yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(kept, pa.string())], names=["doc", "key", "n", "kept"])
