@@ -272,18 +272,18 @@ def probe_points(spark, d):
     return out.withColumn("parcel", F.coalesce("parcel", F.lit(-1).cast("bigint")))
 
 
-@query("points_top_layer_first", ctes("points", "parcels", "territories", f="""
-    SELECT 'area_imovel_1' AS layer, 0 AS prio, code AS key, x0, y0, x1, y1 FROM parcels WHERE source = 'registry'
-    UNION ALL SELECT 'sigef_privado_pe', 1, code, x0, y0, x1, y1 FROM parcels WHERE source = 'certified'""") + """
-    SELECT p.pid, min(CASE WHEN prio = 0 THEN key END) AS feature,
-      coalesce(min(CASE WHEN prio = 1 THEN key END), -1) AS parcel
-    FROM points p JOIN f ON p.x BETWEEN f.x0 AND f.x1 AND p.y BETWEEN f.y0 AND f.y1
-    GROUP BY p.pid HAVING min(prio) = 0""")
+_FIRST = ["area_imovel_1", "sigef_privado_pe", "tis_poligonais", "areas_de_quilombolas_pe"]
+_REORDERED = LAYERS.replace("25 AS prio", "0 AS prio").replace("', 21,", "', 1,").replace("', 17,", "', 2,").replace("', 18,", "', 3,")
+
+
+@query("points_top_layer_first", ctes("points", "parcels", "territories", f=_REORDERED, h="""
+    SELECT p.pid, f.*, cast(prio AS bigint)*1000000000 + key AS place FROM points p JOIN f ON p.x BETWEEN f.x0 AND f.x1 AND p.y BETWEEN f.y0 AND f.y1""") + """
+    SELECT pid, arg_min(layer, place) AS layer, arg_min(key, place) AS feature,
+      coalesce(CASE WHEN arg_min(layer, place) = 'area_imovel_1' THEN min(CASE WHEN layer = 'sigef_privado_pe' THEN key END) END, -1) AS parcel
+    FROM h GROUP BY pid""")
 def points_top_layer_first(spark, d):
-    layers = {k: v for k, v in _layers(spark, d).items() if k in ("area_imovel_1", "sigef_privado_pe")}
-    out = crossings.probe_points(fx.points(spark, d), layers, CELL, priority=["area_imovel_1", "sigef_privado_pe"])
-    return (out.filter("layer = 'area_imovel_1'")
-            .select("pid", "feature", F.coalesce("parcel", F.lit(-1).cast("bigint")).alias("parcel")))
+    out = crossings.probe_points(fx.points(spark, d), _layers(spark, d), CELL, priority=_FIRST)
+    return out.select("pid", "layer", "feature", F.coalesce("parcel", F.lit(-1).cast("bigint")).alias("parcel"))
 
 
 _PART = fx.sized("part", 2000)

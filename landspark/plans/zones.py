@@ -15,6 +15,7 @@ from ..session import materialize
 
 REGISTRY = "area_imovel_1"
 FEDERAL_UNITS = "limiteucsfederais_a"
+SOURCE_LENGTH = 50  # of source names as published; grouping uses the whole name
 
 
 def property_layer(df: DataFrame, source: str, name, code, key=None) -> DataFrame:
@@ -23,7 +24,7 @@ def property_layer(df: DataFrame, source: str, name, code, key=None) -> DataFram
     name = F.col(name) if isinstance(name, str) else name
     key = code if key is None else (F.col(key) if isinstance(key, str) else key)
     return df.select(key.alias("key"), name.alias("name"), code.cast("string").alias("code"),
-                     F.left(F.lit(source), F.lit(50)).alias("source"), "geom")
+                     F.lit(source).alias("source"), "geom")
 
 
 def registry_layer(df: DataFrame, source: str = REGISTRY, town: str = "municipio",
@@ -36,7 +37,7 @@ def registry_layer(df: DataFrame, source: str = REGISTRY, town: str = "municipio
 def territory_layer(df: DataFrame, source: str, name, key) -> DataFrame:
     name = F.col(name) if isinstance(name, str) else name
     return df.select(F.col(key).alias("key"), name.alias("name"),
-                     F.left(F.lit(source), F.lit(50)).alias("source"), "geom")
+                     F.lit(source).alias("source"), "geom")
 
 
 def embargo_label(number: str = "numero_emb", person: str = "autuado") -> Column:
@@ -59,7 +60,7 @@ def zone_overlaps(properties: DataFrame, territories: DataFrame, cell: float,
                          max_vertices=max_vertices, skip=skip)
     return pairs.select(
         F.col("l_name").alias("property_name"), F.col("l_code").alias("property_code"),
-        F.col("l_source").alias("property_source"), F.col("r_name").alias("traditional_name"),
+        F.left("l_source", F.lit(SOURCE_LENGTH)).alias("property_source"), F.col("r_name").alias("traditional_name"),
         F.col("r_source").alias("traditional_source"), "geom", "area")
 
 
@@ -96,7 +97,7 @@ def conflict_zones(properties: DataFrame, territories: DataFrame, cell: float,
              F.col("geom")["minx"], F.col("geom")["miny"]]
     return with_row_id(zones, order).select(
         "id", "property_name", "property_code", "property_source", "traditional_name",
-        "traditional_source", "properties", "overlaps", "area", "geom")
+        F.left("traditional_source", F.lit(SOURCE_LENGTH)).alias("traditional_source"), "properties", "overlaps", "area", "geom")
 
 
 def conflict_points(zones: DataFrame) -> DataFrame:
