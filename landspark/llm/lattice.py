@@ -28,6 +28,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BATCH_ROWS, BATCH_WORDS = 32_768, 4_000_000  # a batch of documents ends at either
 PRIOR = 10_000.0  # tokens that the starting weights count for
 _CHUNK = 200_000  # words scored at once
+_ROWS = 65_536  # words handed on at once; of documents a sixteenth
 _VECTOR = 48  # words of more bytes, or of a rare length, are scored one by one
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _B, _MIX = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -199,25 +200,31 @@ def _batched(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush():
         nonlocal vocab, held, seen, number
-        n, m = len(vocab), len(held)
-        train = [d[2] for d in held if not d[1]]
-        counts = np.bincount(np.concatenate(train), minlength=n) if train and n else np.zeros(n, np.int64)
-        both = n + m
-        blank = lambda k, t: pa.nulls(k, t)
-        yield pa.RecordBatch.from_arrays([
-            pa.array([0] * n + [1] * m, pa.int32()), pa.array([number] * both, pa.int64()),
-            pa.array([*range(n), *[None] * m], pa.int32()), pa.array([*vocab, *[None] * m], pa.binary()),
-            pa.array([*counts.tolist(), *[None] * m], pa.int64()), pa.array([*[None] * n, *(d[0] for d in held)], pa.int64()),
-            pa.array([*[None] * n, *(d[1] for d in held)], pa.bool_()), pa.array([*[None] * n, *(len(d[2]) for d in held)], pa.int64()),
-            pa.array([*[None] * n, *(d[2].astype("<u4").tobytes() for d in held)], pa.binary())], schema=_STORED_ARROW)
-        number, vocab, held, seen = number + 1, {}, [], 0
+        words, counts = list(vocab), np.zeros(len(vocab), np.int64)
+        vocab = {}
+        for _, out, at in held:
+            if not out:
+                np.add.at(counts, at, 1)
+        for k in range(0, len(words), _ROWS):
+            some = words[k:k + _ROWS]
+            n = len(some)
+            yield row(n, kind=[0] * n, batch=[number] * n, place=np.arange(k, k + n), word=some, n_train=counts[k:k + n])
+        for k in range(0, len(held), _ROWS // 16):
+            some = held[k:k + _ROWS // 16]
+            n = len(some)
+            yield row(n, kind=[1] * n, batch=[number] * n, doc_id=[d[0] for d in some], held_out=[d[1] for d in some],
+                      n_words=[len(d[2]) for d in some], at=[d[2].tobytes() for d in some])
+        number, held, seen = number + 1, [], 0
+
+    def row(n, **columns):
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _STORED_ARROW], schema=_STORED_ARROW)
 
     for batch in rows:
         texts = batch.column(2).cast(pa.binary())
         for doc_id, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
             words = (text.as_py() or b"").translate(_LOWER).split()
             place = vocab.setdefault
-            held.append((doc_id, out, np.array([place(w, len(vocab)) for w in words], np.int64)))
+            held.append((doc_id, out, np.array([place(w, len(vocab)) for w in words], "<u4")))
             seen += len(words)
             if seen >= BATCH_WORDS or len(held) >= BATCH_ROWS:
                 yield from flush()
