@@ -34,15 +34,21 @@ def _per_word(c: str) -> Column:
     return F.col(c) / F.greatest(F.col("n_words"), F.lit(1))
 
 
+#: per rule the cutoffs from strict to lenient; a document whose value is above the cutoff is rejected
+CUTOFFS = {
+    "symbols": (0.05, 0.1, 0.2, 0.3, 0.5, 1.0),
+    "repeated_lines": (0.1, 0.2, 0.3, 0.4, 0.5),
+    "repeated_words": (0.02, 0.05, 0.1, 0.15),
+    "long_words": (6.5, 7.0, 8.0, 10.0, 12.0),
+    "short_words": (-4.0, -3.5, -3.0, -2.5),
+}
+
+
 def rules() -> dict[str, tuple[Column, tuple]]:
-    """rule: (value, cutoffs from strict to lenient); a document whose value is above the cutoff is rejected."""
-    return {
-        "symbols": (_per_word("n_symbols"), (0.05, 0.1, 0.2, 0.3, 0.5, 1.0)),
-        "repeated_lines": (F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), (0.1, 0.2, 0.3, 0.4, 0.5)),
-        "repeated_words": (_per_word("n_repeat_words"), (0.02, 0.05, 0.1, 0.15)),
-        "long_words": (_per_word("word_chars"), (6.5, 7.0, 8.0, 10.0, 12.0)),
-        "short_words": (-_per_word("word_chars"), (-4.0, -3.5, -3.0, -2.5)),
-    }
+    """The value of each rule, and its cutoffs."""
+    values = {"symbols": _per_word("n_symbols"), "repeated_lines": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
+              "repeated_words": _per_word("n_repeat_words"), "long_words": _per_word("word_chars"), "short_words": -_per_word("word_chars")}
+    return {r: (values[r], some) for r, some in CUTOFFS.items()}
 
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
@@ -157,3 +163,35 @@ def quality_kept(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta
     rows = materialize(with_measures(rows, F.col("_row.text")), "measured")
     cuts = certify(rows.select("doc_id", "stratum", *MEASURES), labels, alpha, delta)
     return unpacked(with_verdict(rows, cuts).filter("kept"), docs.columns)
+
+
+def _oracle() -> str:
+    sql = {"symbols": "n_symbols / greatest(n_words, 1)", "repeated_lines": "n_dup_lines / greatest(n_lines, 1)", "repeated_words": "n_repeat_words / greatest(n_words, 1)",
+           "long_words": "word_chars / greatest(n_words, 1)", "short_words": "-(word_chars / greatest(n_words, 1))"}
+    cutoffs = ", ".join(f"('{r}', {c}::DOUBLE)" for r, some in CUTOFFS.items() for c in some)
+    values = " UNION ALL ".join(f"SELECT r, stratum, good, '{r}' AS rule, {v} AS v FROM held" for r, v in sql.items())
+    a, hits = ALPHA / len(sql), ", ".join(f"CASE WHEN {v} > {r} THEN '{r}' END" for r, v in sql.items())
+    picked = ", ".join(f"max(cutoff) FILTER (WHERE rule = '{r}') AS {r}" for r in sql)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS (SELECT r, i, w[i:i + 4] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+c AS (SELECT r, sum(least(5, i - coalesce(before, -5))) AS n FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before
+    FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1) GROUP BY r),
+m AS (SELECT r, doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '{SYMBOLS}'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines FROM d LEFT JOIN c USING (r)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+held AS (SELECT b.*, good FROM b JOIN (SELECT doc_id, min(quality) AS good FROM labels GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed AND good IS NOT NULL),
+v AS ({values}),
+k AS (SELECT stratum, rule, cutoff, count(*) FILTER (WHERE good = 1) AS n, count(*) FILTER (WHERE good = 1 AND v > cutoff) AS k, count(*) FILTER (WHERE good = 0 AND v > cutoff) AS caught
+    FROM v JOIN (VALUES {cutoffs}) AS o(rule, cutoff) USING (rule) GROUP BY ALL),
+s AS (SELECT *, {DELTA}::DOUBLE / {len(sql)} / (SELECT count(*) FROM (SELECT DISTINCT stratum FROM held)) AS level, CASE WHEN k > n * {a} THEN 1 ELSE
+    list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({a}) + (n - i) * ln(1 - {a})))) END AS tail FROM k),
+best AS (SELECT stratum, rule, arg_max(cutoff, caught * 1000.0 + cutoff) AS cutoff FROM s WHERE n > 0 AND tail <= level AND caught > k GROUP BY ALL),
+cut AS (SELECT stratum, {picked} FROM best GROUP BY stratum),
+j AS (SELECT b.*, concat_ws(',', {hits}) AS rejected_by FROM b LEFT JOIN cut ON cut.stratum IS NOT DISTINCT FROM b.stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by = '' AS kept, rejected_by, stratum FROM j
+"""
+
+
+ORACLE = _oracle()

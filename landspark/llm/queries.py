@@ -30,7 +30,7 @@ def op8_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-@_query("op6_quality_rules")
+@_query("op6_quality_rules", quality.ORACLE)
 def op6_quality_rules(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -65,6 +65,6 @@ def op10_lattice_scores(spark, sf_dir):
     return lattice.lattice_scores(table(spark, sf_dir, "documents"))
 
 
-@_query("op2_substring_dedup")
+@_query("op2_substring_dedup", substrings.ORACLE)
 def op2_substring_dedup(spark, sf_dir):
     return substrings.substring_report(table(spark, sf_dir, "documents"))

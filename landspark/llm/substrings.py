@@ -224,3 +224,15 @@ def substring_report(docs: DataFrame) -> DataFrame:
     return out.select(F.when(F.col("doc") != _LAST, F.col("doc")).alias("doc_id"), "n_words",
                       F.when(copy, F.col("n_words")).otherwise(F.coalesce("n", "n_removed")).alias("n_removed"),
                       F.when(copy, F.lit(_EMPTY)).otherwise(F.coalesce("kept", "kept_sha256")).alias("kept_sha256"))
+
+
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, {_LAST}) AS doc, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, doc, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS g FROM (SELECT r, doc, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d)),
+x AS (SELECT r, i FROM (SELECT r, doc, i, min(doc) OVER (PARTITION BY g) AS first, row_number() OVER (PARTITION BY r, g ORDER BY i) AS nth FROM g)
+    WHERE first < doc OR nth > 1),
+c AS (SELECT DISTINCT r, unnest(range(i, i + {WINDOW})) AS i FROM x),
+k AS (SELECT d.r, string_agg(w[p.i], ' ' ORDER BY p.i) FILTER (WHERE c.i IS NULL) AS kept, count(c.i) AS n_removed
+    FROM (SELECT r, unnest(range(1, len(w) + 1)) AS i FROM d) p JOIN d USING (r) LEFT JOIN c ON c.r = p.r AND c.i = p.i GROUP BY d.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""

@@ -439,7 +439,7 @@ def test_field_decodes_the_best_segmentation():
 def test_pii(spark, none):
     docs = table(spark, SF, "documents").select("doc_id", "text").unionAll(spark.createDataFrame([
         (9001, "write to bob (at) mail (dot) com or call (609) 555-7932"), (9002, "card 4111.1111.1111.1111 not 4111.1111.1111.1112"), (9003, None), (9003, ""), (None, "x@y.zz"),
-        (9004, "ok x@y.zz 1.2.3.4 4111 1111 1111 1111 +1 (609) 555-7932 " * 3)], "doc_id long, text string"))
+        (9004, "ok x@y.zz 1.2.3.4, 4111 1111 1111 1111 +1 (609) 555-7932 " * 3)], "doc_id long, text string"))
     big = docs.unionAll(table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text"))
     field = pii.train(big)
     rows = {r.doc_id: r.text for r in docs.collect() if r.doc_id != 9003}
@@ -486,7 +486,7 @@ def test_lattice_forward_against_all_segmentations():
     assert sum(p.values()) + math.exp(lat.logp[0]) == pytest.approx(1)
 
     def total(w):
-        return 1.0 if not w else sum(p[w[:n]] * total(w[n:]) for n in range(1, 4) if w[:n] in p)
+        return 1.0 if not w else sum(p[w[:n]] * total(w[n:]) for n in range(1, min(3, len(w)) + 1) if w[:n] in p)
     words = [bytes(w) for n in range(0, 7) for w in itertools.product(b"ab", repeat=n)]
     for some in (words * 70, words):  # by length groups, and one by one
         logs, _ = lat.words(some)
