@@ -24,6 +24,7 @@ from ..session import materialize, ship_package
 
 SHINGLE, SEED, NEAR = 3, 42, 2
 CROWD = 64  # members of a variant up to which pairs are formed
+FILTER_ROWS = 2_000_000  # variants met by several that may be broadcast to pick their members (16 MB)
 _LAST = 2**63 - 1  # stands for a null id: after all others
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -72,11 +73,15 @@ def _variants() -> Column:
 
 def links(nodes: DataFrame) -> DataFrame:
     """``src, dst``: links between distinct fingerprints (``fp``) that connect all that are within two bits."""
+    spark = nodes.sparkSession
+    nodes = nodes.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")  # a few bytes become 64 rows each
     keyed = nodes.select("fp", F.explode(_variants()).alias("key"))
     met = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("src"), F.max("fp").alias("dst"))
                       .filter("n > 1"), "variants")
     two = met.filter("n = 2").select("src", "dst")
-    some = materialize(keyed.join(met.filter("n > 2").select("key", "n"), "key"), "members")
+    full = met.filter("n > 2").select("key", "n")
+    full = F.broadcast(full) if full.count() <= FILTER_ROWS else full  # beyond that both sides are shuffled
+    some = materialize(keyed.join(full, "key"), "members")
     few, many = some.filter(F.col("n") <= CROWD).select("key", "fp"), some.filter(F.col("n") > CROWD)
     pairs = few.withColumnRenamed("fp", "src").join(few.withColumnRenamed("fp", "dst"), "key").filter("src < dst").select("src", "dst")
     # the bits that members of a variant need not share: the other half, and the one left out
