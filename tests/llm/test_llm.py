@@ -230,12 +230,15 @@ def test_certified_cutoffs(spark):
 
 def leaks_by_hand(docs, items):
     out = set()
-    for (k, (d, t)), (i, u) in itertools.product(enumerate(docs), set(items)):
-        a, b = decontamination.plain_words((t or "").encode()), decontamination.plain_words((u or "").encode())
+    split = lambda rows: [(i, decontamination.plain_words((t or "").encode())) for i, t in rows]
+    known = [(k, d, a, set(a)) for k, (d, a) in enumerate(split(docs))]
+    for (k, d, a, held), (i, b) in itertools.product(known, split(set(items))):
         size = min(len(b), 13)
         if len(b) < 5:
             continue
         allowed = 2 if len(b) >= 13 else 0
+        if sum(x in held for x in b) < size - allowed:
+            continue
         if any(sum(x != y for x, y in zip(a[p:p + size], b[q:q + size])) <= allowed for p in range(len(a) - size + 1) for q in range(len(b) - size + 1)):
             out.add((k, d, i))
     return Counter((d, i) for _, d, i in out)
