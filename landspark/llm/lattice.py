@@ -191,6 +191,15 @@ _STORED_ARROW = pa.schema([("kind", pa.int32()), ("batch", pa.int64()), ("place"
                            ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_words", pa.int64()), ("at", pa.binary())])
 
 
+def _planes(at: np.ndarray) -> bytes:
+    """Places by byte: first all lowest bytes, and so on, so that the empty high ones compress to nothing."""
+    return at.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _places(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _batched(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of kind 0: the distinct words of a batch; of kind 1: its documents as places among them."""
     number = TaskContext.get().partitionId() << 32
@@ -213,7 +222,7 @@ def _batched(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = held[k:k + _ROWS // 16]
             n = len(some)
             yield row(n, kind=[1] * n, batch=[number] * n, doc_id=[d[0] for d in some], held_out=[d[1] for d in some],
-                      n_words=[len(d[2]) for d in some], at=[d[2].tobytes() for d in some])
+                      n_words=[len(d[2]) for d in some], at=[_planes(d[2]) for d in some])
         number, held, seen = number + 1, [], 0
 
     def row(n, **columns):
@@ -298,7 +307,7 @@ def lattice_scores(docs: DataFrame, model: str = MODEL) -> DataFrame:
         base = np.log10(c + 1)
         out = []
         for doc_id, out_of, k, at in zip(*(docs_of.column(x).to_pylist() for x in ("doc_id", "held_out", "n_words", "at"))):
-            at = np.frombuffer(at, "<u4")
+            at = _places(at)
             out.append((doc_id, out_of, k + 1, int((c[at] > 0).sum()) + (ends > 0), total,
                         float(base[at].sum() + np.log10(ends + 1) - (k + 1) * log_total), float((logp[at].sum() + end) / np.log(10))))
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), result.types)] if out else [pa.array([], t) for t in result.types], schema=result)
