@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from landspark.llm import decontamination, lattice, mixing, pii, quality, queries, sharding, simhash, site_lines, substrings, token_counts
+from landspark.llm import decontamination, lattice, mixing, near_texts, pii, quality, queries, sharding, simhash, site_lines, substrings, token_counts
 from landspark.llm.common import running_total, table, word_count, words_of
 
 SF = "/root/testdata/sf0.001"
@@ -336,6 +336,42 @@ def test_links_connect_all_near_fingerprints(spark, monkeypatch, crowd):
     assert [got[f] for _, f in signed] == components_by_hand(rows)
 
 
+def near_by_hand(texts):
+    """Component number of each text by all pairs."""
+    held, top = [], list(range(len(texts)))
+    for t in texts:
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        held.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(held[i] & held[j]) >= 4 * len(held[i] | held[j]):
+            low, high = sorted((top[i], top[j]))
+            top = [low if x == high else x for x in top]
+    return top
+
+
+def test_near_texts(spark, odd, none):
+    """Against all pairs: each component keeps its first row; chains, word changes and small bands included."""
+    rng = random.Random(3)
+    say = lambda n: ["w%d" % rng.randrange(3000) for _ in range(n)]
+    texts = []
+    for _ in range(25):
+        words = say(rng.randint(60, 300))
+        texts.append(" ".join(words))
+        for _ in range(rng.randint(0, 6)):  # a walk: neighbours are near, ends need not be
+            words = list(words)
+            for _ in range(rng.randint(1, max(1, len(words) // 50))):
+                words[rng.randrange(len(words))] = "new%d" % rng.randrange(10**6)
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    top = near_by_hand(texts)
+    assert 25 <= len(set(top)) < len(texts)
+    same(near_texts.one_of_each(made).collect(), [(i, texts[i]) for i in sorted(set(top))])
+    one = near_texts.one_of_each(odd)
+    assert one.columns == odd.columns and one.count() == len(set(near_by_hand([r.text for r in odd.collect()])))
+    assert near_texts.one_of_each(none).collect() == []
+
+
 # --- 2
 
 def substrings_by_hand(rows):
