@@ -316,6 +316,15 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Field:
     return field
 
 
+def _outside(text: str, lo: int, hi: int, inner: list[tuple[int, int]]) -> str:
+    """What of a region lies outside its base spans (sorted, they may overlap), in lines."""
+    parts, at = [], lo
+    for a, b in inner:
+        parts.append(text[at:max(a, at)])
+        at = max(at, b)
+    return "\n".join([*parts, text[at:hi]])
+
+
 def all_spans(text: str, field: Field) -> tuple[list, list]:
     """Base spans, and base spans with those the field adds where no base span lies; by kind, then start."""
     base = base_spans(text)
@@ -323,7 +332,7 @@ def all_spans(text: str, field: Field) -> tuple[list, list]:
     added = []
     for lo, hi in regions(text):
         inner = [(a, b) for a, b in taken if a < hi and b > lo] if len(taken) < 50 else [x for x in taken if x[0] < hi and x[1] > lo]
-        if inner and not _TRIGGER.search("".join(text[lo:hi][:inner[0][0] - lo] + text[inner[-1][1]:hi])):
+        if inner and not _TRIGGER.search(_outside(text, lo, hi, inner)):
             continue  # all its triggers lie in base spans
         added += [(k, lo + a, lo + b) for k, a, b in field.best(text[lo:hi]) if all(lo + b <= x or lo + a >= y for x, y in inner)]
     order = lambda s: (KINDS.index(s[0]), s[1])

@@ -499,6 +499,19 @@ def test_pii(spark, none):
     assert pii.pii_report(none).collect() == []
 
 
+def test_added_spans_between_base_spans(spark):
+    """What lies between two base spans is scored as if it stood alone."""
+    field = pii.train(table(spark, "/root/testdata/sf0.1", "documents"))
+    for inside in ("(609) 555-7932", "4111.1111.1111.1111"):
+        text = f"a@b.com {inside} c@d.com"
+        assert any(text[x + a:x + b] == inside for x, y in pii.regions(text) for _, a, b in field.best(text[x:y])), inside
+        base, every = pii.all_spans(text, field)
+        assert [text[a:b] for _, a, b in base] == ["a@b.com", "c@d.com"]
+        assert [text[a:b] for k, a, b in every if (k, a, b) not in base] == [inside]
+    text = "a@b.com c@d.com - +1 (609) 555-7932 1.2.3.4"
+    assert pii._TRIGGER.search(pii._outside(text, 0, len(text), sorted((a, b) for _, a, b in pii.base_spans(text)))) is None
+
+
 def test_held_out_disguises_are_found(spark):
     """Disguised spans of documents that training has not seen; plain numbers beside them stay."""
     docs = table(spark, "/root/testdata/sf0.1", "documents")
