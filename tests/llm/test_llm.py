@@ -372,6 +372,17 @@ def test_near_texts(spark, odd, none):
     assert near_texts.one_of_each(none).collect() == []
 
 
+def test_near_texts_without_id_or_of_one_id_stay(spark):
+    """The survivor is chosen by component: different texts stay whatever their ids, near copies do not."""
+    rng = random.Random(9)
+    say = lambda: " ".join("w%d" % rng.randrange(3000) for _ in range(80))
+    a, b, c, d = say(), say(), say(), say()
+    rows = [(None, a), (None, a + " tail"), (None, b), (None, b), (0, c + " tail"), (1, d), (1, c), (1, say()), (1, d)]
+    got = Counter(tuple(r) for r in near_texts.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    first = min(a, a + " tail", key=lambda t: hashlib.md5(t.encode()).digest())
+    assert got == Counter([(None, first), (None, b), (0, c + " tail"), (1, d), (1, rows[7][1])])
+
+
 # --- 2
 
 def substrings_by_hand(rows):
