@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontamination, lattice, licenses, mixing, pii, quality, sharding, simhash, site_lines, substrings, token_counts
+from . import decontamination, lattice, licenses, mixing, pii, quality, repair, sharding, simhash, site_lines, substrings, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -73,3 +73,8 @@ def op2_substring_dedup(spark, sf_dir):
 @_query("op13_license_scans", licenses.ORACLE)
 def op13_license_scans(spark, sf_dir):
     return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
+@_query("op12_conversation_repair")
+def op12_conversation_repair(spark, sf_dir):
+    return repair.repair_report(repair.damaged(table(spark, sf_dir, "conversations")))
