@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontamination, lattice, licenses, mixing, pii, quality, repair, sharding, simhash, site_lines, substrings, token_counts
+from . import decontamination, lattice, licenses, mixing, negatives, pii, quality, repair, sharding, simhash, site_lines, substrings, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -75,6 +75,11 @@ def op13_license_scans(spark, sf_dir):
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
 
+@_query("op11_hard_negatives", negatives.ORACLE)
+def op11_hard_negatives(spark, sf_dir):
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 @_query("op12_conversation_repair")
 def op12_conversation_repair(spark, sf_dir):
     return repair.repair_report(repair.damaged(table(spark, sf_dir, "conversations")))
