@@ -1,24 +1,32 @@
-"""Near copies by the words of the texts: five-word shingles, similarity 0.8 or more.
-
-Texts meet where all five least hashes of one of 20 bands agree, which two texts of similarity s do with
-probability 1 - (1 - s^5)^20: 0.9996 at 0.8. Every pair that counts is verified on the texts themselves.
-Equal texts are one node, however many there are.
-
-In a band value, each member is first compared with the least one, which connects most groups. Then members
-of one value that are still in different components are compared with one another, all of them. So the
-components are those of all verified pairs that share a value, but the pairs inside a group of near copies are
-not formed. What may grow with its square is a value shared by many texts that are not near copies.
+"""Near copies by the words of the texts: five-word shingles, similarity 0.8 or more, verified on the texts.
+
+Equal texts are one node, however many there are. Candidates come in three steps, each verified, and a later step only
+looks at what an earlier one has left in different components:
+
+1. Fingerprints of the five-word shingles that differ in at most two bits, by the deletion variants of
+   ``simhash.links``. This joins copies with small changes without forming the pairs inside a group.
+2. Texts that agree on all five least hashes of one of 20 bands, which two texts of similarity s do with probability
+   ``1 - (1 - s**5)**20`` (0.9996 at 0.8): each member of a band with the least one.
+3. The members of bands that still hold several components, by their rarest shingles. A text's shingles are ordered
+   from rare to common (among these members). Two near texts, the larger of ``n`` and the smaller of ``m`` shingles, share at
+   least ``4/9 (n + m)`` of them, so the first one they share has that many left behind it in both. So it stands in the first
+   ninth of the smaller text and the first fifth of the larger one, and how far in tells which sizes may meet. The join is
+   on shingle and size class, so what a passage common to many otherwise different texts brings never meets: there, rarer words
+   come first. Keys of one component are left out. Of the others, members outside the component that most members belong
+   to meet all members; those of that component never meet each other. Nothing is cut, so of the pairs that share a
+   band none is lost.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from xxhash import xxh64_intdigest
 
 from ..operators.components import connected_components
 from ..session import materialize, ship_package
+from . import simhash
 from .common import packed, text_key, unpacked
 
 SHINGLE, BANDS, DEPTH, SEED = 5, 20, 5, 42
@@ -53,9 +61,12 @@ def near(a: set[bytes], b: set[bytes]) -> bool:
     return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
 
 
-def bands(text: bytes | None) -> np.ndarray:
-    """Values under which near copies meet."""
-    h = np.array([xxh64_intdigest(s, SEED) for s in shingles(text)], np.uint64)
+def _hashes(found: set[bytes]) -> np.ndarray:
+    return np.array([xxh64_intdigest(s, SEED) for s in found], np.uint64)
+
+
+def bands(h: np.ndarray) -> np.ndarray:
+    """Values under which near copies meet, of the hashes of the shingles."""
     least = np.full(BANDS * DEPTH, 2**64 - 1, np.uint64)
     for k in range(0, len(h), 2048):
         np.minimum(least, (h[k:k + 2048] * _A + _B).min(axis=1), out=least)
@@ -65,8 +76,20 @@ def bands(text: bytes | None) -> np.ndarray:
 
 def _banded(batches):
     for batch in batches:
-        values = [bands(t).tolist() for t in batch.column(4).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(values, pa.list_(pa.int64()))], names=[*_PLACE, "bands"])
+        values, sizes, prints = [], [], []
+        for t in batch.column(4).cast(pa.binary()).to_pylist():
+            h = _hashes(shingles(t))
+            values.append(bands(h).tolist())
+            sizes.append(len(h))
+            prints.append(simhash.majority(h))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(values, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64())],
+                                         names=[*_PLACE, "bands", "size", "fp"])
+
+
+def _shingled(batches):
+    for batch in batches:
+        lists = [_hashes(shingles(t)).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["node", "hashes"])
 
 
 def _verify(batches):
@@ -82,8 +105,9 @@ def _verify(batches):
 def _placed(docs: DataFrame) -> DataFrame:
     """The rows as ``_row`` with what orders them: id, nulls last, then digest of the text, then hash of the row."""
     number = F.col("doc_id").cast("long")
-    return packed(docs, _none=number.isNull(), _id=F.coalesce(number, F.lit(_LAST)), _key=text_key(F.col("text")),
-                  _tie=F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    # maps have no hash of their own
+    held = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    return packed(docs, _none=number.isNull(), _id=F.coalesce(number, F.lit(_LAST)), _key=text_key(F.col("text")), _tie=F.xxhash64(*held))
 
 
 def _thinned(df: DataFrame, by: DataFrame, on: str) -> DataFrame:
@@ -100,40 +124,92 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def nodes_of(docs: DataFrame) -> DataFrame:
-    """Distinct texts: ``node``, the place of the first row that has it, and its band values."""
+    """Distinct texts: ``node``, the place of the first row that has it, band values, number of shingles and fingerprint."""
     ship_package(docs.sparkSession)
     rows = _placed(docs).select(*_PLACE, F.coalesce(F.col("_row.text"), F.lit("")).alias("text"))
-    rows = rows.mapInArrow(_banded, "_none boolean, _id long, _key binary, _tie long, bands array<long>")
-    nodes = rows.groupBy("_key").agg(F.min(F.struct("_none", "_id", "_tie")).alias("p"), F.first("bands").alias("bands"))
-    nodes = nodes.select(F.monotonically_increasing_id().alias("node"), "p._none", "p._id", "_key", "p._tie", "bands")
+    rows = rows.mapInArrow(_banded, "_none boolean, _id long, _key binary, _tie long, bands array<long>, size int, fp long")
+    nodes = rows.groupBy("_key").agg(F.min(F.struct("_none", "_id", "_tie")).alias("p"), *[F.first(c).alias(c) for c in ("bands", "size", "fp")])
+    nodes = nodes.select(F.monotonically_increasing_id().alias("node"), "p._none", "p._id", "_key", "p._tie", "bands", "size", "fp")
     return materialize(nodes, "nodes")  # numbered once
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Candidate pairs of near fingerprints: nodes of one fingerprint with the least of them, and those of linked ones."""
+    heads = nodes.groupBy("fp").agg(F.min("node").alias("head"))
+    same = nodes.select("fp", "node").join(heads, "fp").filter("node <> head").select(F.col("head").alias("src"), F.col("node").alias("dst"))
+    found = materialize(simhash.links(nodes.select("fp").distinct()), "links")
+    named = found.join(heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src").join(heads.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst")
+    return same.unionAll(named.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")))
+
+
+def _similar_size(a: str, b: str):
+    return (DENOMINATOR * F.col(a) >= NUMERATOR * F.col(b)) & (DENOMINATOR * F.col(b) >= NUMERATOR * F.col(a))
+
+
+def _class(n: Column) -> Column:
+    """Sizes in steps of a tenth."""
+    return F.floor(F.log(n) / F.lit(float(np.log(1.1)))).cast("int")
+
+
+def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
+    return df.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _by_rare_shingles(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """Candidate pairs of the nodes ``rest`` (``node, label``) that share a shingle rare enough in both."""
+    held = texts.join(rest.select("node"), "node", "left_semi").mapInArrow(_shingled, "node long, hashes array<long>")
+    held = materialize(held, "shingles").join(rest, "node").select("node", "label", F.size("hashes").alias("n"), "hashes")
+    each = held.select("node", "label", "n", F.explode("hashes").alias("h"))
+    often = materialize(each.groupBy("h").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "often")
+    shared = each.join(often, "h")  # a shingle of one text alone brings no pair, and comes before all others
+    by = Window.partitionBy("node")
+    place = F.col("n") - F.count(F.lit(1)).over(by) + F.row_number().over(by.orderBy("often", "h")) - 1
+    left = shared.withColumn("left", F.col("n") - place).select("node", "label", "n", "h", "left").filter("5 * left >= 4 * n")
+    left = materialize(left, "prefixes")
+    mixed = left.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.count(F.lit(1)).alias("several"), F.max_by("label", "c").alias("most"))
+    left = left.join(mixed.filter("several > 1").drop("several"), "h")
+    small = left.filter("9 * left >= 8 * n").select("h", _class(F.col("n")).alias("class"), F.col("node").alias("src"), F.col("label").alias("x"), F.col("n").alias("m"),
+                                                    F.col("left").alias("a"), (F.col("label") == F.col("most")).alias("p"))
+    reach = F.least(F.col("n"), F.floor((9 * F.col("left") - 4 * F.col("n")) / 4))
+    classes = F.sequence(_class(F.ceil(F.col("n") * NUMERATOR / DENOMINATOR)), _class(reach))
+    large = left.select("h", F.explode(classes).alias("class"), F.col("node").alias("dst"), F.col("label").alias("y"), "n", F.col("left").alias("b"), (F.col("label") == F.col("most")).alias("q"))
+    meet = ((F.col("x") != F.col("y")) & ((F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("src") < F.col("dst")))) & _similar_size("m", "n")
+            & (9 * F.col("a") >= 4 * (F.col("m") + F.col("n"))) & (9 * F.col("b") >= 4 * (F.col("m") + F.col("n"))))
+    found = [small.filter(p).join(large.filter(q), ["h", "class"]).filter(meet) for p, q in (("NOT p", "true"), ("p", "NOT q"))]
+    return found[0].unionAll(found[1]).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
 def components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``id, label`` of every node that is a near copy of others and not itself the label."""
     spark = docs.sparkSession
-    keyed = nodes.select("node", F.explode("bands").alias("band"))
-    met = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).filter("n > 1").drop("n")
+    close = materialize(_by_fingerprint(nodes), "close")
+    keyed = nodes.select("node", "size", F.explode("bands").alias("band"))
+    met = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("head")).filter("n > 1").drop("n")
     members = materialize(_thinned(keyed, materialize(met, "bands"), "band"), "members")
-    if members.isEmpty():
-        return spark.createDataFrame([], "id long, label long")
+    some = close.select(F.col("src").alias("node")).unionAll(close.select("dst")).unionAll(members.select("node")).distinct()
     # texts of the nodes that meet others; the place of a row finds each without gathering its copies
-    some = nodes.drop("bands").join(members.select("node").distinct(), "node", "left_semi").withColumn("spot", F.xxhash64(*_PLACE))
-    some = materialize(some, "some")
+    some = materialize(nodes.select("node", *_PLACE).join(some, "node", "left_semi").withColumn("spot", F.xxhash64(*_PLACE)), "some")
+    if some.isEmpty():
+        return spark.createDataFrame([], "id long, label long")
     rows = _placed(docs).select(*_PLACE, F.coalesce(F.col("_row.text"), F.lit("")).alias("text")).withColumn("spot", F.xxhash64(*_PLACE))
     rows = _thinned(rows, some.select("spot").distinct(), "spot").drop("spot")
     texts = materialize(rows.join(some, _PLACE).groupBy("node").agg(F.first("text").alias("text")), "texts")
-    first = materialize(members.filter("node <> head").select(F.col("head").alias("src"), F.col("node").alias("dst")).distinct(), "pairs")
-    links = _verified(first, texts)
+
+    links = _verified(close, texts)
+    labels = connected_components(links)
+    # bands of several components: members not in the component of the least one, with it
+    named = _labelled(members, labels)
+    first = named.filter("node = head.node").select("band", F.col("label").alias("of"))
+    pairs = named.join(first, "band").filter((F.col("label") != F.col("of")) & _similar_size("size", "head.size"))
+    pairs = materialize(pairs.select(F.col("head.node").alias("src"), F.col("node").alias("dst")).distinct(), "pairs")
+    links = links.unionAll(_verified(pairs, texts))
     labels = connected_components(links)
-    named = members.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = materialize(named, "named")
+    named = materialize(_labelled(members, labels), "named")
     mixed = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band")
-    rest = materialize(_thinned(named, materialize(mixed, "mixed"), "band"), "rest")
-    a = rest.filter("node <> head").select("band", F.col("node").alias("src"), F.col("label").alias("x"))
-    b = rest.filter("node <> head").select("band", F.col("node").alias("dst"), F.col("label").alias("y"))
-    more = a.join(b, "band").filter("src < dst AND x <> y").select("src", "dst").distinct().join(first, ["src", "dst"], "left_anti")
-    more = materialize(more, "pairs")
+    rest = materialize(_thinned(named, materialize(mixed, "mixed"), "band").select("node", "label").distinct(), "rest")
+    if rest.isEmpty():
+        return labels
+    more = materialize(_by_rare_shingles(rest, texts), "pairs")
     return labels if more.isEmpty() else connected_components(links.unionAll(_verified(more, texts)))
 
 

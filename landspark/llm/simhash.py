@@ -29,6 +29,14 @@ _LAST = 2**63 - 1  # stands for a null id: after all others
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes; 0 without any."""
+    bits = np.zeros(64, np.int64)
+    for k in range(0, len(h), 1 << 16):
+        bits += np.unpackbits(h[k:k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(h), bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: bytes | None) -> int:
     """Majority of the hash bits over all shingles; 0 without words."""
     words = (text or b"").translate(_LOWER).split()
@@ -38,11 +46,7 @@ def fingerprint(text: bytes | None) -> int:
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     size = min(SHINGLE, len(words))
     first = [0, *(ends[:len(words) - size] + 1).tolist()]
-    h = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first, ends[size - 1:].tolist())], "<u8")
-    bits = np.zeros(64, np.int64)
-    for k in range(0, len(h), 1 << 16):
-        bits += np.unpackbits(h[k:k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * bits > len(h), bitorder="little").view("<i8")[0])
+    return majority(np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first, ends[size - 1:].tolist())], np.uint64))
 
 
 def _fingerprints(batches):
@@ -120,11 +124,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = prints.join(components(prints), "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                       F.when(F.col("component_id") != _LAST, F.col("component_id")).alias("component_id"))
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row per component, that with the least id (of several with this id, any one), with the columns of ``docs``."""
-    kept = components(fingerprints(docs)).select(F.col("component_id").alias("_id")).distinct()
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    rows = rows.join(kept, "_id").groupBy("_id").agg(F.first("_row").alias("_row"))
-    return rows.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
