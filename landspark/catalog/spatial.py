@@ -101,7 +101,7 @@ def overlap_subdivided(spark, d):
     SELECT t.tid, count(*) AS points FROM points p JOIN territories t
       ON p.x > t.x0 AND p.x < t.x1 AND p.y > t.y0 AND p.y < t.y1 GROUP BY t.tid""")
 def points_in_territories(spark, d):
-    hits = overlap.point_in_polygon_join(fx.points(spark, d), fx.territories(spark, d), CELL, "pid", "tid")
+    hits = overlap.point_in_polygon_join(fx.points(spark, d), fx.territories(spark, d), CELL)
     return hits.groupBy(F.col("r_tid").alias("tid")).agg(F.count(F.lit(1)).alias("points"))
 
 
@@ -110,8 +110,7 @@ def points_in_territories(spark, d):
       ON p.x > t.x0 AND p.x < t.x1 AND p.y > t.y0 AND p.y < t.y1
      AND NOT (p.x >= t.x0+40 AND p.x <= t.x1-40 AND p.y >= t.y0+40 AND p.y <= t.y1-40)""")
 def points_in_frames(spark, d):
-    hits = overlap.point_in_polygon_join(fx.points(spark, d), frame(fx.territories(spark, d), 40), CELL,
-                                         "pid", "tid")
+    hits = overlap.point_in_polygon_join(fx.points(spark, d), frame(fx.territories(spark, d), 40), CELL)
     return hits.select(F.col("l_pid").alias("pid"), F.col("r_tid").alias("tid"))
 
 

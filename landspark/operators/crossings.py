@@ -23,8 +23,7 @@ def probe_hits(points: DataFrame, layers: dict[str, DataFrame], cell: float, key
                priority: list[str] = K.LAYER_PRIORITY) -> DataFrame:
     """All features under each point; columns prefixed ``l_`` (point) and ``r_`` (feature)."""
     features = prefixed(_with_priority(layers, priority), "r_")
-    hits = grid_join(prefixed(points, "l_"), features, cell, "l_geom", "r_geom", ["l_" + key],
-                     ["r_layer", "r_key"])
+    hits = grid_join(prefixed(points, "l_"), features, cell, "l_geom", "r_geom")
     return hits.filter(st_covers("r_geom", F.col("l_geom")["minx"], F.col("l_geom")["miny"]))
 
 
@@ -55,11 +54,9 @@ def cross_layers(probe: DataFrame, layers: dict[str, DataFrame], cell: float, ke
             .agg(F.count(F.lit(1)).alias("features"), F.sum("area").alias("area")))
 
 
-def count_points_in(probe: DataFrame, points: DataFrame, cell: float, key: str = "key",
-                    point_key: str = "pid") -> DataFrame:
+def count_points_in(probe: DataFrame, points: DataFrame, cell: float, key: str = "key") -> DataFrame:
     """Points of a layer on each probe shape (cases, notices, communities)."""
-    hits = grid_join(prefixed(points, "l_"), prefixed(probe, "r_"), cell, "l_geom", "r_geom",
-                     ["l_" + point_key], ["r_" + key])
+    hits = grid_join(prefixed(points, "l_"), prefixed(probe, "r_"), cell, "l_geom", "r_geom")
     return (hits.filter(st_intersects("l_geom", "r_geom")).groupBy(F.col("r_" + key).alias(key))
             .agg(F.count(F.lit(1)).alias("points")))
 
@@ -69,8 +66,7 @@ def socio_legal(probe: DataFrame, layers: dict[str, DataFrame], cases: DataFrame
     """Per probe shape the points of each layer on it (notices, communities at risk), and the court cases
     of its seat. One join serves all layers."""
     stacked = union_layers({n: df.select(point_key, "geom") for n, df in layers.items()}, "layer")
-    hits = grid_join(prefixed(stacked, "l_"), prefixed(probe.select(key, "geom"), "r_"), cell, "l_geom", "r_geom",
-                     ["l_layer", "l_" + point_key], ["r_" + key])
+    hits = grid_join(prefixed(stacked, "l_"), prefixed(probe.select(key, "geom"), "r_"), cell, "l_geom", "r_geom")
     hits = hits.filter(st_intersects("l_geom", "r_geom"))
     counts = hits.groupBy(F.col("r_" + key).alias(key)).agg(*[F.count_if(F.col("l_layer") == n).alias(n) for n in layers])
     at_seat = cases.groupBy(seat).agg(F.count(F.lit(1)).alias("cases"))

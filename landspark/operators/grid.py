@@ -1,9 +1,11 @@
 """Grid join: the equi-join form of "boxes that meet".
 
-Both sides are spread over the grid cells their boxes touch and joined on the cell. A pair is kept
-only in the cell holding the lower-left corner of the shared box, so no ``distinct`` is needed.
+Each input is written once, its rows numbered. From there on only numbers and boxes move: they are spread over the
+grid cells that the boxes touch and joined on the cell. A pair is kept only in the cell holding the lower-left corner of
+the shared box, so no ``distinct`` is needed. The columns and geometries of a pair are fetched by number at the end, so
+no geometry crosses the shuffle of cells, however many cells it touches.
 
-Cells are counted first. A cell is hot if its rows of the two sides make more than ``HOT_PAIRS``
+Cells are counted first, from the boxes alone. A cell is hot if its rows of the two sides make more than ``HOT_PAIRS``
 comparisons, a fixed number at every size of the data. Hot cells are cut into finer cells, and where
 that does not help (copies on one spot) both sides are salted, so no task receives a whole hot cell.
 The list of hot cells grows with the data. It is written and joined like any table: Spark broadcasts it
@@ -86,15 +88,18 @@ def _with_shares(df: DataFrame, tables: list, keys: list[str]) -> DataFrame:
     return df
 
 
-def grid_join(left: DataFrame, right: DataFrame, cell: float, left_geom: str, right_geom: str,
-              left_key: list[str], right_key: list[str], grow: float = 0.0,
-              hot_rows: int = HOT_ROWS, hot_pairs: int | None = None) -> DataFrame:
-    """All pairs whose boxes meet (the right one grown by ``grow``), each exactly once.
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once, with a number of their own."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "side")
+
 
-    Column names of the two sides must differ. The keys only have to tell rows apart; they choose
-    the share of a row in a hot cell.
+def grid_pairs(left: DataFrame, right: DataFrame, cell: float, grow: float = 0.0, hot_rows: int = HOT_ROWS,
+               hot_pairs: int | None = None) -> DataFrame:
+    """``_l, _r`` of all pairs whose boxes meet (the right one grown by ``grow``), each exactly once.
+
+    The sides hold a number (``_l``, ``_r``) and a box (``_lb``, ``_rb``, with ``minx`` to ``maxy``) only.
     """
-    lg, rg = F.col(left_geom), F.col(right_geom)
+    lg, rg = F.col("_lb"), F.col("_rb")
     l, r = spread(left, lg, cell), spread(right, rg, cell, grow)
     keys = ["_cx", "_cy"]
     x = F.greatest(lg["minx"], rg["minx"] - grow)
@@ -102,8 +107,8 @@ def grid_join(left: DataFrame, right: DataFrame, cell: float, left_geom: str, ri
     here = (cell_of(x, cell) == F.col("_cx")) & (cell_of(y, cell) == F.col("_cy"))
 
     # one count of the cells of both sides tells which are hot
-    sides = l.select(*keys, F.lit(0).alias("_r")).unionAll(r.select(*keys, F.lit(1).alias("_r")))
-    counts = sides.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("_r").alias("_right"))
+    sides = l.select(*keys, F.lit(0).alias("_right")).unionAll(r.select(*keys, F.lit(1).alias("_right")))
+    counts = sides.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("_right").alias("_right"))
     pairs, limit = (F.col("_n") - F.col("_right")) * F.col("_right"), hot_pairs or min(HOT_PAIRS, hot_rows * hot_rows)
     hot = _materialized(counts.filter(pairs > limit).select(*keys, F.least(F.ceil(pairs / F.lit(limit)), F.lit(MAX_SPLIT**2)).cast("int").alias("_split")))
     if hot is not None:
@@ -115,19 +120,33 @@ def grid_join(left: DataFrame, right: DataFrame, cell: float, left_geom: str, ri
         shares = [(_shares(l.select(*keys), keys, hot_rows, "_ls"), "_ls"),
                   (_shares(r.select(*keys), keys, hot_rows, "_rs"), "_rs")]
         if any(t is not None for t, _ in shares):
-            l = _salt(_with_shares(l, shares, keys), "_ls", "_rs", left_key).drop("_ls", "_rs")
-            r = _salt(_with_shares(r, shares, keys), "_rs", "_ls", right_key).drop("_ls", "_rs")
+            l = _salt(_with_shares(l, shares, keys), "_ls", "_rs", ["_l"]).drop("_ls", "_rs")
+            r = _salt(_with_shares(r, shares, keys), "_rs", "_ls", ["_r"]).drop("_ls", "_rs")
             keys = keys + ["_ls_salt", "_rs_salt"]
 
     meet = ((lg["minx"] <= rg["maxx"] + grow) & (rg["minx"] - grow <= lg["maxx"])
             & (lg["miny"] <= rg["maxy"] + grow) & (rg["miny"] - grow <= lg["maxy"]))
     # the planner does not see how far the cells multiply rows, so neither side may be broadcast
-    return l.join(r.hint("merge"), keys).filter(meet & here).drop(*keys)
+    return l.join(r.hint("merge"), keys).filter(meet & here).select("_l", "_r")
+
+
+def grid_join(left: DataFrame, right: DataFrame, cell: float, left_geom: str, right_geom: str, grow: float = 0.0,
+              hot_rows: int = HOT_ROWS, hot_pairs: int | None = None) -> DataFrame:
+    """All pairs of rows whose boxes meet (the right one grown by ``grow``), each exactly once.
+
+    Column names of the two sides must differ.
+    """
+    l, r = numbered(left, "_l"), numbered(right, "_r")
+    box = lambda g: F.struct(*[F.col(g)[c].alias(c) for c in ("minx", "miny", "maxx", "maxy")])
+    pairs = grid_pairs(l.select("_l", box(left_geom).alias("_lb")), r.select("_r", box(right_geom).alias("_rb")), cell, grow, hot_rows, hot_pairs)
+    return pairs.join(r, "_r").join(l, "_l").select(*[c for c in left.columns], *[c for c in right.columns])
 
 
 def suggest_cell(df: DataFrame, geom: str, share: float = 0.9) -> float:
-    """Cell size from the box sizes: most boxes then touch at most four cells."""
+    """Cell size from the box sizes: most boxes then touch at most four cells. Of points and the like, from their
+    mean distance; any size will do for a single one."""
     g = F.col(geom)
     size = F.greatest(g["maxx"] - g["minx"], g["maxy"] - g["miny"])
-    got = df.agg(F.percentile_approx(size, share, 1000)).first()[0]
-    return float(got) if got else 1.0
+    extent = F.greatest(F.max(g["maxx"]) - F.min(g["minx"]), F.max(g["maxy"]) - F.min(g["miny"]))
+    got = df.agg(F.percentile_approx(size, share, 1000), F.max(size), extent / F.sqrt(F.count(size))).first()
+    return float(next((v for v in got if v), 1.0))

@@ -39,8 +39,7 @@ def overlap_join(left: DataFrame, right: DataFrame, cell: float, left_key: str,
     if not rectangles:
         l = l.withColumn("_lbox", st_is_box("l_geom"))
         r = r.withColumn("_rbox", st_is_box("r_geom"))
-    pairs = grid_join(l, r, cell, "l_geom", "r_geom", ["l_" + left_key], ["r_" + right_key],
-                      hot_rows=hot_rows)
+    pairs = grid_join(l, r, cell, "l_geom", "r_geom", hot_rows=hot_rows)
     if skip is not None:
         pairs = pairs.filter(~F.coalesce(skip, F.lit(False)))
     pairs = pairs.filter(bbox_overlap_area("l_geom", "r_geom") > 0)
@@ -49,9 +48,8 @@ def overlap_join(left: DataFrame, right: DataFrame, cell: float, left_key: str,
                  .withColumn("area", bbox_overlap_area("l_geom", "r_geom")))
     else:
         boxes = F.col("_lbox") & F.col("_rbox")
-        # the kernel costs far more than moving a pair, so pairs are dealt out evenly first
-        shares = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        pairs = pairs.repartition(shares, "l_" + left_key, "r_" + right_key)
+        # the kernel costs far more than moving a pair, so pairs are dealt out evenly first, in as many shares as AQE sees fit
+        pairs = pairs.repartition("l_" + left_key, "r_" + right_key)
         found = (with_intersection(pairs, "_cut", "l_geom", "r_geom", ~boxes)
                  .withColumn("geom", F.when(boxes, box_intersection("l_geom", "r_geom"))
                              .otherwise(F.col("_cut")))
@@ -78,21 +76,17 @@ def _join_pieces(found: DataFrame, keys: list[str]) -> DataFrame:
             .drop("_n", "_parts", "_stack", "_merged"))
 
 
-def point_in_polygon_join(points: DataFrame, polygons: DataFrame, cell: float, point_key: str,
-                          polygon_key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def point_in_polygon_join(points: DataFrame, polygons: DataFrame, cell: float, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Points strictly inside polygons; columns prefixed ``l_`` (points) and ``r_``."""
-    pairs = grid_join(prefixed(points, "l_"), prefixed(polygons, "r_"), cell, "l_geom", "r_geom",
-                      ["l_" + point_key], ["r_" + polygon_key], hot_rows=hot_rows)
+    pairs = grid_join(prefixed(points, "l_"), prefixed(polygons, "r_"), cell, "l_geom", "r_geom", hot_rows=hot_rows)
     return pairs.filter(st_contains("r_geom", F.col("l_geom")["minx"], F.col("l_geom")["miny"]))
 
 
 def intersecting_keys(df: DataFrame, boundary: DataFrame, key: str, cell: float,
                       max_vertices: int = 64) -> DataFrame:
     """Keys of the features that share a point with the boundary (touching counts)."""
-    pieces = (subdivide(boundary.select("geom"), "geom", max_vertices)
-              .withColumn("_b", F.xxhash64("geom")))
-    pairs = grid_join(prefixed(df.select(key, "geom"), "l_"), prefixed(pieces, "r_"), cell,
-                      "l_geom", "r_geom", ["l_" + key], ["r__b"])
+    pieces = subdivide(boundary.select("geom"), "geom", max_vertices)
+    pairs = grid_join(prefixed(df.select(key, "geom"), "l_"), prefixed(pieces, "r_"), cell, "l_geom", "r_geom")
     return (pairs.filter(st_intersects("l_geom", "r_geom"))
             .select(F.col("l_" + key).alias(key)).distinct())
 

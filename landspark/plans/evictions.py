@@ -24,8 +24,8 @@ def filter_state_cases(df: DataFrame, boundary: DataFrame | None = None, uf: str
     open_ = marked.filter(F.col("_own").isNull()).drop("_own")
     spots = open_.select(key, st_point(F.col("meta.localizacao_lng").try_cast("double"),
                                        F.col("meta.localizacao_lat").try_cast("double")).alias("geom"))
-    pieces = subdivide(boundary.select("geom"), "geom", max_vertices).withColumn("piece", F.xxhash64("geom"))
-    found = point_in_polygon_join(spots.filter(F.col("geom").isNotNull()), pieces, cell, key, "piece")
+    pieces = subdivide(boundary.select("geom"), "geom", max_vertices)
+    found = point_in_polygon_join(spots.filter(F.col("geom").isNotNull()), pieces, cell)
     found = found.select(F.col("l_" + key).alias(key)).distinct()
     return sure.unionByName(open_.join(found, key, "left_semi"))
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landspark.functions import geometry as g
-from landspark.operators import cluster, dissolve
+from landspark.operators import cluster, components as comp, dissolve, grid
 from landspark.operators.components import connected_components
 from landspark.operators.grid import grid_join
 from landspark.operators.overlap import overlap_join, prefixed
@@ -34,8 +34,7 @@ def meet(a, b, eps=0.0):
 def test_grid_join_finds_each_pair_once(spark, cell, hot):
     a, left = boxes(spark, 80, 1, copies=30)
     b, right = boxes(spark, 60, 2, copies=20)
-    got = grid_join(prefixed(left, "l_"), prefixed(right, "r_"), cell, "l_geom", "r_geom", ["l_id"], ["r_id"],
-                    hot_rows=hot).select("l_id", "r_id").collect()
+    got = grid_join(prefixed(left, "l_"), prefixed(right, "r_"), cell, "l_geom", "r_geom", hot_rows=hot).select("l_id", "r_id").collect()
     want = {(p[0], q[0]) for p in a for q in b if meet(p, q)}
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
@@ -103,6 +102,69 @@ def test_components_of_a_long_chain(spark):
     assert out.count() == 400 and out.filter("label <> 0").count() == 0
 
 
+def links_of(seed, n=3000):
+    rng = np.random.default_rng(seed)
+    hub = [(0, int(i)) for i in rng.integers(1, n, n // 2)]
+    chain = [(n + i, n + i + 1) for i in range(300)]
+    return hub + chain + [tuple(map(int, p)) for p in rng.integers(n + 1000, 3 * n, (n // 3, 2))] + [(5, 5), (7, None)]
+
+
+@pytest.mark.parametrize("whole,hub,lot", [(200_000, 10_000, 1_000_000), (0, 40, 100), (0, 10_000, 7), (0, 3, 1)])
+def test_components_of_hubs_chains_and_pairs(spark, monkeypatch, whole, hub, lot):
+    """Contraction in one task, by stars with broadcast hubs and by stars alone give what plain union-find gives."""
+    for name, value in (("WHOLE", whole), ("HUB", hub), ("LOT", lot)):
+        monkeypatch.setattr(comp, name, value)
+    links = links_of(hub)
+    top = {}
+
+    def root(i):
+        while top.setdefault(i, i) != i:
+            i = top[i]
+        return i
+
+    for a, b in links:
+        if b is not None:
+            low, high = sorted((root(a), root(b)))
+            top[high] = low
+    want = {i: root(i) for i in top if root(i) != i}
+    frame = spark.createDataFrame(links, "src long, dst long").repartition(6)
+    got = [tuple(r) for r in connected_components(frame).collect()]
+    assert len(got) == len(want) and dict(got) == want
+
+
+def test_links_of_a_hub_stay_spread(spark, monkeypatch):
+    """Most links end in one root, yet no task gets more than twice its share of the rows that are joined."""
+    monkeypatch.setattr(comp, "HUB", 100)
+    links = spark.range(1, 20001).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v")).repartition(8).cache()
+    low, hubs = comp._least(links, 20000)
+    assert hubs.count() == 1
+    joined = comp._with_least(links, low, hubs)
+    assert joined.agg(F.max("m")).first()[0] == 1
+    sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 20000 and max(sizes) <= 2 * 20000 / 8
+
+
+def test_no_geometry_crosses_the_cell_shuffle(spark):
+    """The join on cells moves numbers and boxes; each input is read once, where it is written down."""
+    _, left = boxes(spark, 50, 1)
+    _, right = boxes(spark, 50, 2)
+    seen = []
+    written = grid.materialize
+    try:
+        grid.materialize = lambda df, label: seen.append((label, df)) or written(df, label)
+        out = grid_join(prefixed(left, "l_"), prefixed(right, "r_"), 4.0, "l_geom", "r_geom")
+    finally:
+        grid.materialize = written
+    assert sorted(label for label, _ in seen) == ["hot", "side", "side"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "ExistingRDD" not in plan and "LocalRelation" not in plan
+    cells = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line and "_cx" in line]
+    assert len(cells) == 2 and not any("parts" in line or "geom" in line for line in cells)
+    hot = next(df for label, df in seen if label == "hot")._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in hot.splitlines() if "ReadSchema" in line]
+    assert scans and not any("parts" in line for line in scans)
+
+
 def test_overlap_of_stars_is_symmetric_and_cell_free(spark):
     rng = np.random.default_rng(5)
 
