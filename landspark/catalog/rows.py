@@ -21,16 +21,34 @@ def first_cases(spark, d):
 @query("occurrences", "SELECT event_id AS k, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) - 1 AS occurrence FROM events")
 def occurrences(spark, d):
     e = fx.table(spark, d, "events").select(F.col("event_id").alias("k"), "user_id")
-    # short stretches, so that the addition of earlier stretches is at work on small data too
-    return rows.occurrence_index(e, {"u": F.col("user_id") % 3}, "k", bucket=1000).select("k", "occurrence")
+    return rows.occurrence_index(e, {"u": F.col("user_id") % 3}, "k").select("k", "occurrence")
+
+
+# half of all rows under one key, in the order of instants that are far apart
+@query("sparse_occurrences", """
+    SELECT event_id AS k, row_number() OVER (PARTITION BY CASE WHEN event_id % 2 = 0 THEN 0 ELSE user_id END ORDER BY ts, event_id) - 1 AS occurrence
+    FROM events""")
+def sparse_occurrences(spark, d):
+    e = fx.table(spark, d, "events").select("event_id", "user_id", F.struct("ts", "event_id").alias("at"))
+    key = F.when(F.col("event_id") % 2 == 0, 0).otherwise(F.col("user_id"))
+    return rows.occurrence_index(e, {"u": key}, "at").select(F.col("event_id").alias("k"), "occurrence")
+
+
+@query("value_changes", """
+    SELECT event_id AS k, round(coalesce(value - lag(value) OVER w, 0), 4) AS delta_previous, round(value - first_value(value) OVER w, 4) AS delta_first
+    FROM (SELECT *, CASE WHEN event_id % 2 = 0 THEN 0 ELSE user_id END AS u FROM events) WINDOW w AS (PARTITION BY u ORDER BY ts, event_id)""")
+def value_changes(spark, d):
+    key = F.when(F.col("event_id") % 2 == 0, 0).otherwise(F.col("user_id"))
+    e = fx.table(spark, d, "events").select("event_id", key.alias("u"), F.struct("ts", "event_id").alias("at"), "value")
+    out = rows.history_delta(e, ["u"], "at", "value")
+    return out.select(F.col("event_id").alias("k"), F.round("delta_previous", 4).alias("delta_previous"), F.round("delta_first", 4).alias("delta_first"))
 
 
 @query("version_changes", ctes("versions") + """
     SELECT code, ord, area, coalesce(area - lag(area) OVER w, 0) AS delta_previous, area - first_value(area) OVER w AS delta_first
     FROM versions WINDOW w AS (PARTITION BY code ORDER BY ord)""")
 def version_changes(spark, d):
-    # short stretches here as well
-    return rows.history_delta(fx.versions(spark, d), ["code"], "ord", "area", bucket=4).drop("version")
+    return rows.history_delta(fx.versions(spark, d), ["code"], "ord", "area").drop("version")
 
 
 @query("one_parcel_history", ctes("versions", x="SELECT min(code) AS c FROM versions", h="""

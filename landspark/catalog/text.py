@@ -120,6 +120,17 @@ def dirty_numbers(spark, d):
         tx.mask_id("raw").alias("masked"))
 
 
+# 18 to 30 digits with marks between
+_LONG = """SELECT o_orderkey AS k, concat(lpad(cast(o_orderkey AS varchar(20)), 9, '0'), ' ', lpad(cast(o_custkey AS varchar(20)), 9, '7'),
+      CASE o_orderkey % 3 WHEN 0 THEN ' familias' WHEN 1 THEN '-123456.7' ELSE '/998877665544' END) AS raw FROM orders"""
+
+
+@query("long_numbers", ctes(t=_LONG) + """
+    SELECT k, cast(cast(regexp_replace(raw, '\\D', '', 'g') AS decimal(38,0)) AS varchar) AS digits FROM t""")
+def long_numbers(spark, d):
+    return derive(spark, d, _LONG, "orders").select("k", tx.int_or_zero("raw").cast("string").alias("digits"))
+
+
 _LIMBS = ("((((cast(concat('0x', substr({0}, 1, 8)) AS bigint) % {1}) * 4294967296 + cast(concat('0x', substr({0}, 9, 8)) AS bigint)) % {1}"
           " * 4294967296 + cast(concat('0x', substr({0}, 17, 8)) AS bigint)) % {1} * 4294967296"
           " + cast(concat('0x', substr({0}, 25, 8)) AS bigint)) % {1}")

@@ -59,8 +59,9 @@ def _long_table() -> tuple[str, ...]:
 def strip_accents(c) -> Column:
     """Decompose accented and compatibility characters (NFKD) and drop the marks.
 
-    One table serves characters that become one. Texts with others (ligatures, fractions, syllables) are
-    taken apart by character as well; few texts have them.
+    Plain ASCII texts, whose characters are as many as their bytes, stay as they are. One table serves
+    characters that become one. Texts with others (ligatures, fractions, syllables) are taken apart by character
+    as well; few texts have them, and none of those that hold nothing beyond ASCII and the letters of Latin-1.
     """
     entries, several, wide, syllables, first, second, third = _long_table()
     known = F.str_to_map(F.lit(entries), F.lit("\x01"), F.lit("\x02"))
@@ -70,8 +71,9 @@ def strip_accents(c) -> Column:
         return F.when(ch.between("\uac00", "\ud7a3"), syllable).otherwise(F.coalesce(F.try_element_at(known, ch), ch))
 
     c = as_col(c)
-    whole = F.when(c.rlike(wide) & c.rlike(several), F.array_join(F.transform(F.split(c, ""), spelled), "")).otherwise(c)
-    return F.translate(whole, *_accent_table())
+    rare = c.rlike(r"[^\x00-\x7F\u00C0-\u00FF]") & c.rlike(wide) & c.rlike(several)
+    whole = F.when(rare, F.array_join(F.transform(F.split(c, ""), spelled), "")).otherwise(c)
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.translate(whole, *_accent_table()))
 
 
 def normalize_text(c) -> Column:
@@ -82,7 +84,7 @@ def normalize_text(c) -> Column:
 
 def normalize_upper(c) -> Column:
     """Without accents and other non-ASCII characters, single spaces, upper case; null gives ''."""
-    ascii_only = F.regexp_replace(strip_accents(F.coalesce(as_col(c), F.lit(""))), r"[^\x00-\x7F]", "")
+    ascii_only = F.regexp_replace(F.coalesce(strip_accents(c), F.lit("")), r"[^\x00-\x7F]", "")
     return F.upper(F.trim(F.regexp_replace(ascii_only, r"\s+", " ")))
 
 
@@ -130,9 +132,11 @@ def parse_court_date(c) -> Column:
 
 
 def int_or_zero(c) -> Column:
-    """All digits of the text read as one number, 0 without any."""
-    return F.coalesce(F.regexp_replace(as_col(c).cast("string"), r"[^\d]", "").try_cast("bigint"),
-                      F.lit(0).cast("bigint"))
+    """All digits of the text read as one number, 0 without any. Numbers have up to 38 digits, leading zeros
+    aside; a longer one gives null, not 0."""
+    digits = F.regexp_replace(as_col(c).cast("string"), r"[^\d]", "")
+    return (F.when(F.coalesce(digits, F.lit("")) == "", F.lit(0).cast("decimal(38,0)"))
+            .otherwise(F.regexp_replace(digits, r"^0+(?=\d)", "").try_cast("decimal(38,0)")))
 
 
 def positive_code(c) -> Column:

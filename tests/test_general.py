@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landspark.functions import geometry as g, text as tx
-from landspark.operators import grid
+from landspark.operators import grid, rows as row_ops
 from landspark.operators.cluster import dbscan
 from landspark.operators.dissolve import dissolve
 from landspark.operators.overlap import overlap_join
@@ -143,3 +143,25 @@ def test_convex_rings(spark):
              (ring((0, 0), (4, 0), (4, 4), (2, 1), (0, 4), (0, 0)), False), (ring(*star, star[0]), False), (ring((0, 0), (0, 2), (2, 2), (2, 0), (0, 0)), True)]
     got = spark.range(1).select(*[st_is_convex(c).alias(f"c{k}") for k, (c, _) in enumerate(cases)]).first()
     assert list(got) == [w for _, w in cases]
+
+
+@pytest.mark.parametrize("spread", [1, 10**9])
+def test_one_key_over_many_partitions(spark, spread):
+    """Numbers and changes of a key with half of the rows, whose order values lie close or far apart, and of a null key."""
+    rng = random.Random(spread)
+    rows = [(0 if i % 2 else rng.choice([None, 1, 2, 3]), i * spread + rng.randrange(spread), rng.choice([None, 1.0, 2.5])) for i in range(2000)]
+    want, seen = {}, {}
+    for key, order, value in rows:
+        past = seen.setdefault(key, [])
+        change = None if not past else (None if None in (value, past[-1]) else value - past[-1])
+        want[key, order] = (len(past), change or 0.0, None if None in (value, (past or [value])[0]) else value - (past or [value])[0])
+        past.append(value)
+    df = spark.createDataFrame(rows, "g int, o long, v double").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed, _ = row_ops._laid_out(df, {"g": F.col("g")}, "o")
+        assert placed.filter("g = 0").select("_part").distinct().count() >= 3
+        out = row_ops.history_delta(row_ops.occurrence_index(df, {"g": F.col("g")}, "o"), ["g"], "o", "v").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(out) == 2000 and {(r.g, r.o): (r.occurrence, r.delta_previous, r.delta_first) for r in out} == want
