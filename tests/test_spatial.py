@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from landspark.functions import geometry as g
+from landspark.functions import geometry as g, overlay as ov
 from landspark.operators import cluster, components as comp, dissolve, grid
 from landspark.operators.components import connected_components
 from landspark.operators.grid import grid_join
@@ -55,10 +55,12 @@ def components(rows, eps, keep=None):
     return {i: root(i) for i in label}
 
 
-@pytest.mark.parametrize("chunk,target", [(512, 64), (8, 2), (5, 1)])
+@pytest.mark.parametrize("chunk,target,leaf", [(512, 64, 512), (8, 2, 6), (5, 1, 2)])
 @pytest.mark.parametrize("min_points", [1, 4])
-def test_clusters_match_brute_force(spark, monkeypatch, chunk, target, min_points):
+def test_clusters_match_brute_force(spark, monkeypatch, chunk, target, leaf, min_points):
     monkeypatch.setattr(cluster, "CHUNK_ROWS", chunk)
+    monkeypatch.setattr(cluster, "LEAF", leaf)
+    monkeypatch.setattr(cluster, "ROUNDS", 4)
     monkeypatch.setattr(cluster, "TARGET_ROWS", target)
     rows, df = boxes(spark, 120, 7, copies=25)
     got = {r.id: r.cluster for r in cluster.dbscan(df, ["grp"], 1.5, min_points, rectangles=True).collect()}
@@ -81,6 +83,44 @@ def test_clusters_of_general_polygons_use_exact_distance(spark):
     assert got == {0: 0, 1: 1, 2: 0}
 
 
+def test_clusters_of_triangles_and_boxes_in_crowded_regions(spark, monkeypatch):
+    """Polygons and rectangles, some regions inside a rectangle and some not, against all pairs of the kernel."""
+    monkeypatch.setattr(cluster, "LEAF", 4)
+    monkeypatch.setattr(cluster, "CHUNK_ROWS", 3)
+    monkeypatch.setattr(cluster, "ROUNDS", 3)
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(70):
+        x, y = (round(float(v), 1) for v in rng.uniform(0, 40, 2))
+        w, h = (round(float(v), 1) for v in rng.choice([0.5, 2, 9], 2))
+        ring = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)] if i % 2 else [(x, y), (x + w, y), (x, y + h)]
+        rows.append((i, "a", f"POLYGON (({', '.join(f'{a:.1f} {b:.1f}' for a, b in ring + ring[:1])}))", np.array(ring + ring[:1])))
+    df = spark.createDataFrame([r[:3] for r in rows], "id long, grp string, w string").withColumn("geom", g.st_from_text("w"))
+    for eps in (0.0, 0.7):
+        label = list(range(70))
+        for i in range(70):
+            for j in range(i):
+                if ov.within_distance([rows[i][3]], [rows[j][3]], eps):
+                    low, high = sorted((label[i], label[j]))
+                    label = [low if v == high else v for v in label]
+        assert 3 < len(set(label)) < 60
+        assert {r.id: r.cluster for r in cluster.dbscan(df, ["grp"], eps).collect()} == dict(enumerate(label))
+
+
+def test_distinct_members_on_one_spot(spark, monkeypatch):
+    """20,000 different rectangles over one another: each is listed a few times, not once per 512 others."""
+    seen = []
+    written = cluster.materialize
+    monkeypatch.setattr(cluster, "materialize", lambda df, label: seen.append((label, written(df, label))) or seen[-1][1])
+    monkeypatch.setattr(cluster, "connected_components", lambda e, a, b: seen.append(("links", e)) or comp.connected_components(e, a, b))
+    df = spark.range(20000).select("id", F.lit("a").alias("grp"), g.st_box(F.rand(1), F.rand(2), F.rand(3) + 2, F.rand(4) + 2).alias("geom"))
+    df = written(df, "spot")
+    assert cluster.dbscan(df, ["grp"], 0.001, cell=8.0, rectangles=True).filter("cluster = 0").count() == 20000
+    regions = [d.count() for label, d in seen if label == "regions"]
+    assert "stuck" not in [label for label, d in seen if label == "stuck" and not d.isEmpty()]
+    assert 2 <= len(regions) <= 8 and sum(regions) < 4 * 20000, regions
+
+
 @pytest.mark.parametrize("chunk", [256, 3])
 @pytest.mark.parametrize("rectangles", [True, False])
 def test_dissolve_area(spark, monkeypatch, chunk, rectangles):
