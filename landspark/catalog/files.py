@@ -35,15 +35,18 @@ def geojson_lines(spark, d):
 
 @query("geojson_collections", _BOXES)
 def geojson_collections(spark, d):
-    """Classic collections, one per hundred features, each one document."""
-    from ..functions.kml import geojson_feature
+    """Classic collections of bounded size, each one document."""
     path = scratch_path(spark, "collections")
-    feats = fx.parcels(spark, d).select((F.col("code") % 97).alias("part"), geojson_feature(["code", "town"]).alias("f"))
-    docs = feats.groupBy("part").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(
-        F.collect_list("f"), ","), F.lit("]}")).alias("value"))
-    docs.repartition(97, "part").write.partitionBy("part").text(path)
-    # one document per file: read them through the multi-line reader
-    return _measured(src.read_geojson(spark, f"{path}/*/*", "code bigint, town string"))
+    sinks.write_geojson_collections(fx.parcels(spark, d).select("code", "town", "geom"), path, rows=2000)
+    return _measured(src.read_geojson(spark, path, "code bigint, town string"))
+
+
+@query("geojson_in_parts", _BOXES)
+def geojson_in_parts(spark, d):
+    """Large classic collections, read in parts of their files."""
+    path = scratch_path(spark, "collections")
+    sinks.write_geojson_collections(fx.parcels(spark, d).select("code", "town", "geom"), path)
+    return _measured(src.read_geojson(spark, path, "code bigint, town string", split=True))
 
 
 @query("kml_document", ctes("parcels") + """
@@ -71,9 +74,9 @@ def kml_folders(spark, d):
 @query("gazetteer_file", ctes("gazetteer") + "SELECT code, name, lon, lat FROM gazetteer")
 def gazetteer_file(spark, d):
     path = scratch_path(spark, "gazetteer")
-    entry = F.struct("lon", "lat", "name")
-    whole = fx.gazetteer(spark, d).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("code").cast("string"), entry)))).alias("value"))
-    whole.coalesce(1).write.text(path)
+    entry = F.to_json(F.struct("lon", "lat", "name"))
+    entries = fx.gazetteer(spark, d).select(F.concat(F.lit('"'), F.col("code").cast("string"), F.lit('": '), entry))
+    sinks.write_documents(entries, path, "{", "}", ",", rows=2000)
     return src.read_gazetteer(spark, path).select("code", "name", "lon", "lat")
 
 
@@ -107,25 +110,18 @@ def clustered_layout(spark, d):
 @query("discovered_layers", """SELECT DISTINCT CASE WHEN p_size % 10 = 3 THEN 'layer_3' ELSE concat('layer_', p_size % 10) END AS layer,
     CASE WHEN p_size % 10 IN (3, 5) THEN 'shp' ELSE 'geojson' END AS format FROM part""")
 def discovered_layers(spark, d):
+    """Layers as folders of features, written by value of a column; some exist in both formats."""
     root = scratch_path(spark, "layers")
-    n = fx.table(spark, d, "part").select((F.col("p_size") % 10).alias("n")).distinct()
-    for kind, rows in (("geojson", n.filter("n NOT IN (3, 5)")), ("shp", n.filter("n % 2 = 1"))):
-        names = [r.n for r in rows.collect()]  # at most ten
-        for i in names:
-            part = spark.range(1).selectExpr("'x' AS value").coalesce(1)
-            part.write.text(f"{root}/{kind}/{i}")
-            _rename(spark, f"{root}/{kind}/{i}", f"{root}/{kind}/Layer-{i}.{kind}")
+    n = F.col("p_size") % 10
+    point = F.struct(F.lit("Point").alias("type"), F.array(F.col("p_partkey") * 1.0, n * 1.0).alias("coordinates"))
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct("p_name").alias("properties"), point.alias("geometry")))
+    kinds = F.filter(F.array(F.when(~n.isin(3, 5), "geojson"), F.when(n % 2 == 1, "shp")), lambda k: k.isNotNull())
+    rows = fx.table(spark, d, "part").select(feature.alias("value"), n.alias("n"), F.explode(kinds).alias("kind"))
+    named = rows.select("value", F.concat(F.lit("Layer-"), F.col("n").cast("string"), F.lit("."), "kind").alias("name"))
+    named.repartition("name").write.partitionBy("name").text(root)
     return src.discover_layers(spark, root).select("layer", "format")
 
 
-def _rename(spark, folder: str, target: str) -> None:
-    """Give the single file of a folder a plain name."""
-    jvm = spark.sparkContext._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    made = fs.globStatus(jvm.org.apache.hadoop.fs.Path(folder + "/part-*"))[0].getPath()
-    fs.rename(made, jvm.org.apache.hadoop.fs.Path(target))
-
-
 # --- eviction reports ------------------------------------------------------------------------
 
 _UFS = ["pe", " PE ", "pb", None]
@@ -204,13 +200,6 @@ def reports_by_tags(spark, d):
 
 # --- regularization files --------------------------------------------------------------------
 
-def _kml_file(rows, path: str) -> None:
-    """Placemark rows as one KML file."""
-    ends = rows.sparkSession.range(1).selectExpr("stack(2, 0, '<kml><Document>', 2, '</Document></kml>') AS (s, value)")
-    whole = rows.select(F.lit(1).alias("s"), "value").unionByName(ends)
-    whole.coalesce(1).sortWithinPartitions("s").select("value").write.text(path)
-
-
 def placemarks(spark, d):
     """Community areas and individual cases as one KML file set."""
     path = scratch_path(spark, "moradia")
@@ -224,7 +213,7 @@ def placemarks(spark, d):
         data("idmoradia", F.col("code").cast("string")), data("cidade", F.when(F.col("code") % 3 == 0, F.concat(F.lit("SÃO NAÇÃO-"), (F.col("code") % 25).cast("string"))).otherwise("")),
         data("orgao_judiciario", F.when(F.col("code") % 3 == 1, F.concat(F.lit("Vara de Sao Nacao-"), (F.col("code") % 9).cast("string"))).otherwise("Vara")),
         F.lit("</ExtendedData></Placemark>")).alias("value"))
-    _kml_file(areas.unionByName(cases), path)
+    sinks.write_placemarks(areas.unionByName(cases), path, "Moradia")
     return src.read_kml(spark, path)
 
 
@@ -264,7 +253,7 @@ def state_parcels(spark, d):
         F.lit("</Placemark>")).alias("value"))
     marks = None
     for i in (0, 1):  # two source files, as delivered
-        _kml_file(rows.filter(F.col("f") == i), f"{root}/{i}")
+        sinks.write_placemarks(rows.filter(F.col("f") == i).select("value"), f"{root}/{i}", "Malha")
         one = src.read_kml(spark, f"{root}/{i}").withColumn("file", F.lit(f"malha_{i}.kml"))
         marks = one if marks is None else marks.unionByName(one)
     files = p.select(F.concat(F.lit("malha_"), (F.col("code") % 2).cast("string"), F.lit(".kml")).alias("file"),

@@ -21,7 +21,6 @@ from ..sinks import tables as sinks
 from ..sources import files as src
 from . import ctes, query
 from .cases import SUBJECTS, documents
-from .files import _kml_file
 from .spatial import CELL, MEET, _PROBES, probes, union_area
 from .zones import _ZONES, EPS, LABEL, NEAR, PAIRS, REACH, layers
 
@@ -130,7 +129,7 @@ def skipped_rings(spark, d):
     p = fx.parcels(spark, d)
     bad = F.lit("<Polygon><outerBoundaryIs><LinearRing><coordinates>1,1 2,2</coordinates></LinearRing></outerBoundaryIs></Polygon>")
     shape = F.when(F.col("code") % 3 == 0, bad).otherwise(to_kml(g.st_box("x0", "y0", "x1", "y1")))
-    _kml_file(p.select(F.concat(F.lit("<Placemark><name>"), F.col("code").cast("string"), F.lit("</name>"), shape, F.lit("</Placemark>")).alias("value")), path)
+    sinks.write_placemarks(p.select(F.concat(F.lit("<Placemark><name>"), F.col("code").cast("string"), F.lit("</name>"), shape, F.lit("</Placemark>")).alias("value")), path, "Rings")
     return src.read_kml(spark, path).select("name", F.col("geom").isNotNull().alias("whole"))
 
 
@@ -149,7 +148,7 @@ def macro_areas(spark, d):
     shape = F.when(F.col("code") % 3 == 0, to_kml(east)).otherwise(both)
     rows = p.select("code", F.concat(F.lit("<Placemark><name>x</name>"), shape, F.lit("</Placemark>")).alias("value"))
     for i, file in enumerate((_SPURIOUS, "other.kml")):
-        _kml_file(rows.filter(F.col("code") % 2 == i).select("value"), f"{root}/{i}")
+        sinks.write_placemarks(rows.filter(F.col("code") % 2 == i).select("value"), f"{root}/{i}", "Glebas")
         one = src.read_kml(spark, f"{root}/{i}").withColumn("file", F.lit(file))
         marks = one if marks is None else marks.unionByName(one)
     files = p.select((F.col("code") % 2).alias("i")).distinct().select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K
@@ -10,6 +11,8 @@ from ..functions.kml import geojson_feature, kml_color, placemark, xml_escape
 from ..functions.text import safe_filename
 from ..operators.rows import last_per_key
 
+DOCUMENT_ROWS = 50_000  # items of one written document, about
+
 
 def replace_table(df: DataFrame, name: str) -> None:
     df.write.mode("overwrite").saveAsTable(name)
@@ -54,6 +57,44 @@ def write_geojson(df: DataFrame, path: str, geom: str = "geom") -> None:
     df.select(geojson_feature(columns, geom)).write.mode("overwrite").text(path)
 
 
+def _documents(head: str, between: str, tail: str):
+    def work(batches):
+        begun = False
+        for batch in batches:
+            values = [v for v in batch.column(0).to_pylist() if v is not None]
+            if values:
+                values = [between + v if begun or k else v for k, v in enumerate(values)]
+                yield pa.RecordBatch.from_arrays([pa.array(values if begun else [head, *values], pa.string())], names=["value"])
+                begun = True
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array([tail], pa.string())], names=["value"])
+    return work
+
+
+def write_documents(items: DataFrame, path: str, head: str, tail: str, between: str = "", rows: int = DOCUMENT_ROWS) -> None:
+    """Write a column of texts as complete documents of about ``rows`` items, one per part file.
+
+    Each task frames its own share, so nothing passes through one task, and Spark's commit makes a document visible
+    only when it is whole. The items of a document come in no particular order.
+    """
+    values = items.toDF("value").select(F.col("value").cast("string"))
+    parts = max(1, -(-values.count() // rows))
+    values.repartition(parts).mapInArrow(_documents(head, between, tail), "value string").write.mode("overwrite").text(path)
+
+
+def write_geojson_collections(df: DataFrame, path: str, geom: str = "geom", rows: int = DOCUMENT_ROWS) -> None:
+    """Classic feature collections, complete ones of bounded size."""
+    columns = [c for c in df.columns if c != geom]
+    write_documents(df.select(geojson_feature(columns, geom)), path, '{"type":"FeatureCollection","features":[', "]}", ",", rows)
+
+
+def write_placemarks(placemarks: DataFrame, path: str, document: str, rows: int = DOCUMENT_ROWS) -> None:
+    """Ready-made placemark elements as complete KML documents of bounded size."""
+    name = document.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    write_documents(placemarks, path, f'<?xml version="1.0" encoding="UTF-8"?><kml xmlns="{K.KML_NAMESPACE}"><Document><name>{name}</name>',
+                    "</Document></kml>", rows=rows)
+
+
 def kml_lines(df: DataFrame, document: str, layer: str = "layer", layer_id: str | None = None,
               fill: str | None = None, stroke: str | None = None, geom: str = "geom",
               order: list[str] = ()) -> DataFrame:

@@ -27,11 +27,12 @@ PLACEMARK_SCHEMA = f"""name string, Point struct<coordinates:string>, LineString
 
 
 def discover_layers(spark: SparkSession, root: str) -> DataFrame:
-    """Spatial files below a folder: one per layer name, GeoJSON before shapefile. Only the file
-    listing is read."""
+    """Spatial files below a folder: one per layer name, GeoJSON before shapefile. A layer is a file, or a folder
+    of part files under the layer's name, as Spark writes it. Only the file listing is read."""
+    layer = F.regexp_extract("path", r"(?i)^(.*\.(?:shp|geojson))(?:/part-[^/]*)?$", 1)
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-             .select("path").filter(F.lower("path").rlike(r"\.(shp|geojson)$")))
-    stem = F.regexp_extract("path", r"([^/]+)\.[^.]+$", 1)
+             .select(layer.alias("path")).filter("path <> ''").distinct())
+    stem = F.regexp_extract("path", r"([^/=]+)\.[^.]+$", 1)
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     named = files.select(sanitize_name(F.url_decode(stem)).alias("layer"), kind.alias("format"), "path")
     first = Window.partitionBy("layer").orderBy(F.col("format") != "geojson", "path")
@@ -62,17 +63,40 @@ def _collected_polygons(members: Column) -> Column:
     return F.when(F.size(areas) > 0, st_from_parts(F.lit("multipolygon"), parts))
 
 
-def read_geojson(spark: SparkSession, path: str, properties: str, lines: bool = False) -> DataFrame:
+_FEATURE_HEAD = r'\{\s*(?:"id"\s*:\s*(?:"(?:[^"\\]|\\.)*"|[-+.0-9eE]+)\s*,\s*)?"type"\s*:\s*$'
+
+
+def _split_features(spark: SparkSession, path: str, feature: str) -> DataFrame:
+    """Features of collections of any size, cut from byte ranges of the files.
+
+    Records end at ``"Feature"``, the type of each feature, so a task starts at the first one in its range. What
+    follows is that feature from its type on, and the beginning of the next. This holds where a feature begins
+    with its type, or with its id and its type; anything else is an error, not a loss.
+    """
+    pieces = spark.read.option("lineSep", '"Feature"').text(path)
+    own = F.col("value").rlike(r"^\s*[,}]")
+    last = F.col("value").rlike(r"^\s*[,}][\s\S]*[}\]]\s*$")
+    sound = F.col("value").rlike(_FEATURE_HEAD) | last | (~own & F.col("value").rlike(r'^\uFEFF?\s*\{[\s\S]*\}\s*$'))
+    text = F.concat(F.lit('{"type":"Feature"'), F.col("value"))  # parsing ends where the object does
+    checked = F.when(sound, text).otherwise(F.raise_error(F.lit("features that do not begin with their type cannot be read in parts")))
+    return (pieces.select(own.alias("own"), checked.alias("text")).filter("own AND text IS NOT NULL")
+            .select(F.from_json("text", feature).alias("f")).select("f.*"))
+
+
+def read_geojson(spark: SparkSession, path: str, properties: str, lines: bool = False, split: bool = False) -> DataFrame:
     """Features of GeoJSON files as attribute columns and ``geom``.
 
     ``properties`` is the schema of the attributes. ``lines`` reads one feature per line, which
-    splits over many tasks; a classic collection is read file by file. Heights are dropped. Of a
+    splits over many tasks. A classic collection is read file by file, or with ``split`` in parts of files, so
+    that one large document keeps many tasks busy. Heights are dropped. Of a
     ``GeometryCollection`` the polygons are kept.
     """
     feature = (f"type string, geometry struct<type:string,coordinates:string,geometries:array<struct<type:string,coordinates:string>>>, "
                f"properties struct<{_as_fields(properties)}>")
     if lines:
         rows = spark.read.schema(feature).json(path)
+    elif split:
+        rows = _split_features(spark, path, feature)
     else:
         rows = (spark.read.schema(f"features array<struct<{_as_fields(feature)}>>")
                 .option("multiLine", True).json(path).select(F.explode("features").alias("f")).select("f.*"))
@@ -141,10 +165,14 @@ def read_kml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
-    """``code, lon, lat, name`` from a JSON object keyed by municipality code."""
-    entry = "map<string,struct<lon:double,lat:double,name:string>>"
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", entry)).alias("code", "v"))
-    return rows.select(F.col("code").cast("int").alias("code"), "v.lon", "v.lat", "v.name")
+    """``code, lon, lat, name`` from JSON objects keyed by municipality code. Records end at closing braces, so
+    that a file is read by many tasks; a name with a brace in it is an error."""
+    pieces = spark.read.option("lineSep", "}").text(path).filter(F.trim(F.translate("value", "\r\n\t", "   ")) != "")
+    whole = r'^[\s,{]*"(\d+)"\s*:\s*(\{[^{}]*)$'
+    entry = F.from_json(F.concat(F.regexp_extract("value", whole, 2), F.lit("}")), "lon double, lat double, name string")
+    code = F.when(F.col("value").rlike(whole), F.regexp_extract("value", whole, 1)).otherwise(F.raise_error(F.lit("not an entry of a gazetteer")))
+    rows = pieces.filter(~F.col("value").rlike(r"^\s*[{]?\s*$")).select(code.cast("int").alias("code"), entry.alias("v"))
+    return rows.select("code", "v.lon", "v.lat", "v.name")
 
 
 def read_cases(spark: SparkSession, folders: dict[str, str], pages: bool = False) -> DataFrame:

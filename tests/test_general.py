@@ -14,7 +14,7 @@ from landspark.operators.dissolve import dissolve
 from landspark.operators.overlap import overlap_join
 from landspark.operators.polygons import st_is_convex
 from landspark.plans.evictions import evictions, filter_state_cases
-from landspark.sinks.tables import upsert
+from landspark.sinks.tables import upsert, write_documents
 from landspark.sources.files import read_evictions, read_geojson, read_kml
 from landspark.streaming import intake
 
@@ -165,3 +165,40 @@ def test_one_key_over_many_partitions(spark, spread):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(out) == 2000 and {(r.g, r.o): (r.occurrence, r.delta_previous, r.delta_first) for r in out} == want
+
+
+def test_one_collection_is_read_by_many_tasks(spark, tmp_path):
+    """A single document, read whole and in many parts, gives the same features; odd layouts are read or refused."""
+    rng = random.Random(4)
+    names = ['plain', 'with "Feature\\" inside', "brace } and [", 'ünï, {"type": 1}', "", "a\nb"]
+    feats = []
+    for i in range(3000):
+        ring = [[i, 0], [i + 1.5, 0], [i + 1.5, 2], [i, 2], [i, 0]]
+        f = {"type": "Feature", "properties": {"code": i, "name": rng.choice(names), "inner": {"type": "x"}}, "geometry": {"type": "Polygon", "coordinates": [ring]}}
+        feats.append({"id": rng.choice(['a"b', 7]), **f} if i % 3 == 0 else f)
+    text = json.dumps({"type": "FeatureCollection", "crs": {"type": "name"}, "features": feats}, indent=None, ensure_ascii=False)
+    folder = tmp_path / "one"
+    folder.mkdir()
+    (folder / "all.geojson").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        parts = read_geojson(spark, str(folder), "code bigint, name string", split=True)
+        assert parts.rdd.getNumPartitions() > 20
+        got = sorted((r.code, r.name, r.geom.maxx) for r in parts.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted((r.code, r.name, r.geom.maxx) for r in read_geojson(spark, str(folder), "code bigint, name string").collect()) and len(got) == 3000
+    (folder / "all.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [{"geometry": None, "properties": {"code": 1, "name": "x"}, "type": "Feature"}] * 2}))
+    with pytest.raises(Exception, match="cannot be read in parts"):
+        read_geojson(spark, str(folder), "code bigint, name string", split=True).collect()
+    (folder / "all.geojson").write_text('{"type": "FeatureCollection", "features": []}')
+    assert read_geojson(spark, str(folder), "code bigint, name string", split=True).collect() == []
+
+
+def test_documents_are_whole(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    write_documents(spark.range(95).select(F.col("id").cast("string")), path, '{"all":[', "]}", ",", rows=20)
+    docs = [json.loads(r.value)["all"] for r in spark.read.text(path, wholetext=True).collect()]
+    assert len(docs) == 5 and all(len(x) <= 40 for x in docs) and sorted(sum(docs, [])) == list(range(95))
+    write_documents(spark.range(0).select(F.col("id").cast("string")), path, "{", "}")
+    assert spark.read.text(path).collect() == []
