@@ -8,7 +8,9 @@ chooses boundaries and kinds together.
 
 The field is trained here by conditional likelihood: regions of a bounded, hashed sample of documents,
 labelled by the patterns, and the same with spans rewritten as people disguise them ("(at)", dots in
-brackets, no plus sign, other separators). So it learns to find what the patterns miss by form alone.
+brackets, no plus sign, other separators). So it learns to find what the patterns miss by form alone. Made-up dates,
+times, ranges, scores and the like are trained on as holding nothing, and no span begins or ends inside a chain of
+digits and marks.
 The weights, some thousand numbers, are the only thing that goes to the tasks.
 """
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,8 @@ from ..session import ship_package
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_ROWS = 6_000  # documents of the training sample, about
-REGIONS = 2_500  # regions of them that are trained on, at most
+REGIONS = 2_500  # regions of them that are trained on, at most: half with entities, half without
+NOISE = 600  # made-up dates, times, ranges, scores, numbers and versions that are trained on as no entities
 LONGEST, ROUNDS, COPIES, RATE, SEED = 32, 3, 3, 0.2, 7
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -38,8 +42,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]|[(\[{] ?(?:at|dot|AT|DOT) ?[)\]}]")
 _ATOM = re.compile(r"[0-9]+|[A-Za-z]+|.", re.S)
 _GAP = re.compile(r"[ ().-]*")
-_REACH = 64  # characters that a region may reach to either side of a trigger
-_SPACE = frozenset(" \t\n\x0b\x0c\r")
+_WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
+_CHAIN = frozenset("-./:,_")  # marks that make one chain of the digits before and after them
 
 
 def luhn(digits: str) -> bool:
@@ -82,25 +86,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches that may hold an entity: words with a trigger, with the words beside a bracketed one."""
-    begin, end = -1, -1
+    """Stretches that may hold an entity: whole words with a trigger, with the words beside a bracketed one."""
+    begin, end, words = -1, -1, None
     for m in _TRIGGER.finditer(text):
         a, b = m.span()
         if a < end and b - a == 1:
             continue
-        extra = 2 if b - a > 1 else 1  # runs of non-space to take on either side
-        lo, hi = a, b
-        for _ in range(extra):
-            while lo > 0 and a - lo < _REACH and text[lo - 1] in _SPACE:
-                lo -= 1
-            while lo > 0 and a - lo < _REACH and text[lo - 1] not in _SPACE:
-                lo -= 1
-            while hi < len(text) and hi - b < _REACH and text[hi] in _SPACE and extra == 2:
-                hi += 1
-            while hi < len(text) and hi - b < _REACH and text[hi] not in _SPACE:
-                hi += 1
-        while lo < a and text[lo] in _SPACE:
-            lo += 1
+        if words is None:
+            words = [w.span() for w in _WORD.finditer(text)]
+            starts = [w[0] for w in words]
+        first, last = bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1
+        if b - a > 1:
+            first, last = max(0, first - 1), min(len(words) - 1, last + 1)
+        lo, hi = words[first][0], words[last][1]
         if begin >= 0 and (lo <= end or _GAP.fullmatch(text, end, lo)):
             end = max(end, hi)
         else:
@@ -135,11 +133,17 @@ def features(s: str, before: str, after: str) -> list[str]:
     if len(groups) == 4 and len(d) <= 12:
         out.append(f"octets={all(int(g) <= 255 for g in groups)}")
     out.append(f"groups={min(len(groups), 6)}")
+    if len(groups) > 1:  # people part the groups of one number in one way
+        out.append(f"alike={len(groups)},{len(set(re.findall(r'(?<=[0-9])[^0-9]+(?=[0-9])', s))) == 1}")
     out.append(f"left={'w' if before.isalnum() else before if before in '+@.-([/' else 's'}")
     out.append(f"right={'w' if after.isalnum() else after if after in '@-)]/' else 's'}")
     return out
 
 
+def _digit(c: str) -> bool:
+    return "0" <= c <= "9"
+
+
 def segments(region: str) -> tuple[list[int], list[tuple[int, int]], list[list[str]]]:
     """Borders of the atoms, candidate segments as (first border, last border), and their features."""
     borders = [0, *(m.end() for m in _ATOM.finditer(region))]
@@ -155,6 +159,8 @@ def segments(region: str) -> tuple[list[int], list[tuple[int, int]], list[list[s
             continue
         if i and first[i].isalnum() and region[borders[i] - 1].isalnum():
             continue  # not inside a word
+        if i > 1 and _digit(first[i]) and first[i - 1] in _CHAIN and _digit(first[i - 2]):
+            continue  # nor inside a chain of digits and marks, such as a date
         for j in range(i + 1, min(len(first), i + LONGEST) + 1):
             if not first[j - 1].isalnum() or count[j] - count[i] > 19:
                 continue
@@ -162,6 +168,8 @@ def segments(region: str) -> tuple[list[int], list[tuple[int, int]], list[list[s
                 continue
             if j < len(first) and first[j].isalnum():
                 continue
+            if j + 1 < len(first) and _digit(first[j - 1]) and first[j] in _CHAIN and _digit(first[j + 1]):
+                continue
             a, b = borders[i], borders[j]
             spans.append((i, j))
             found.append(features(region[a:b], region[a - 1:a] or " ", region[b:b + 1] or " "))
@@ -261,9 +269,25 @@ def _disguised(kind: str, s: str, rng: random.Random) -> str:
     return rng.choice([s.lstrip("+"), "00" + s.lstrip("+"), f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}"])
 
 
+def noise(rng: random.Random) -> str:
+    """Digits and marks that name no person or machine: dates, times, ranges, scores, versions, order numbers, amounts."""
+    n = rng.randint
+    day = rng.choice([f"{n(1990, 2035)}-{n(1, 12):02}-{n(1, 31):02}", f"{n(1, 31)}/{n(1, 12)}/{n(1990, 2035)}", f"{n(1, 31):02}.{n(1, 12):02}.{n(1990, 2035)}", f"{n(1990, 2035)}/{n(1, 12):02}/{n(1, 31):02}"])
+    clock = rng.choice([f"{n(0, 23):02}:{n(0, 59):02}", f"{n(0, 23):02}:{n(0, 59):02}:{n(0, 59):02}", f"{n(0, 23)}.{n(0, 59):02}"])
+    pair = lambda top: f"{n(0, top)}-{n(0, top)}"
+    return rng.choice([
+        lambda: day, lambda: clock, lambda: f"{day} {clock}", lambda: f"{day}T{clock}Z", lambda: f"{day} - {day}", lambda: f"{clock}-{clock}", lambda: f"{day} {clock}-{clock}",
+        lambda: ", ".join(pair(rng.choice([6, 30, 300])) for _ in range(n(1, 5))), lambda: " ".join(pair(6) for _ in range(n(2, 5))), lambda: "-".join(str(n(1, 5)) for _ in range(4)),
+        lambda: f"v{n(0, 12)}.{n(0, 30)}.{n(0, 30)}", lambda: f"{n(0, 12)}.{n(0, 30)}-{n(1, 9)}", lambda: f"{n(1990, 2035)}-{n(0, 10**6):06}-{n(0, 99):02}", lambda: f"No. {n(10**4, 10**9)}-{n(0, 99)}",
+        lambda: f"978-{n(0, 9)}-{n(10, 99)}-{n(10**5, 10**6 - 1)}-{n(0, 9)}", lambda: f"{n(1, 999)},{n(0, 999):03},{n(0, 999):03}.{n(0, 99):02}", lambda: f"-{n(1, 89)}.{n(10**3, 10**6)}, -{n(1, 170)}.{n(10**3, 10**6)}",
+        lambda: " ".join(f"{n(1, 400)}" for _ in range(n(2, 8))), lambda: f"({n(1, 99)}) {n(1, 999)} ({n(1, 99)}) {n(1, 999)}", lambda: "/".join(str(n(1, 60)) for _ in range(n(2, 6))), lambda: f"pp. {n(1, 900)}-{n(1, 900)}, {n(1, 900)}-{n(1, 900)}"])()
+
+
 def examples(found: list[tuple[str, list]]) -> list[tuple[str, list]]:
-    """Regions with their spans, and each a few times more with its spans disguised; broken checksums are no cards."""
+    """Regions with their spans, and each a few times more with its spans disguised; broken checksums are no cards,
+    and noise holds nothing."""
     rng, out = random.Random(SEED), []
+    out += [(noise(rng), []) for _ in range(NOISE)]
     for region, gold in found:
         kept = []
         for kind, a, b in sorted(gold, key=lambda g: (KINDS.index(g[0]), g[1])):
@@ -308,8 +332,8 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Field:
                                              schema=pa.schema([("region", pa.string()), ("spans", pa.string())]))
 
     found = low.mapInArrow(pick, "region string, spans string").filter(F.length("region") <= 400).distinct()
-    # regions with an entity come first: most others are plain numbers
-    taken = found.orderBy(F.col("spans") == "", F.xxhash64("region")).limit(REGIONS).collect()
+    # half of the places for either sort, so that neither crowds out the other
+    taken = [r for sort in ("spans <> ''", "spans = ''") for r in found.filter(sort).orderBy(F.xxhash64("region"), "region").limit(REGIONS // 2).collect()]
     parse = lambda s: [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in s.split(";") if x)]
     field = Field()
     field.train(examples([(r, parse(s)) for r, s in taken]))

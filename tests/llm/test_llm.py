@@ -579,6 +579,28 @@ def test_held_out_disguises_are_found(spark):
     assert total > 80 and found >= 0.85 * total and false <= 0.05 * total
 
 
+def test_dates_ranges_and_scores_are_no_entities(spark):
+    """Recall and precision by kind on held-out spans, disguised and set between numbers that are none."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    field = pii.train(docs.filter("doc_id % 5 <> 0"))
+    added = lambda t: [(k, t[a:b]) for k, a, b in pii.all_spans(t, field)[1]]
+    for t in ("logged 2023-11-04 08:15:22", "range 1-5, 2-6, 3-7, 4-8", "scores 3-2, 4-1", "won 4-2-3-1", "on 04.11.2023, 08:15-09:30", "ISBN 978-3-16-148410-0"):
+        assert added(t) == [], t
+    long = "x" * 100 + " (at) mail (dot) com"
+    assert added(long) == [("email", long)] and added("y" * 10**5 + "(at)b(dot)org") == [("email", "y" * 10**5 + "(at)b(dot)org")]
+    rng, found, total, false = random.Random(11), Counter(), Counter(), 0
+    for text in (r.text for r in docs.filter("doc_id % 5 = 0").select("text").collect()):
+        for kind, a, b in pii.base_spans(text):
+            made = pii._disguised(kind, text[a:b], rng)
+            new = f"seen {pii.noise(rng)} so "
+            start, new = len(new), new + made + f" then {pii.noise(rng)} end"
+            spans = pii.all_spans(new, field)[1]
+            total[kind] += 1
+            found[kind] += any(k == kind and abs(x - start) <= 2 and abs(y - start - len(made)) <= 2 for k, x, y in spans)
+            false += sum(y <= start or x >= start + len(made) for _, x, y in spans)
+    assert set(total) == set(pii.KINDS) and all(found[k] >= 0.9 * total[k] for k in total) and false <= 0.02 * sum(total.values())
+
+
 # --- 10
 
 def test_lattice_forward_against_all_segmentations():
