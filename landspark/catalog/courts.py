@@ -9,24 +9,27 @@ from .. import fixtures as fx
 from ..operators import lookups, summaries
 from ..plans import cases as plan
 from ..plans import jurisdictions as jur
+from ..session import materialize
 from . import ctes, query
 from .cases import _COUNTS, NORMAL, normal
 
-# seats cover the municipalities of their region; the second half of a region comes in a second row of the same seat
-_MEMBERS = """SELECT cast(n_regionkey AS bigint) AS rk, cast(n_nationkey AS bigint) AS nk, cast(n_nationkey AS bigint) % 2 AS odd,
-    concat('São Nação-', cast(n_nationkey AS varchar(9))) AS nm, cast(2600000 + n_nationkey*100 AS int) AS code,
-    cast(2600000 + n_regionkey*100 AS int) AS seat_code, concat('São Nação-', cast(n_regionkey AS varchar(3))) AS seat_nm FROM (SELECT s_suppkey AS n_nationkey, s_suppkey % 5 AS n_regionkey FROM supplier)"""
+# a seat for every 20 municipalities, so that there are more seats and no longer lists on larger data; the second half of a
+# seat's municipalities comes in a second row of it
+SEAT = 20
+_PLACES = f"SELECT s_suppkey AS nk, s_suppkey // {SEAT} AS rk FROM supplier"
+_MEMBERS = f"""SELECT cast(rk AS bigint) AS rk, cast(nk AS bigint) AS nk, cast(nk AS bigint) % 2 AS odd, concat('São Nação-', cast(nk AS varchar(9))) AS nm,
+    cast(2600000 + nk*100 AS int) AS code, cast(2600000 + rk*{SEAT}*100 AS int) AS seat_code, concat('São Nação-', cast(rk*{SEAT} AS varchar(9))) AS seat_nm FROM ({_PLACES})"""
 STATE = dict(
     mem=_MEMBERS,
     tot="SELECT rk, count(*) AS total, string_agg(nm, '; ' ORDER BY odd, nk) AS covered FROM mem GROUP BY rk",
     state="""SELECT m.seat_nm AS comarca_nome, m.seat_code AS comarca_ibge, m.nm AS municipio_nome, m.code AS municipio_ibge,
       m.code = m.seat_code AS eh_sede, CASE WHEN m.code = m.seat_code THEN 'Sede da Comarca' ELSE 'Termo Judiciário (Município Abrangido)' END AS tipo_vinculo,
       t.total AS total_municipios_comarca, t.covered AS municipios_abrangidos FROM mem m JOIN tot t USING (rk)""")
-# a subsection per region pair, so that some municipalities lie in two
+# a subsection per seat, which also has some municipalities of the next one, so that some lie in two
 FEDERAL = dict(
-    fsec="""SELECT DISTINCT cast(n_regionkey AS bigint) AS sec, concat('São Nação-', cast(n_regionkey AS varchar(3)), CASE WHEN n_regionkey = 0 THEN ' (Sede)' ELSE '' END) AS sname,
-      concat('São Nação-', cast(n_regionkey AS varchar(3))) AS seat_nm, cast(2600000 + n_regionkey*100 AS int) AS seat_code,
-      concat(cast(n_regionkey + 1 AS varchar(3)), 'ª Vara') AS varas FROM (SELECT s_suppkey AS n_nationkey, s_suppkey % 5 AS n_regionkey FROM supplier)""",
+    fsec=f"""SELECT DISTINCT cast(rk AS bigint) AS sec, concat('São Nação-', cast(rk*{SEAT} AS varchar(9)), CASE WHEN rk = 0 THEN ' (Sede)' ELSE '' END) AS sname,
+      concat('São Nação-', cast(rk*{SEAT} AS varchar(9))) AS seat_nm, cast(2600000 + rk*{SEAT}*100 AS int) AS seat_code,
+      concat(cast(rk + 1 AS varchar(9)), 'ª Vara') AS varas FROM ({_PLACES})""",
     fmem="SELECT s.*, m.nk, m.nm, m.code FROM fsec s JOIN mem m ON m.rk = s.sec OR (m.rk = s.sec + 1 AND m.nk % 3 = 0)",
     ftot="SELECT sec, count(*) AS total, string_agg(nm, '; ' ORDER BY nk) AS covered FROM fmem GROUP BY sec",
     federal="""SELECT f.sname AS subsecao_nome, f.seat_nm AS subsecao_sede_nome, f.seat_code AS subsecao_ibge, f.varas, f.nm AS municipio_nome,
@@ -36,7 +39,7 @@ FEDERAL = dict(
 
 def _places(spark, d):
     k = F.col("s_suppkey")
-    return fx.table(spark, d, "supplier").select((k % 5).alias("rk"), k.alias("nk"))
+    return fx.table(spark, d, "supplier").select(F.floor(k / SEAT).alias("rk"), k.alias("nk"))
 
 
 def state_rows(spark, d):
@@ -45,7 +48,7 @@ def state_rows(spark, d):
     lines = F.array_join(F.transform(F.array_sort(F.collect_list("nk")), lambda k: F.concat(
         F.lit(" SAO  NAÇÃO "), k.cast("string"))), "\n")
     rows = n.groupBy("rk", (F.col("nk") % 2).alias("odd")).agg(lines.alias("members"))
-    return rows.select((F.col("rk") + F.col("odd") * 100).alias("seq"), F.concat(F.lit("são nação "), F.col("rk").cast("string")).alias("seat"),
+    return rows.select((F.col("rk") + F.col("odd") * 10**9).alias("seq"), F.concat(F.lit("são nação "), (F.col("rk") * SEAT).cast("string")).alias("seat"),
                        F.concat(F.lit("Municípios Abrangidos\n"), "members", F.lit("\nSem Registro")).alias("members"))
 
 
@@ -56,7 +59,7 @@ def federal_rows(spark, d):
     text = F.array_join(F.transform(F.array_sort(F.collect_list("nk")), lambda k: F.concat(F.lit("São Nação-"), k.cast("string"))), ", ")
     rows = both.groupBy("sec").agg(text.alias("members"))
     # the last comma is an "e", as people write
-    return rows.select(F.col("sec").alias("seq"), F.concat(F.lit("São Nação-"), F.col("sec").cast("string"), F.when(
+    return rows.select(F.col("sec").alias("seq"), F.concat(F.lit("São Nação-"), (F.col("sec") * SEAT).cast("string"), F.when(
         F.col("sec") == 0, " (Sede)").otherwise("")).alias("seat"), F.concat((F.col("sec") + 1).cast("string"), F.lit("ª Vara")).alias("varas"),
         F.concat(F.regexp_replace("members", r", ([^,]*)$", " e $1"), F.lit(".")).alias("members"))
 
@@ -69,8 +72,13 @@ def federal(spark, d):
     return jur.federal_jurisdiction(federal_rows(spark, d), fx.gazetteer(spark, d))
 
 
-def master(spark, d):
-    return jur.unify_jurisdictions(fx.gazetteer(spark, d), state(spark, d), federal(spark, d))
+def courts(spark, d):
+    """Both jurisdictions, worked out once for all that read them."""
+    return materialize(state(spark, d), "state"), materialize(federal(spark, d), "federal")
+
+
+def master(spark, d, st=None, fe=None):
+    return jur.unify_jurisdictions(fx.gazetteer(spark, d), state(spark, d) if st is None else st, federal(spark, d) if fe is None else fe)
 
 
 @query("state_jurisdiction", ctes(**STATE) + "SELECT * FROM state")
@@ -78,7 +86,7 @@ def state_jurisdiction(spark, d):
     return state(spark, d).drop("tribunal", "lon", "lat", "seq")
 
 
-@query("unmatched_members", "SELECT DISTINCT concat('são nação ', n_regionkey) AS seat, 'Sem Registro' AS member, CASE WHEN n_nationkey % 2 = 1 THEN 100 ELSE 0 END + n_regionkey AS seq FROM (SELECT s_suppkey AS n_nationkey, s_suppkey % 5 AS n_regionkey FROM supplier)")
+@query("unmatched_members", f"SELECT DISTINCT concat('são nação ', rk*{SEAT}) AS seat, 'Sem Registro' AS member, CASE WHEN nk % 2 = 1 THEN 1000000000 ELSE 0 END + rk AS seq FROM ({_PLACES})")
 def unmatched_members(spark, d):
     rows = state_rows(spark, d)
     out = jur.unmatched_members(rows, fx.gazetteer(spark, d), True)
@@ -111,7 +119,7 @@ def unified_jurisdictions(spark, d):
 
 
 # rooms point to the subsections of the fixture
-ROOMS = {i: f"São Nação-{i % 4}" + (" (Sede)" if i % 4 == 0 else "") for i in range(1, 30)}
+ROOMS = {i: f"São Nação-{i % 4 * SEAT}" + (" (Sede)" if i % 4 == 0 else "") for i in range(1, 30)}
 _ROOMS_SQL = ", ".join(f"({k}, '{v}')" for k, v in ROOMS.items())
 ENRICHED = dict(
     sw="SELECT DISTINCT subsecao_nome, lower(split_part(subsecao_nome, ' ', 1)) AS word FROM federal",
@@ -128,10 +136,11 @@ ENRICHED = dict(
 _ALL = ctes("cases", "gazetteer", **NORMAL, **STATE, **FEDERAL, **MASTER, **ENRICHED)
 
 
-def _with_rooms(spark, d):
+def _with_rooms(spark, d, st=None, fe=None):
     """Enriched cases with the rooms of the fixture in place of the fixed room list."""
-    n = normal(spark, d)
-    return plan.enrich_cases(n, state(spark, d), federal(spark, d), rooms=ROOMS, default="São Nação-0 (Sede)")
+    if st is None:
+        st, fe = courts(spark, d)
+    return plan.enrich_cases(normal(spark, d), st, fe, rooms=ROOMS, default="São Nação-0 (Sede)")
 
 
 _NONE = "coalesce({0}, 'none') AS {0}"
@@ -154,7 +163,8 @@ _CC = ", ".join(f"coalesce(p.{k}, 0) AS {k}" for k in K.CATEGORY_COLUMNS)
 @query("municipality_summary", _ALL + f""", p AS (SELECT comarca_sede_ibge, count(*) AS total, {_COUNTS} FROM enriched WHERE comarca_sede_ibge IS NOT NULL GROUP BY 1)
     SELECT m.*, coalesce(p.total, 0) AS total_processos_comarca, {_CC} FROM master m LEFT JOIN p ON p.comarca_sede_ibge = m.tjpe_comarca_ibge""")
 def municipality_summary(spark, d):
-    return plan.municipality_summary(master(spark, d), _with_rooms(spark, d)).drop("lon", "lat")
+    st, fe = courts(spark, d)
+    return plan.municipality_summary(master(spark, d, st, fe), _with_rooms(spark, d, st, fe)).drop("lon", "lat")
 
 
 @query("enrichment_counts", _ALL + """SELECT count(*) AS total, count(comarca_sede_nome) AS resolved, count(*) FILTER (tem_municipios_filhos) AS with_daughters FROM enriched""")

@@ -8,6 +8,7 @@ from .. import constants as K
 from ..functions.text import ordered_join, role_label, split_enumeration
 from ..operators.lookups import join_by_name
 from ..operators.rows import last_per_key
+from ..session import materialize
 
 
 def parse_coverage(df: DataFrame, lines: bool) -> DataFrame:
@@ -50,7 +51,7 @@ def unmatched_members(rows: DataFrame, gazetteer: DataFrame, lines: bool) -> Dat
 
 def state_jurisdiction(rows: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Municipalities of the state court seats from ``seq, seat, members`` (one member per line)."""
-    m = _resolved(rows, F.col("seat"), gazetteer, True)
+    m = materialize(_resolved(rows, F.col("seat"), gazetteer, True), "members")  # names are matched once
     merged = merge_coverage(m, "seat_name").withColumnRenamed("seat_code", "_code")
     is_seat = F.coalesce(F.col("member_code") == F.col("_code"), F.lit(False))
     return m.join(merged, "seat_name").select(
@@ -66,7 +67,7 @@ def state_jurisdiction(rows: DataFrame, gazetteer: DataFrame) -> DataFrame:
 def federal_jurisdiction(rows: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Municipalities of the federal subsections from ``seq, seat, varas, members`` (enumeration)."""
     seat = F.trim(F.replace(F.col("seat"), F.lit(" (Sede)"), F.lit("")))
-    m = _resolved(rows, seat, gazetteer, False)
+    m = materialize(_resolved(rows, seat, gazetteer, False), "members")
     merged = merge_coverage(m, "seq").drop("seat_code", "first_seq")
     is_seat = F.coalesce(F.col("member_code") == F.col("seat_code"), F.lit(False))
     return m.join(merged, "seq").select(
