@@ -6,11 +6,19 @@ by itself when the measured size allows.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+try:
+    import ahocorasick
+except ImportError:  # names are then found by joins
+    ahocorasick = None
+
 from .. import constants as K
 from ..functions.text import blank_to_null, normalize_text, normalize_upper
 
+AUTOMATON = 4_000_000  # characters of names, at most, in an automaton
+
 
 def with_fallback(primary: DataFrame, fallback: DataFrame, key: str) -> DataFrame:
     """Primary rows plus the fallback rows whose key the primary lacks."""
@@ -51,22 +59,44 @@ def join_by_code(df: DataFrame, code: str, gazetteer: DataFrame, out: str = "pla
     return df.join(places, df[code] == places["_code"], "left").drop("_code")
 
 
+def _first_found(names: list[str]):
+    """Texts with the first of the names, in the order of the list, that each contains."""
+    def work(batches):
+        machine = ahocorasick.Automaton()
+        for k, n in enumerate(names):
+            machine.add_word(n, k)
+        machine.make_automaton()
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            best = [min((k for _, k in machine.iter(t)), default=None) for t in texts] if names else [None] * len(texts)
+            kept = [k for k, b in enumerate(best) if b is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([texts[k] for k in kept], pa.string()), pa.array([names[best[k]] for k in kept], pa.string())],
+                                             names=[batch.schema.names[0], "_found"])
+    return work
+
+
 def contained_names(texts: DataFrame, text: str, names: DataFrame, name: str, order: str,
                     min_len: int = 1, prefer: str = "first") -> DataFrame:
     """For each distinct text the name it contains: the first in ``order``, or the longest.
 
-    Every stretch of the text as long as some name is an equi-join key, so no pair of text and name
-    is formed that does not match.
+    Up to ``AUTOMATON`` characters of names, counted first, become one automaton that goes to the tasks and reads each
+    text once, whatever its length. With more of them, every stretch of the text as long as some name is an equi-join
+    key. Either way no pair of text and name is formed that does not match.
     """
     names = names.filter(F.length(name) >= min_len)
-    lengths = names.select(F.length(name).alias("_len")).distinct()
     distinct = texts.select(text).distinct().filter(F.col(text) != "")
+    rank = F.col(order) if prefer == "first" else F.struct(-F.length(name), F.col(order))
+    if ahocorasick and (names.agg(F.sum(F.length(name) + 1)).first()[0] or 0) <= AUTOMATON:
+        best = names.groupBy(F.col(name).alias("_found")).agg(F.min_by(F.struct(*names.columns), rank).alias("hit"), F.min(rank).alias("_rank"))
+        listed = [r[0] for r in best.orderBy("_rank", "_found").select("_found").collect()]
+        found = distinct.mapInArrow(_first_found(listed), f"`{text}` string, _found string")
+        return found.join(best.select("_found", "hit"), "_found").select(text, "hit")
+    lengths = names.select(F.length(name).alias("_len")).distinct()
     # the set of lengths is at most as long as the longest name
     cuts = (distinct.crossJoin(F.broadcast(lengths)).filter(F.length(text) >= F.col("_len"))
             .withColumn("_at", F.explode(F.sequence(F.lit(1), F.length(text) - F.col("_len") + 1)))
             .select(text, F.substring(F.col(text), F.col("_at"), F.col("_len")).alias(name)).distinct())
     hits = cuts.join(names, name)
-    rank = F.col(order) if prefer == "first" else F.struct(-F.length(name), F.col(order))
     return hits.groupBy(text).agg(F.min_by(F.struct(*names.columns), rank).alias("hit"))
 
 

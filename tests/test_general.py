@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landspark.functions import geometry as g, text as tx
-from landspark.operators import grid, rows as row_ops
+from landspark.operators import grid, lookups, rows as row_ops
 from landspark.operators.cluster import dbscan
 from landspark.operators.dissolve import dissolve
 from landspark.operators.overlap import overlap_join
@@ -202,3 +202,19 @@ def test_documents_are_whole(spark, tmp_path):
     assert len(docs) == 5 and all(len(x) <= 40 for x in docs) and sorted(sum(docs, [])) == list(range(95))
     write_documents(spark.range(0).select(F.col("id").cast("string")), path, "{", "}")
     assert spark.read.text(path).collect() == []
+
+
+@pytest.mark.parametrize("limit", [4_000_000, 0])
+@pytest.mark.parametrize("prefer", ["first", "longest"])
+def test_contained_names(spark, monkeypatch, limit, prefer):
+    """By automaton and by joins, long texts and equal names included, against every name in turn."""
+    monkeypatch.setattr(lookups, "AUTOMATON", limit)
+    rng = random.Random(6)
+    say = lambda n: "".join(rng.choice("abé ") for _ in range(n))
+    names = [(say(rng.randint(0, 4)), rng.randrange(40), i) for i in range(60)]
+    texts = sorted({say(rng.randint(0, 12)) for _ in range(200)} | {say(5000), "xyz"})
+    got = lookups.contained_names(spark.createDataFrame([(t,) for t in texts * 2], "t string"), "t", spark.createDataFrame(names, "n string, o int, i int"),
+                                  "n", "o", 2, prefer).collect()
+    rank = (lambda n: n[1]) if prefer == "first" else (lambda n: (-len(n[0]), n[1]))
+    want = {t: min(map(rank, hit)) for t in texts if t and (hit := [n for n in names if len(n[0]) >= 2 and n[0] in t])}
+    assert len(got) == len(want) and {r.t: rank(tuple(r.hit)) for r in got} == want and all(r.hit.n in r.t for r in got)
