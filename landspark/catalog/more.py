@@ -188,6 +188,23 @@ def general_clusters(spark, d):
     return dbscan(p, ["tname"], EPS).select("id", "cluster")
 
 
+# the lower left halves of parcels with the whole of territories: what is shared is the half of a smaller box, or more
+_HALVES = f"""SELECT p.code, t.tid, greatest(p.x0, t.x0) - p.x0 AS a, least(p.x1, t.x1) - p.x0 AS b, greatest(p.y0, t.y0) - p.y0 AS c, least(p.y1, t.y1) - p.y0 AS e,
+    (p.x1 - p.x0) * 1.0 AS w, (p.y1 - p.y0) * 1.0 AS h FROM parcels p JOIN territories t ON {MEET}"""
+
+
+@query("convex_overlaps", ctes("parcels", "territories", v=_HALVES, r="""
+    SELECT code, tid, b - a AS dx, c, e, h, greatest(a, least(b, w * (1 - e / h))) AS full_to, greatest(a, least(b, w * (1 - c / h))) AS cut_to, a, w FROM v""") + """
+    SELECT code, tid, round(area + 0.00003, 3) AS area FROM (SELECT code, tid, (full_to - a) * (e - c)
+      + (h - c) * (cut_to - full_to) - h / w * (cut_to * cut_to - full_to * full_to) / 2 AS area FROM r) WHERE round(area + 0.00003, 3) > 0.001""")
+def convex_overlaps(spark, d):
+    """Triangles and boxes, clipped in the JVM."""
+    half = g.st_rings(F.array(g.vertex("x0", "y0"), g.vertex("x1", "y0"), g.vertex("x0", "y1"), g.vertex("x0", "y0")))
+    p = fx.parcels(spark, d).withColumn("geom", half)
+    out = overlap_join(p, _general(fx.territories(spark, d)), CELL, "code", "tid", convex=True)
+    return out.select(F.col("l_code").alias("code"), F.col("r_tid").alias("tid"), F.round(F.col("area") + 0.00003, 3).alias("area")).filter("area > 0.001")
+
+
 @query("dissolved_general", union_area(ctes("territories") + "SELECT name AS k, x0, y0, x1, y1 FROM territories", "k").replace(
     "sum((nx-x)*(ny-y)) AS area", "cast(sum((nx-x)*(ny-y)) AS bigint) AS area").replace("SELECT k, cast", "SELECT k AS name, cast"))
 def dissolved_general(spark, d):

@@ -196,6 +196,43 @@ def box_intersection(a, b) -> Column:
     return F.when(bbox_overlap_area(a, b) > 0, made)
 
 
+def convex_intersection(a, b) -> Column:
+    """The area that two convex polygons of one ring share, as one polygon; null when they share none.
+
+    One ring is cut by the half-plane of each edge of the other, in turn. A fold over the edges keeps all of it
+    in the JVM. Rings may run either way round.
+    """
+    ga, gb = as_col(a), as_col(b)
+    ring_a, ring_b = ga["parts"][0][0], gb["parts"][0][0]
+    sign = F.when(_total(_steps(ring_b, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])) < 0, -1.0).otherwise(1.0)
+    edges = F.transform(F.sequence(F.lit(0), F.size(ring_b) - 2), lambda i: F.struct(
+        F.get(ring_b, i).alias("p"), F.get(ring_b, i + 1).alias("q")))
+    none = F.array().cast("array<struct<x:double,y:double>>")
+
+    def side(e, v, s):
+        return s * ((e["q"]["x"] - e["p"]["x"]) * (v["y"] - e["p"]["y"]) - (e["q"]["y"] - e["p"]["y"]) * (v["x"] - e["p"]["x"]))
+
+    def cut(ring, e, s):
+        marked = F.transform(ring, lambda v: F.struct(v.alias("v"), side(e, v, s).alias("d")))
+
+        def kept(m):
+            return F.flatten(F.transform(m, lambda c, i: let(F.get(m, F.pmod(i + 1, F.size(m))), lambda n: F.concat(
+                F.when(c["d"] >= 0, F.array(c["v"])).otherwise(none),
+                F.when(c["d"] * n["d"] < 0, F.array(vertex(
+                    c["v"]["x"] + (n["v"]["x"] - c["v"]["x"]) * (c["d"] / (c["d"] - n["d"])),
+                    c["v"]["y"] + (n["v"]["y"] - c["v"]["y"]) * (c["d"] / (c["d"] - n["d"]))))).otherwise(none)))))
+        return let(marked, kept)
+
+    start = F.slice(ring_a, 1, F.size(ring_a) - 1).cast("array<struct<x:double,y:double>>")
+    left = let(sign, lambda s: F.aggregate(edges, start, lambda ring, e: F.when(F.size(ring) < 3, none).otherwise(cut(ring, e, s))))
+    least = F.least(bbox_area(ga), bbox_area(gb)) * 1e-12  # less than that is a touch
+
+    def closed(r):
+        return let(F.concat(r, F.slice(r, 1, 1)), lambda ring: F.when(F.abs(ring_area(ring)) > least, st_rings(ring)))
+
+    return let(left, lambda r: F.when(F.size(r) >= 3, closed(r)))
+
+
 def bbox_distance2(a, b) -> Column:
     """Squared distance between two boxes."""
     a, b = as_col(a), as_col(b)

@@ -11,14 +11,16 @@ looks at what an earlier one has left in different components:
    from rare to common (among these members). Two near texts, the larger of ``n`` and the smaller of ``m`` shingles, share at
    least ``4/9 (n + m)`` of them, so the first one they share has that many left behind it in both. So it stands in the first
    ninth of the smaller text and the first fifth of the larger one, and how far in tells which sizes may meet. The join is
-   on shingle and size class, so what a passage common to many otherwise different texts brings never meets: there, rarer words
-   come first. Keys of one component are left out. Of the others, members outside the component that most members belong
-   to meet all members; those of that component never meet each other. Nothing is cut, so of the pairs that share a
-   band none is lost.
+   on shingle and size class, and sketches of 512 bits rule out pairs that differ in more than a ninth of both. What a
+   passage common to many otherwise different texts brings never meets: there, rarer words come first. Keys of one
+   component are left out. Of the others, members outside the component that most members belong to meet all members;
+   those of that component never meet each other. Nothing is cut, so of the pairs that share a band none is lost.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -31,6 +33,7 @@ from .common import packed, text_key, unpacked
 
 SHINGLE, BANDS, DEPTH, SEED = 5, 20, 5, 42
 NUMERATOR, DENOMINATOR = 4, 5  # the least similarity, 0.8
+LONGS = 8  # 512 bits of a sketch
 LOTS = 64  # copies of a text, at most, against which the pairs of a much-compared one are dealt
 FILTER_ROWS = 1_000_000  # rows of a list that may be broadcast to thin out a side before a shuffle (16 MB)
 _LAST = 2**63 - 1
@@ -86,10 +89,18 @@ def _banded(batches):
                                          names=[*_PLACE, "bands", "size", "fp"])
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Parity of the number of hashes that fall on each of ``64 * LONGS`` bits. Two sets differ in at least as many
+    elements as their sketches differ in bits."""
+    odd = np.bincount(h & (64 * LONGS - 1), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _shingled(batches):
     for batch in batches:
         lists = [_hashes(shingles(t)).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["node", "hashes"])
+        sketches = [sketch(h).tolist() for h in lists]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["node", "hashes", "sketch"])
 
 
 def _verify(batches):
@@ -157,8 +168,8 @@ def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _by_rare_shingles(rest: DataFrame, texts: DataFrame) -> DataFrame:
     """Candidate pairs of the nodes ``rest`` (``node, label``) that share a shingle rare enough in both."""
-    held = texts.join(rest.select("node"), "node", "left_semi").mapInArrow(_shingled, "node long, hashes array<long>")
-    held = materialize(held, "shingles").join(rest, "node").select("node", "label", F.size("hashes").alias("n"), "hashes")
+    held = texts.join(rest.select("node"), "node", "left_semi").mapInArrow(_shingled, "node long, hashes array<long>, sketch array<long>")
+    held = materialize(held, "shingles").join(rest, "node").select("node", "label", F.size("hashes").alias("n"), "hashes", "sketch")
     each = held.select("node", "label", "n", F.explode("hashes").alias("h"))
     often = materialize(each.groupBy("h").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "often")
     shared = each.join(often, "h")  # a shingle of one text alone brings no pair, and comes before all others
@@ -167,14 +178,16 @@ def _by_rare_shingles(rest: DataFrame, texts: DataFrame) -> DataFrame:
     left = shared.withColumn("left", F.col("n") - place).select("node", "label", "n", "h", "left").filter("5 * left >= 4 * n")
     left = materialize(left, "prefixes")
     mixed = left.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.count(F.lit(1)).alias("several"), F.max_by("label", "c").alias("most"))
-    left = left.join(mixed.filter("several > 1").drop("several"), "h")
+    left = left.join(mixed.filter("several > 1").drop("several"), "h").join(held.select("node", "sketch"), "node")
     small = left.filter("9 * left >= 8 * n").select("h", _class(F.col("n")).alias("class"), F.col("node").alias("src"), F.col("label").alias("x"), F.col("n").alias("m"),
-                                                    F.col("left").alias("a"), (F.col("label") == F.col("most")).alias("p"))
+                                                    F.col("left").alias("a"), (F.col("label") == F.col("most")).alias("p"), F.col("sketch").alias("s"))
     reach = F.least(F.col("n"), F.floor((9 * F.col("left") - 4 * F.col("n")) / 4))
     classes = F.sequence(_class(F.ceil(F.col("n") * NUMERATOR / DENOMINATOR)), _class(reach))
-    large = left.select("h", F.explode(classes).alias("class"), F.col("node").alias("dst"), F.col("label").alias("y"), "n", F.col("left").alias("b"), (F.col("label") == F.col("most")).alias("q"))
+    large = left.select("h", F.explode(classes).alias("class"), F.col("node").alias("dst"), F.col("label").alias("y"), "n", F.col("left").alias("b"), (F.col("label") == F.col("most")).alias("q"), F.col("sketch").alias("t"))
     meet = ((F.col("x") != F.col("y")) & ((F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("src") < F.col("dst")))) & _similar_size("m", "n")
             & (9 * F.col("a") >= 4 * (F.col("m") + F.col("n"))) & (9 * F.col("b") >= 4 * (F.col("m") + F.col("n"))))
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.get("s", F.lit(k)).bitwiseXOR(F.get("t", F.lit(k)))) for k in range(LONGS)])
+    meet &= 9 * differ <= F.col("m") + F.col("n")  # near texts share 4/9 of both, so they differ in a ninth at most
     found = [small.filter(p).join(large.filter(q), ["h", "class"]).filter(meet) for p, q in (("NOT p", "true"), ("p", "NOT q"))]
     return found[0].unionAll(found[1]).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.geometry import (bbox_overlap_area, box_intersection, st_area, st_contains,
+from ..functions.geometry import (bbox_overlap_area, box_intersection, convex_intersection, st_area, st_contains,
                                   st_from_parts, st_intersects, st_is_box)
 from .grid import HOT_ROWS, grid_join
 from .polygons import subdivide, with_intersection, with_valid
@@ -24,19 +24,20 @@ def union_layers(layers: dict[str, DataFrame], tag: str = "source") -> DataFrame
 
 def overlap_join(left: DataFrame, right: DataFrame, cell: float, left_key: str, right_key: str,
                  rectangles: bool = False, max_vertices: int | None = None,
-                 skip: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+                 skip: Column | None = None, hot_rows: int = HOT_ROWS, convex: bool = False) -> DataFrame:
     """Pairs of polygons that share an area, with that area (``geom``, ``area``).
 
     Columns come back prefixed ``l_`` and ``r_``; both inputs have a polygon column ``geom``.
     One join serves any number of layers stacked on either side; ``skip`` leaves out pairs of
     layers by a condition on the prefixed columns. ``rectangles`` promises that all polygons are
     axis-aligned boxes and keeps the whole plan in the JVM; otherwise only pairs with a general
-    polygon reach the numpy kernel. ``max_vertices`` cuts larger polygons into pieces first.
+    polygon reach the numpy kernel. ``convex`` promises that all are convex polygons of one ring, which are clipped
+    in the JVM as well. ``max_vertices`` cuts larger polygons into pieces first.
     """
     l, r = prefixed(left, "l_"), prefixed(right, "r_")
     if max_vertices:
         l, r = (subdivide(d, g, max_vertices) for d, g in ((l, "l_geom"), (r, "r_geom")))
-    if not rectangles:
+    if not (rectangles or convex):
         l = l.withColumn("_lbox", st_is_box("l_geom"))
         r = r.withColumn("_rbox", st_is_box("r_geom"))
     pairs = grid_join(l, r, cell, "l_geom", "r_geom", hot_rows=hot_rows)
@@ -46,6 +47,9 @@ def overlap_join(left: DataFrame, right: DataFrame, cell: float, left_key: str,
     if rectangles:
         found = (pairs.withColumn("geom", box_intersection("l_geom", "r_geom"))
                  .withColumn("area", bbox_overlap_area("l_geom", "r_geom")))
+    elif convex:
+        found = (pairs.withColumn("geom", convex_intersection("l_geom", "r_geom")).filter(F.col("geom").isNotNull())
+                 .withColumn("area", st_area("geom")))
     else:
         boxes = F.col("_lbox") & F.col("_rbox")
         # the kernel costs far more than moving a pair, so pairs are dealt out evenly first, in as many shares as AQE sees fit
