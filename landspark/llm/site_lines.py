@@ -3,8 +3,9 @@
 A page is parted into lines of visible text. Per host, the pages that contain a line are counted, each
 page once, and divided by the pages of the host; lines above a ratio are boilerplate and are dropped
 from every page of the host. Counts combine before the shuffle, by host and line, so a hot host spreads
-over its lines. A host has at most (mean lines of a page) / ratio such lines; this short list is joined
-to the pages by host and salt, which deals the pages of a hot host over many tasks.
+over its lines. A host has at most (mean lines of a page) / ratio such lines. Up to ``FILTER_ROWS`` of them, counted first, are
+broadcast, so no page moves. Beyond that they are joined to the pages by host and salt; a host gets one salt per
+``SALT_PAGES`` pages, so that no task receives more of it than that.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from ..session import materialize
 
 RATIO = 0.3  # a line on more than this share of a host's pages is boilerplate
 LEAST_PAGES = 3  # and it has to stand on so many pages at least
-SALTS = 16
+FILTER_ROWS = 1_000_000  # lines to drop, at most, that are broadcast (16 MB)
+SALT_PAGES = 20_000
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/?#:@]+)"
 HIDDEN = r"(?is)<!--.*?-->|<(script|style|title)\b[^>]*>.*?</(script|style|title)>"
@@ -56,10 +58,18 @@ def site_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_
     seen = sited.select("host", F.explode(F.array_distinct(F.transform("lines", _key))).alias("key"))
     often = seen.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_pages)
     totals = sited.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    totals = materialize(totals, "hosts")
     dropped = often.join(totals, "host").filter(F.col("n") > ratio * F.col("pages")).groupBy("host").agg(F.collect_list("key").alias("bad"))
-    dropped = dropped.select("host", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "bad")
-    own = own.withColumn("salt", F.pmod(F.xxhash64("page_id", F.size("lines")), F.lit(SALTS)).cast("int"))
-    rows = own.join(dropped, ["host", "salt"], "left")
+    dropped = materialize(dropped, "dropped")
+    if (dropped.agg(F.sum(F.size("bad"))).first()[0] or 0) <= FILTER_ROWS:
+        rows = own.join(F.broadcast(dropped), "host", "left")
+    else:
+        # as many rows as pages / SALT_PAGES
+        hot = F.broadcast(totals.filter(F.col("pages") > SALT_PAGES).select("host", F.ceil(F.col("pages") / SALT_PAGES).cast("int").alias("salts")))
+        salts = F.coalesce("salts", F.lit(1))
+        dealt = dropped.join(hot, "host", "left").select("host", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "bad")
+        own = own.join(hot, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "lines"), salts).cast("int")).drop("salts")
+        rows = own.join(dealt, ["host", "salt"], "left")
     kept = F.when(F.col("bad").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("bad", _key(x))))
     rows = rows.withColumn("kept", kept)
     return rows.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"),

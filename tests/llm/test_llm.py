@@ -385,14 +385,14 @@ def test_a_shared_passage_makes_no_pairs(spark, monkeypatch):
     """Different texts with one long passage in common meet in bands, but give few pairs, whatever their number."""
     counted = []
     plain = near_texts._by_rare_shingles
-    monkeypatch.setattr(near_texts, "_by_rare_shingles", lambda *a: counted.append(plain(*a).count()) or plain(*a))
+    monkeypatch.setattr(near_texts, "_by_rare_shingles", lambda *a, **k: counted.append(plain(*a, **k).count()) or plain(*a, **k))
     for n in (200, 400):
         rng = random.Random(n)
         say = lambda k: " ".join("w%d" % rng.randrange(10**6) for _ in range(k))
         passage = say(100)
         rows = [(i, say(15) + " " + passage + " " + say(15)) for i in range(n)] + [(n, passage + " end"), (n + 1, "so " + passage)]
         assert near_texts.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).count() == n + 1
-    assert len(counted) == 2 and max(counted) <= 10
+    assert len(counted) == 4 and max(counted) <= 10
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -411,7 +411,9 @@ def test_rare_shingles_find_all_near_texts(spark, monkeypatch, seed):
     texts = sorted(set(texts))
     frame = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(3)
     rest = frame.select("node", (F.col("node") - F.col("node") % 2).alias("label"))
-    got = {tuple(r) for r in near_texts._by_rare_shingles(rest, frame).collect()}
+    prefixes = near_texts._prefixes(rest, frame)
+    got = {tuple(r) for r in near_texts._by_rare_shingles(prefixes, rest).collect()}
+    assert {tuple(r) for r in near_texts._by_rare_shingles(prefixes, rest, heads=True).collect()} <= got
     held = [near_texts.shingles(t.encode()) for t in texts]
     want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if i // 2 != j // 2 and near_texts.near(held[i], held[j])}
     assert len(want) > 50 and want <= got and all(i // 2 != j // 2 for i, j in got)
@@ -485,6 +487,16 @@ def test_site_lines(spark):
     assert site_lines.site_lines(pages.limit(0)).collect() == []
 
 
+def test_site_lines_by_salts(spark, monkeypatch):
+    """Joined with salts by the number of pages, or broadcast: the same rows."""
+    pages = spark.range(300).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.when(F.col("id") < 200, 0).otherwise(F.col("id") % 20), F.lit("/")).alias("url"),
+                                    F.concat(F.lit("menu<br>text "), F.col("id"), F.lit("<p>a"), F.col("id") % 3).alias("html"))
+    rows = sorted(map(tuple, site_lines.site_lines(pages).collect()))
+    monkeypatch.setattr(site_lines, "FILTER_ROWS", 0)
+    monkeypatch.setattr(site_lines, "SALT_PAGES", 7)
+    assert sorted(map(tuple, site_lines.site_lines(pages).collect())) == rows and sum(r[3] for r in rows) > 300
+
+
 # --- 7
 
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -634,6 +646,33 @@ def test_lattice_scores(spark, odd, none):
     assert lattice.lattice_scores(none).collect() == []
 
 
+def test_lattice_score_against_a_recursion_by_hand(spark, odd, monkeypatch):
+    """The column ``score`` of several batches and partitions, from the fitted weights, word by word."""
+    made, load = [], lattice.load_lattice
+    monkeypatch.setattr(lattice, "load_lattice", lambda model=lattice.MODEL: made.append(load(model)) or made[-1])
+    monkeypatch.setattr(lattice, "BATCH_WORDS", 60)
+    docs = odd.unionByName(table(spark, SF, "documents").limit(25), allowMissingColumns=True).repartition(4)
+    got = [(r.doc_id, r.n_tokens, r.score) for r in lattice.lattice_scores(docs).collect()]
+    ids, logp, longest = made[0].ids, made[0].logp, max(map(len, made[0].ids))
+    known = {}
+
+    def by_hand(word):
+        if word not in known:
+            w, up = b" " + word, [0.0]
+            for j in range(1, len(w) + 1):
+                up.append(np.logaddexp.reduce([up[i] + logp[ids[w[i:j]]] for i in range(max(0, j - longest), j) if w[i:j] in ids] or [-np.inf]))
+            known[word] = up[-1]
+        return known[word]
+    want = []
+    for d, t in docs.select("doc_id", "text").collect():
+        words = (t or "").encode().translate(lattice._LOWER).split()
+        want.append((d, len(words) + 1, (sum(map(by_hand, words)) + logp[lattice._END]) / math.log(10)))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    assert len(got) == len(want)
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key)):
+        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], rel=1e-9, abs=1e-6)
+
+
 def test_training_helps_held_out_texts(spark, monkeypatch):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     fitted = lattice.lattice_scores(docs).filter("held_out").agg(F.sum("score")).first()[0]
