@@ -79,7 +79,7 @@ def dissolve_pieces(df: DataFrame, by: list[str], cell: float | None = None, geo
                .withColumn("geom", F.when(inside, F.col("geom")).otherwise(F.col("_cut")))
                .filter(F.col("geom").isNotNull())
                .select(*keys, F.col("geom")["parts"].alias("parts")).distinct())
-    merged, again = cut, True
+    merged, again = cut if rectangles else materialize(cut, "cut"), True  # counted and merged, clipped once
     while again:
         chunked, again = _chunked(merged, keys)
         merged = _merge(chunked, keys + ["_chunk"]).drop("_chunk")
@@ -95,7 +95,7 @@ def assemble(pieces: DataFrame, by: list[str]) -> DataFrame:
     While a group has more than ``SEAM_ROWS`` pieces, those of four neighbouring cells become one; the
     size of a group changes the number of steps, not the result.
     """
-    parts = pieces.select(*by, "_cx", "_cy", F.col("geom")["parts"].alias("parts"))
+    parts = materialize(pieces.select(*by, "_cx", "_cy", F.col("geom")["parts"].alias("parts")), "pieces")  # counted and merged
     while (parts.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) > SEAM_ROWS:
         wider = parts.withColumns({"_cx": F.shiftright("_cx", 1), "_cy": F.shiftright("_cy", 1)})
         parts = materialize(_merge(wider, [*by, "_cx", "_cy"]), "seams")
