@@ -253,6 +253,7 @@ def segments(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_same", same)
     again = (rows.filter("copies > 0").groupBy("_same").agg(F.min(place).alias("_from"), F.max(place).alias("_to"))
              .filter("_from <> _to").select("_same", "_from"))  # equal turns under one number stand side by side
+    again = materialize(again, "again")  # of known size, so that Spark need not shuffle the turns for a short list
     initial = F.when(F.substring("role", 1, 1).isin("u", "a", "s"), F.substring("role", 1, 1)).otherwise("o")
     symbol = (F.when(bare == "", "b").when(F.coalesce(place > F.col("_from"), F.lit(False)), "d")
               .when(F.right(bare, F.lit(1)).isin(".", "!", "?"), initial).otherwise(F.upper(initial)))
