@@ -11,10 +11,11 @@ looks at what an earlier one has left in different components:
    from rare to common (among these members). Two near texts, the larger of ``n`` and the smaller of ``m`` shingles, share at
    least ``4/9 (n + m)`` of them, so the first one they share has that many left behind it in both. So it stands in the first
    ninth of the smaller text and the first fifth of the larger one, and how far in tells which sizes may meet. The join is
-   on shingle and size class, and sketches of 512 bits rule out pairs that differ in more than a ninth of both. What a
-   passage common to many otherwise different texts brings never meets: there, rarer words come first. Keys of one
-   component are left out. Of the others, members outside the component that most members belong to meet all members;
-   those of that component never meet each other. Nothing is cut, so of the pairs that share a band none is lost.
+   on shingle and size class, and sketches of 1024 bits rule out pairs that differ in more than a ninth of both. What a
+   passage common to many otherwise different texts brings never meets: there, rarer words come first. First one
+   text of each component per shingle and class meets one of the largest component there, which joins most of what belongs
+   together. Then keys of one component are left out; of the others, members outside the component that most members belong to meet all members, and those of
+   that component never meet each other. Nothing is cut, so of the pairs that share a band none is lost.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from .common import packed, text_key, unpacked
 
 SHINGLE, BANDS, DEPTH, SEED = 5, 20, 5, 42
 NUMERATOR, DENOMINATOR = 4, 5  # the least similarity, 0.8
-LONGS = 8  # 512 bits of a sketch
+LONGS = 16  # 1024 bits of a sketch
 LOTS = 64  # copies of a text, at most, against which the pairs of a much-compared one are dealt
 FILTER_ROWS = 1_000_000  # rows of a list that may be broadcast to thin out a side before a shuffle (16 MB)
 _LAST = 2**63 - 1
@@ -166,30 +167,46 @@ def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
     return df.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _by_rare_shingles(rest: DataFrame, texts: DataFrame) -> DataFrame:
-    """Candidate pairs of the nodes ``rest`` (``node, label``) that share a shingle rare enough in both."""
-    held = texts.join(rest.select("node"), "node", "left_semi").mapInArrow(_shingled, "node long, hashes array<long>, sketch array<long>")
-    held = materialize(held, "shingles").join(rest, "node").select("node", "label", F.size("hashes").alias("n"), "hashes", "sketch")
-    each = held.select("node", "label", "n", F.explode("hashes").alias("h"))
+def _prefixes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``node, n, h, left, sketch``: the shingles of the nodes that may be the first one shared with a near text.
+
+    ``left`` counts the shingles of the node from this one on, from rare to common.
+    """
+    held = texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(_shingled, "node long, hashes array<long>, sketch array<long>")
+    held = materialize(held, "shingles").withColumn("n", F.size("hashes"))
+    each = held.select("node", "n", F.explode("hashes").alias("h"))
     often = materialize(each.groupBy("h").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "often")
     shared = each.join(often, "h")  # a shingle of one text alone brings no pair, and comes before all others
     by = Window.partitionBy("node")
     place = F.col("n") - F.count(F.lit(1)).over(by) + F.row_number().over(by.orderBy("often", "h")) - 1
-    left = shared.withColumn("left", F.col("n") - place).select("node", "label", "n", "h", "left").filter("5 * left >= 4 * n")
-    left = materialize(left, "prefixes")
+    left = shared.withColumn("left", F.col("n") - place).select("node", "n", "h", "left").filter("5 * left >= 4 * n")
+    return materialize(left.join(held.select("node", "sketch"), "node"), "prefixes")
+
+
+def _by_rare_shingles(prefixes: DataFrame, labels: DataFrame, heads: bool = False) -> DataFrame:
+    """Candidate pairs of nodes of different labels (``node, label``) that share a shingle rare enough in both; with
+    ``heads`` one node of each label per shingle and size class, another one for each shingle, and only pairs with
+    the label that most nodes of the shingle have."""
+    left = prefixes.join(labels, "node")
     mixed = left.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.count(F.lit(1)).alias("several"), F.max_by("label", "c").alias("most"))
-    left = left.join(mixed.filter("several > 1").drop("several"), "h").join(held.select("node", "sketch"), "node")
+    left = left.join(mixed.filter("several > 1").drop("several"), "h")
     small = left.filter("9 * left >= 8 * n").select("h", _class(F.col("n")).alias("class"), F.col("node").alias("src"), F.col("label").alias("x"), F.col("n").alias("m"),
                                                     F.col("left").alias("a"), (F.col("label") == F.col("most")).alias("p"), F.col("sketch").alias("s"))
     reach = F.least(F.col("n"), F.floor((9 * F.col("left") - 4 * F.col("n")) / 4))
     classes = F.sequence(_class(F.ceil(F.col("n") * NUMERATOR / DENOMINATOR)), _class(reach))
-    large = left.select("h", F.explode(classes).alias("class"), F.col("node").alias("dst"), F.col("label").alias("y"), "n", F.col("left").alias("b"), (F.col("label") == F.col("most")).alias("q"), F.col("sketch").alias("t"))
+    large = left.select("h", F.explode(classes).alias("class"), F.col("node").alias("dst"), F.col("label").alias("y"), "n", F.col("left").alias("b"),
+                        (F.col("label") == F.col("most")).alias("q"), F.col("sketch").alias("t"))
     meet = ((F.col("x") != F.col("y")) & ((F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("src") < F.col("dst")))) & _similar_size("m", "n")
             & (9 * F.col("a") >= 4 * (F.col("m") + F.col("n"))) & (9 * F.col("b") >= 4 * (F.col("m") + F.col("n"))))
     differ = reduce(lambda a, b: a + b, [F.bit_count(F.get("s", F.lit(k)).bitwiseXOR(F.get("t", F.lit(k)))) for k in range(LONGS)])
     meet &= 9 * differ <= F.col("m") + F.col("n")  # near texts share 4/9 of both, so they differ in a ninth at most
-    found = [small.filter(p).join(large.filter(q), ["h", "class"]).filter(meet) for p, q in (("NOT p", "true"), ("p", "NOT q"))]
-    return found[0].unionAll(found[1]).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    sides = (("NOT p", "true"), ("p", "NOT q"))
+    if heads:
+        one = lambda df, node, label: (df.groupBy("h", "class", label).agg(F.min_by(F.struct(*[c for c in df.columns if c not in ("h", "class", label)]), F.xxhash64(node, "h")).alias("k"))
+                                       .select("h", "class", label, "k.*"))
+        small, large, sides = one(small, "src", "x"), one(large, "dst", "y"), (("NOT p", "q"), ("p", "NOT q"))
+    found = [small.filter(p).join(large.filter(q), ["h", "class"]).filter(meet) for p, q in sides]
+    return reduce(DataFrame.unionAll, found).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
 def components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -222,7 +239,10 @@ def components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     rest = materialize(_thinned(named, materialize(mixed, "mixed"), "band").select("node", "label").distinct(), "rest")
     if rest.isEmpty():
         return labels
-    more = materialize(_by_rare_shingles(rest, texts), "pairs")
+    prefixes = _prefixes(rest, texts)
+    links = links.unionAll(_verified(materialize(_by_rare_shingles(prefixes, rest, heads=True), "pairs"), texts))
+    labels = connected_components(links)
+    more = materialize(_by_rare_shingles(prefixes, materialize(_labelled(rest.select("node"), labels), "named")), "pairs")
     return labels if more.isEmpty() else connected_components(links.unionAll(_verified(more, texts)))
 
 
