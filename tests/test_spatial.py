@@ -252,3 +252,18 @@ def test_convex_clipping_stays_in_the_jvm(spark):
     assert "Python" not in clipped._jdf.queryExecution().executedPlan().toString()
     want, got = areas(overlap_join(a, b, 3.0, "id", "id")), areas(clipped)
     assert len(want) > 100 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_boxes_that_continue_one_another_need_no_kernel(spark, monkeypatch):
+    """Strips over many cells, with holes in the row and a box within another."""
+    dis = dissolve
+
+    def no_kernel(lists):
+        return F.when(lists.isNotNull(), F.raise_error(F.lit("kernel"))).cast(dis.PARTS)
+
+    monkeypatch.setattr(dis, "_union_lists", no_kernel)
+    k = F.col("id")
+    boxes = spark.range(3000).select((k % 2).alias("s"), g.st_box(k * 4, F.lit(0), k * 4 + 10, F.lit(5)).alias("geom"))
+    boxes = boxes.unionByName(spark.range(1).select(F.lit(0).cast("long").alias("s"), g.st_box(F.lit(17), F.lit(1), F.lit(18), F.lit(2)).alias("geom")))
+    got = {r.s: (r.area, r.n) for r in dis.dissolve(boxes, ["s"], 4.0, rectangles=True).select("s", "area", F.size("geom.parts").alias("n")).collect()}
+    assert got == {0: ((2998 * 4 + 10) * 5.0, 1), 1: (2998 * 4 * 5.0 + 50, 1)}
