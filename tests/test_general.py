@@ -218,3 +218,25 @@ def test_contained_names(spark, monkeypatch, limit, prefer):
     rank = (lambda n: n[1]) if prefer == "first" else (lambda n: (-len(n[0]), n[1]))
     want = {t: min(map(rank, hit)) for t in texts if t and (hit := [n for n in names if len(n[0]) >= 2 and n[0] in t])}
     assert len(got) == len(want) and {r.t: rank(tuple(r.hit)) for r in got} == want and all(r.hit.n in r.t for r in got)
+
+
+def test_kml_in_part_files_is_read_whole(spark, tmp_path):
+    """Part files of one document are no documents of their own."""
+    from landspark.sinks.tables import write_kml
+    df = spark.range(4000).select(F.col("id").alias("code"), (F.col("id") % 3).cast("string").alias("layer"), g.st_box("id", F.lit(0), F.col("id") + 2, F.lit(3)).alias("geom"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_kml(df, str(tmp_path / "k"), "Many", order=["code"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "k").glob("part-*"))) > 2
+    got = read_kml(spark, str(tmp_path / "k")).select(F.col("data")["code"].alias("code"), g.st_area("geom").alias("a")).collect()
+    assert sorted(int(r.code) for r in got) == list(range(4000)) and {r.a for r in got} == {6.0}
+
+
+def test_kml_tags_with_prefixes_and_attributes(spark, tmp_path):
+    (tmp_path / "a.kml").write_text('<?xml version="1.0"?>\n<kml:kml xmlns:kml="http://www.opengis.net/kml/2.2"><kml:Document><Placemark id="1"><name>One</name>'
+                                    '<description><![CDATA[<b>x</b>]]></description><Point><coordinates>1,2,0</coordinates></Point></Placemark>\n'
+                                    '<kml:Placemark><kml:name>Two &amp; three</kml:name></kml:Placemark><Placemark></Placemark></kml:Document></kml:kml>')
+    got = read_kml(spark, str(tmp_path / "a.kml")).collect()
+    assert sorted((r.name or "", r.shape or "", r.file) for r in got) == [("", "", "a.kml"), ("One", "point", "a.kml"), ("Two & three", "", "a.kml")]
