@@ -24,3 +24,11 @@ def test_query_matches_sql(spark, name):
 
 def test_entry(spark):
     assert "traditional_name" in entry.entry(spark).columns
+
+
+def test_summary_has_five_seats_with_all_municipalities(spark):
+    """Whole lists: a seat covers a fifth of all municipalities, whatever their number."""
+    rows = entry.queries()["municipality_summary"](spark, "/root/testdata/sf0.01").select(
+        "tjpe_comarca_nome", "tjpe_total_municipios_comarca", "tjpe_comarca_abrangencia").collect()
+    assert len({r[0] for r in rows}) == 5 and {r[1] for r in rows} == {len(rows) // 5}
+    assert all(len(r[2].split("; ")) == r[1] for r in rows)
