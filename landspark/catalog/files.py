@@ -153,13 +153,16 @@ def reports(spark, d):
 
 
 def landed_reports(spark, d):
-    """One document per stretch of reports, read back in the order of the reports: files are taken by name."""
+    """One document per stretch of reports, read back in the order of the reports: files are taken by name. A task writes
+    about a hundred documents, each into a file of its own; their names count on within a task (below a thousand) and by task."""
     path = scratch_path(spark, "reports")
     name = F.lpad(F.floor(F.col("seq") / 500).cast("string"), 9, "0")
     docs = reports(spark, d).groupBy(name.alias("doc")).agg(F.array_sort(F.collect_list(F.struct("seq", "item"))).alias("c"))
-    docs = docs.select(F.concat(F.lit("d"), "doc").alias("doc"), F.col("c.item").alias("conflito"))
-    docs.repartition("doc").write.partitionBy("doc").json(path)
-    return src.read_evictions(spark, f"{path}/*/*")
+    docs = docs.select("doc", F.col("c.item").alias("conflito"))
+    tasks = max(1, -(-fx.table(spark, d, "events").count() // 50_000))
+    (docs.repartitionByRange(tasks, "doc").sortWithinPartitions("doc").drop("doc")
+     .write.option("maxRecordsPerFile", 1).json(path))
+    return src.read_evictions(spark, path)
 
 
 def area(spark, d):

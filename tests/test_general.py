@@ -240,3 +240,14 @@ def test_kml_tags_with_prefixes_and_attributes(spark, tmp_path):
                                     '<kml:Placemark><kml:name>Two &amp; three</kml:name></kml:Placemark><Placemark></Placemark></kml:Document></kml:kml>')
     got = read_kml(spark, str(tmp_path / "a.kml")).collect()
     assert sorted((r.name or "", r.shape or "", r.file) for r in got) == [("", "", "a.kml"), ("One", "point", "a.kml"), ("Two & three", "", "a.kml")]
+
+
+def test_landed_reports_are_one_flat_folder_in_order(spark, tmp_path, monkeypatch):
+    """A file per document, no folder for each, and the numbers follow the reports."""
+    from landspark.catalog import files
+    path = str(tmp_path / "reports")
+    monkeypatch.setattr(files, "scratch_path", lambda s, label: path)
+    got = files.landed_reports(spark, "/root/testdata/sf0.1").selectExpr("count(*)", "count_if(seq = cast(ID AS bigint))").first()
+    assert got[0] == got[1] == spark.read.parquet("/root/testdata/sf0.1/events.parquet").count()
+    assert not [p for p in (tmp_path / "reports").iterdir() if p.is_dir()]
+    assert len(list((tmp_path / "reports").glob("part-*"))) == -(-got[0] // 500)
