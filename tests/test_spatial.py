@@ -267,3 +267,14 @@ def test_boxes_that_continue_one_another_need_no_kernel(spark, monkeypatch):
     boxes = boxes.unionByName(spark.range(1).select(F.lit(0).cast("long").alias("s"), g.st_box(F.lit(17), F.lit(1), F.lit(18), F.lit(2)).alias("geom")))
     got = {r.s: (r.area, r.n) for r in dis.dissolve(boxes, ["s"], 4.0, rectangles=True).select("s", "area", F.size("geom.parts").alias("n")).collect()}
     assert got == {0: ((2998 * 4 + 10) * 5.0, 1), 1: (2998 * 4 * 5.0 + 50, 1)}
+
+
+def test_lists_of_positions_are_read_in_one_pass(spark):
+    from pyspark.sql import functions as F
+    from landspark.functions import geometry as g
+    bodies = ["((0 0 7,4 +0 7,4 4e0,0 0),(1 .5,2 1,2 2))", "((0 0,5,1 1))", "((0 0,,1 1))", ""]
+    df = spark.createDataFrame(list(enumerate(bodies)), "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(g._read_lists(F.col("t"), 3, lambda t: t)).collect()]
+    assert got == [[[["0", "0"], ["4", "+0"], ["4", "4e0"], ["0", "0"]], [["1", ".5"], ["2", "1"], ["2", "2"]]], None, None, None]
+    text = "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 1 2, 2 2, 2 1, 1 1))"
+    assert df.limit(1).select(g.st_area(g.st_from_text(F.lit(text)))).first()[0] == 15
