@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from landspark.functions import geometry as g, text as tx
 from landspark.operators import grid, lookups, rows as row_ops
+from landspark.operators.cleaning import as_multipolygon
 from landspark.operators.cluster import dbscan
 from landspark.operators.dissolve import dissolve
 from landspark.operators.overlap import overlap_join
@@ -242,6 +243,15 @@ def test_kml_tags_with_prefixes_and_attributes(spark, tmp_path):
     assert sorted((r.name or "", r.shape or "", r.file) for r in got) == [("", "", "a.kml"), ("One", "point", "a.kml"), ("Two & three", "", "a.kml")]
 
 
+def test_kml_is_parsed_once_below_filters(spark, tmp_path):
+    """A filter on the geometry is not pushed below the parser, which would run again for every use."""
+    (tmp_path / "a.kml").write_text("<kml><Placemark><name>a</name><Point><coordinates>1,2</coordinates></Point></Placemark><Placemark><name>b</name></Placemark></kml>")
+    rows = as_multipolygon(read_kml(spark, str(tmp_path / "a.kml")).filter(F.col("geom").isNotNull()))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml") + plan.count("xmltostructs") == 1 and rows.collect() == []
+    assert [r.name for r in read_kml(spark, str(tmp_path / "a.kml")).filter(F.col("geom").isNotNull()).collect()] == ["a"]
+
+
 def test_landed_reports_are_one_flat_folder_in_order(spark, tmp_path, monkeypatch):
     """A file per document, no folder for each, and the numbers follow the reports."""
     from landspark.catalog import files
