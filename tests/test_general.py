@@ -205,6 +205,19 @@ def test_documents_are_whole(spark, tmp_path):
     assert spark.read.text(path).collect() == []
 
 
+def test_small_documents_share_a_task(spark, tmp_path, monkeypatch):
+    """Documents of few items do not take a task each, and every file is whole."""
+    from landspark.sinks import tables
+    path, tasks = str(tmp_path / "docs"), lambda: {p.name.split("-")[1] for p in (tmp_path / "docs").glob("part-*")}
+    write_documents(spark.range(95).selectExpr("if(id = 7, null, string(id))"), path, '{"all":[', "]}", ",", rows=20)
+    docs = [json.loads(r.value)["all"] for r in spark.read.text(path, wholetext=True).collect()]
+    assert len(tasks()) == 1 and sorted(map(len, docs)) == [14, 20, 20, 20, 20] and sorted(sum(docs, [])) == [i for i in range(95) if i != 7]
+    monkeypatch.setattr(tables, "DOCUMENT_ROWS", 40)
+    write_documents(spark.range(95).select(F.col("id").cast("string")), path, '{"all":[', "]}", ",", rows=20)
+    docs = [json.loads(r.value)["all"] for r in spark.read.text(path, wholetext=True).collect()]
+    assert len(tasks()) == 3 and all(len(x) <= 20 for x in docs) and sorted(sum(docs, [])) == list(range(95))
+
+
 @pytest.mark.parametrize("limit", [4_000_000, 0])
 @pytest.mark.parametrize("prefer", ["first", "longest"])
 def test_contained_names(spark, monkeypatch, limit, prefer):
