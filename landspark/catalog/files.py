@@ -269,12 +269,17 @@ def state_parcels(spark, d):
 @query("streamed_cases", ctes("cases") + """
     SELECT cast(id AS varchar) AS id, court AS tribunal, CASE WHEN seq % 7 = 0 THEN 'Vara Nova' ELSE chamber END AS chamber FROM cases""")
 def streamed_cases(spark, d):
-    """Several files and batches of two courts; then some cases land once more with another chamber."""
+    """Several files and batches of two courts; then some cases land once more with another chamber.
+
+    The documents of both courts land in one pass, compressed, a folder per court. A file holds at most a twelfth of all
+    cases and what one task has; a batch takes three files, and one more for every million cases."""
     docs, gaz, root = documents(spark, d), fx.gazetteer(spark, d), scratch_path(spark, "landed")
+    n = fx.table(spark, d, "orders").count()
     again = docs.filter("seq % 7 = 0").withColumn("orgaoJulgador", F.col("orgaoJulgador").withField("nome", F.lit("Vara Nova")))
     for landing in (docs, again):
+        (landing.sortWithinPartitions("tribunal_source", "seq").drop("seq").write.mode("append").partitionBy("tribunal_source")
+         .option("compression", "gzip").option("maxRecordsPerFile", max(1, -(-n // 12))).json(f"{root}/in"))
         for court in ("TJPE", "TRF5"):
-            one = landing.filter(F.col("tribunal_source") == court).drop("tribunal_source")
-            one.repartition(6, F.floor(F.col("seq") / 50)).sortWithinPartitions("seq").drop("seq").write.mode("append").json(f"{root}/{court}")
-            stream_cases(spark, f"{root}/{court}", f"{root}/store", f"{root}/offsets/{court}", gaz, court, max_files=3).awaitTermination()
+            stream_cases(spark, f"{root}/in/tribunal_source={court}", f"{root}/store", f"{root}/offsets/{court}", gaz, court,
+                         max_files=3 + n // 1_000_000).awaitTermination()
     return cases_of_store(spark, f"{root}/store").select("id", "tribunal", F.col("orgao_julgador_nome").alias("chamber"))
